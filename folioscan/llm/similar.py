@@ -133,7 +133,8 @@ def _features(reps: DataFrame, size: int) -> DataFrame:
 
 def ring_holds(a: Column, b: Column, budget: Column, chain: int = RING) -> Column:
     """Whether some segment starts a chain of which every beginning of l segments differs in at most l / RING of the budget."""
-    d = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    low = F.lit(0xFFFFFFFF)  # bit_count widens to 64 bits, which would repeat the sign
+    d = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(low)))
     twice = F.concat(d, d)
     upto = F.transform(F.sequence(F.lit(0), F.lit(2 * RING)), lambda k: F.aggregate(F.slice(twice, 1, k), F.lit(0), lambda s, x: s + x))
     lengths = F.sequence(F.lit(1), F.lit(chain))
