@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folioscan.llm.distinctive import best_terms, term_scores
+from folioscan.llm.leak import leaks
 from folioscan.llm.similar import Similarity, similar_links, similar_pairs
+from folioscan.llm.termcount import mark_terms, term_counts
 from folioscan.storage import table
 
 PAGES = Similarity(threshold=0.7, size=3, least=20)
@@ -18,14 +22,62 @@ def p2_links(spark: SparkSession, folder: str) -> DataFrame:
     return similar_links(table(spark, folder, "mandb_rec"), "doc_id", "desc", PAGES)
 
 
-QUERIES = {"p2_found": p2_found, "p2_links": p2_links}
+def _marked(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "mandb_rec")
+    return mark_terms(term_counts(pages, ["desc", "name"]), pages, ["desc", "name"])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _marked(spark, folder).filter("mark is not null").select("field", "term", "mark")
+
+
+def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return _marked(spark, folder).select("field", "term", "total", "pages", "mark")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return best_terms(term_scores(table(spark, folder, "mandb_rec"), "doc_id", ["desc", "name_desc"], least_df=2)).select("doc_id", "term")
+
+
+def p4_elite(spark: SparkSession, folder: str) -> DataFrame:
+    """For each page the term whose count is most surely that of a page about it, by the two-Poisson posterior."""
+    return best_terms(term_scores(table(spark, folder, "mandb_rec"), "doc_id", ["desc", "name_desc"], least_df=2), "elite")
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "benchmark"), "item_id", "text")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p6_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Each leaked item with the number of documents that hold a passage of it, and the longest passage in words."""
+    return _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("longest"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_elite": p4_elite}
 
 _TOK = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
+_COUNTS = f"""x AS (SELECT 'desc' AS field, doc_id, unnest({_TOK.format('"desc"')}) AS term FROM mandb_rec UNION ALL SELECT 'name', doc_id, unnest({_TOK.format('name')}) FROM mandb_rec),
+ counts AS (SELECT field, term, count(*)::BIGINT AS total, count(DISTINCT doc_id)::BIGINT AS pages, any_value(CASE field WHEN 'desc' THEN (SELECT count("desc") FROM mandb_rec) ELSE (SELECT count(name) FROM mandb_rec) END) AS records FROM x GROUP BY field, term)"""
+
+_WORDS = r"regexp_extract_all(lower(regexp_replace(text, '\\f(?s:.)', '', 'g')), '[a-z0-9]+')"
+_GRAMS = f"(SELECT {{0}}, unnest(list_distinct(list_transform(range(1, greatest(len(k) - 10, 1)), lambda i: array_to_string(k[i:i + 11], ' ')))) AS g FROM (SELECT {{0}}, {_WORDS} AS k FROM {{1}} WHERE text IS NOT NULL))"
+
 ORACLE = {
+    "p6_found": f"""SELECT DISTINCT doc_id, item_id FROM {_GRAMS.format('doc_id', 'documents')} JOIN {_GRAMS.format('item_id', 'benchmark')} USING (g)""",
     "p2_found": f"""WITH t AS (SELECT doc_id, {_TOK.format('"desc"')} AS k FROM mandb_rec WHERE "desc" IS NOT NULL),
  s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2])) AS g FROM t WHERE len(k) >= 20),
  x AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
  p AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2)
 SELECT doc_id_a, doc_id_b FROM p WHERE 10 * c >= 7 * (na + nb - c)""",
+    "p3_found": f"""WITH {_COUNTS} SELECT field, term, CASE WHEN pages = 1 THEN 'rare' ELSE 'common' END AS mark FROM counts WHERE pages = 1 OR pages > 0.1 * records""",
+    "p3_counts": f"""WITH {_COUNTS} SELECT field, term, total, pages, CASE WHEN pages = 1 THEN 'rare' WHEN pages > 0.1 * records THEN 'common' END AS mark FROM counts""",
+    "p4_found": f"""WITH x AS (SELECT doc_id, unnest({_TOK.format("(coalesce(\"desc\", '') || ' ' || coalesce(name_desc, ''))")}) AS term FROM mandb_rec),
+ t AS (SELECT doc_id, term, count(*) AS tf FROM x GROUP BY ALL), d AS (SELECT term, count(*) AS df FROM t GROUP BY term HAVING count(*) >= 2),
+ s AS (SELECT doc_id, term, round(tf * ln((SELECT count(*) FROM mandb_rec) / df), 9) AS w FROM t JOIN d USING (term))
+SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, term) AS r FROM s) WHERE r = 1""",
 }
