@@ -8,7 +8,7 @@ characteristic vectors. Steps:
    however many, never meet in a group.
 2. Candidates share one of their |A| - ceil(t |A|) + 1 rarest shingles (prefix filter: exact, whatever the order).
    Rarity is taken from counts over all shingles in a fixed number of hash buckets; it only steers the cost.
-3. Pigeonring: shingles are hashed to RING segments of 32 parity bits. Of any ring whose differences add up to at most H,
+3. Pigeonring: shingles are hashed to RING segments of 64 parity bits. Of any ring whose differences add up to at most H,
    some segment starts a chain of consecutive segments whose cumulative differences stay within 1, 2, 3, ... times
    H / RING. Parities never show more differences than there are, so pairs without such a chain are dropped safely.
 4. The full Hamming check on the whole shingle sets decides.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from pyspark.sql import functions as F
 from folioscan.llm.text import TokenHashes, shingles
 from folioscan.storage import materialize
 
-RING = 8
-BUCKET_BITS = 18
+RING = 4
+#: Counts of shingles are kept for 2**bits buckets, about an eighth of the shingles, within these bounds.
+LEAST_BITS, MOST_BITS = 16, 24
 #: Exact copies are expanded into pairs up to this class size; larger classes are linked through their representative.
 EXPAND = 1000
 
@@ -58,103 +60,110 @@ def _sets(column: pa.Array, known: TokenHashes, size: int) -> list[np.ndarray]:
     return [shingles(known.of(t.split(b" ")), size) for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+def _bucket(s: np.ndarray, size: int) -> np.ndarray:
+    """Number of the bucket among ``size``, a power of two."""
+    return (s >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def bucket_counts(reps: DataFrame, size: int) -> np.ndarray:
-    """How many shingles of all texts fall into each of 2**BUCKET_BITS buckets: a fixed size, whatever the input."""
+def bucket_counts(reps: DataFrame, size: int, docs: int) -> np.ndarray:
+    """How many shingles of all texts fall into each bucket, up to 65,535: at most 32 MB, whatever the input."""
+    buckets = 1 << min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(docs, 1) * 16))))
 
     def counted(batches):
-        known, total = TokenHashes(), np.zeros(1 << BUCKET_BITS, np.int64)
+        known, total = TokenHashes(), np.zeros(buckets, np.int64)
         for b in batches:
             sets = _sets(b.column(0), known, size)
             if sets:
-                total += np.bincount(_bucket(np.concatenate(sets)), minlength=1 << BUCKET_BITS)
+                total += np.bincount(_bucket(np.concatenate(sets), buckets), minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    rows = reps.select("norm").mapInArrow(counted, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    rows = reps.select("norm").mapInArrow(counted, "bucket int, n bigint").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(65_535)).cast("int").alias("n")).toArrow()
+    out = np.zeros(buckets, np.uint16)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+    return out
+
+
+def _rings(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bits of each set: RING words of 64 bits."""
+    lens = np.array([len(s) for s in sets])
+    at = np.repeat(np.arange(len(sets)) * (RING * 64), lens) + (np.concatenate(sets) & np.uint64(RING * 64 - 1)).astype(np.int64)
+    bits = (np.bincount(at, minlength=len(sets) * RING * 64) & 1).astype(np.uint8)
+    return np.packbits(bits.reshape(len(sets), -1), axis=1, bitorder="little").view("<i8")
 
 
 def _prefixes(reps: DataFrame, sim: Similarity, counts: np.ndarray) -> DataFrame:
-    spark = reps.sparkSession
-    shared = spark.sparkContext.broadcast(counts)
+    """(token, rep, n, weight, r0, r1, ...): the rarest shingles of each text, with its size and ring."""
+    shared = reps.sparkSession.sparkContext.broadcast(counts)
     t, size = sim.threshold, sim.size
+    ring = [f"r{i}" for i in range(RING)]
 
     def emit(batches):
         known = TokenHashes()
         for b in batches:
-            ids, toks, owners, sizes, weights = b.column(0).to_pylist(), [], [], [], []
-            for i, s in zip(ids, _sets(b.column(1), known, size)):
-                w = shared.value[_bucket(s)]
-                k = len(s) - math.ceil(t * len(s) - 1e-9) + 1
-                pick = np.lexsort((s, w))[:k]
+            toks, lens, weights, sets = [], [], [], _sets(b.column(1), known, size)
+            for s in sets:
+                w = shared.value[_bucket(s, len(shared.value))]
+                pick = np.lexsort((s, w))[: len(s) - math.ceil(t * len(s) - 1e-9) + 1]
                 toks.append(s[pick].view(np.int64))
-                weights.append(w[pick])
-                owners.append(np.full(len(pick), i, np.int64))
-                sizes.append(np.full(len(pick), len(s), np.int32))
-            if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (toks, owners, sizes, weights)], ["token", "rep", "n", "weight"])
+                weights.append(w[pick].astype(np.int32))
+                lens.append(len(pick))
+            if not toks:
+                continue
+            owner = np.repeat(np.arange(len(sets)), lens)
+            n = np.array([len(s) for s in sets], np.int32)
+            words = _rings(sets)[owner]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(toks)), b.column(0).take(pa.array(owner)), pa.array(n[owner]), pa.array(np.concatenate(weights)), *[pa.array(words[:, i]) for i in range(RING)]],
+                ["token", "rep", "n", "weight", *ring],
+            )
 
-    return reps.select("rep", "norm").mapInArrow(emit, "token bigint, rep bigint, n int, weight int")
+    return reps.select("rep", "norm").mapInArrow(emit, "token bigint, rep bigint, n int, weight int, " + ", ".join(f"{r} bigint" for r in ring))
 
 
 def _features(reps: DataFrame, size: int) -> DataFrame:
-    """(rep, n, ring, sh): the sorted shingle set, and its parity bits in RING segments."""
+    """(rep, n, sh): the sorted shingle set."""
 
     def emit(batches):
         known = TokenHashes()
         for b in batches:
             sets = _sets(b.column(1), known, size)
-            if not sets:
-                continue
-            lens = np.array([len(s) for s in sets])
-            flat = np.concatenate(sets)
-            bits = np.zeros((len(sets), RING * 32), np.uint8)
-            np.bitwise_xor.at(bits, (np.repeat(np.arange(len(sets)), lens), (flat & np.uint64(RING * 32 - 1)).astype(np.int64)), 1)
-            ring = np.packbits(bits, axis=1, bitorder="little").view("<i4")
-            offs = lambda x: pa.array(np.concatenate(([0], np.cumsum(x))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array(lens.astype(np.int32)),
-                    pa.ListArray.from_arrays(offs(np.full(len(sets), RING)), pa.array(ring.ravel())),
-                    pa.ListArray.from_arrays(offs(lens), pa.array(flat.view(np.int64))),
-                ],
-                ["rep", "n", "ring", "sh"],
-            )
+            if sets:
+                lens = np.array([len(s) for s in sets])
+                offsets = pa.array(np.concatenate(([0], np.cumsum(lens))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "n", "sh"])
 
-    return reps.select("rep", "norm").mapInArrow(emit, "rep bigint, n int, ring array<int>, sh array<bigint>")
+    return reps.select("rep", "norm").mapInArrow(emit, "rep bigint, n int, sh array<bigint>")
 
 
-def ring_holds(a: Column, b: Column, budget: Column, chain: int = RING) -> Column:
-    """Whether some segment starts a chain of which every beginning of l segments differs in at most l / RING of the budget."""
-    low = F.lit(0xFFFFFFFF)  # bit_count widens to 64 bits, which would repeat the sign
-    d = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(low)))
-    twice = F.concat(d, d)
-    upto = F.transform(F.sequence(F.lit(0), F.lit(2 * RING)), lambda k: F.aggregate(F.slice(twice, 1, k), F.lit(0), lambda s, x: s + x))
-    lengths = F.sequence(F.lit(1), F.lit(chain))
-    return F.exists(
-        F.sequence(F.lit(0), F.lit(RING - 1)),
-        lambda i: F.forall(lengths, lambda k: (F.get(upto, i + k) - F.get(upto, i)) * RING <= budget * k),
-    )
+def ring_holds(a: list[Column], b: list[Column], budget: Column) -> Column:
+    """Whether some segment starts a chain of which every beginning of k segments differs in at most k / RING of the budget."""
+    d = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)]
+    starts = []
+    for i in range(RING):
+        total, ok = d[i], d[i] * RING <= budget
+        for k in range(2, RING + 1):
+            total = total + d[(i + k - 1) % RING]
+            ok = ok & (total * RING <= budget * k)
+        starts.append(ok)
+    return reduce(lambda x, y: x | y, starts)
 
 
 def _candidates(prefixes: DataFrame, sim: Similarity, docs: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, sharing a prefix shingle. Heavy shingles are salted: one side spread, one repeated."""
+    """Distinct pairs (a, b), a < b, that share a prefix shingle and whose sizes and rings allow the threshold.
+
+    Heavy shingles are salted: one side spread, one repeated. Pairs are judged as they are joined, before any shuffle."""
     bar = max(sim.hot_least, docs // 1000)
+    ring = [f"r{i}" for i in range(RING)]
     fits = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(sim.threshold - 1e-9)
-    pick = lambda df, s: df.select("token", "salt", F.col("rep").alias(s), F.col("n").alias(f"{s}_n"))
-    cold = prefixes.filter(F.col("weight") <= bar).withColumn("salt", F.lit(0))
+    near = ring_holds([F.col(f"a_{r}") for r in ring], [F.col(f"b_{r}") for r in ring], sim.budget(F.col("a_n"), F.col("b_n")))
+    pick = lambda df, s: df.select("token", *[c for c in df.columns if c == "salt"], F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", *ring)])
+    join = lambda x, y, on: pick(x, "a").join(pick(y, "b"), on).filter((F.col("a") < F.col("b")) & fits).filter(near).select("a", "b")
+    cold = prefixes.filter(F.col("weight") <= bar)
     hot = prefixes.filter(F.col("weight") > bar).withColumn("parts", F.ceil(F.col("weight") / bar).cast("int"))
     spread = hot.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     repeated = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    join = lambda x, y: pick(x, "a").join(pick(y, "b"), ["token", "salt"]).filter((F.col("a") < F.col("b")) & fits).select("a", "b")
-    return join(cold, cold).unionByName(join(spread, repeated)).distinct()
+    return join(cold, cold, ["token"]).unionByName(join(spread, repeated, ["token", "salt"])).distinct()
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
@@ -169,21 +178,14 @@ def classes(docs: DataFrame, doc_id: str, text: str, least: int) -> tuple[DataFr
 
 def similar_classes(reps: DataFrame, sim: Similarity) -> DataFrame:
     """(a, b): pairs of class representatives at or above the threshold."""
-    counts = bucket_counts(reps, sim.size)
-    prefixes = materialize(_prefixes(reps, sim, counts), "prefixes")
-    pairs = materialize(_candidates(prefixes, sim, reps.count()), "candidates")
+    docs = reps.count()
+    prefixes = materialize(_prefixes(reps, sim, bucket_counts(reps, sim.size, docs)), "prefixes")
+    pairs = materialize(_candidates(prefixes, sim, docs), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     feats = _features(reps.join(wanted, "rep", "left_semi"), sim.size)
-    side = lambda s: feats.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "ring", "sh")])
-    budget = sim.budget(F.col("a_n"), F.col("b_n"))
+    side = lambda s: feats.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "sh")])
     common = F.size(F.array_intersect("a_sh", "b_sh"))
-    return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .filter(ring_holds(F.col("a_ring"), F.col("b_ring"), budget))
-        .filter(F.col("a_n") + F.col("b_n") - 2 * common <= budget)
-        .select("a", "b")
-    )
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("a_n") + F.col("b_n") - 2 * common <= sim.budget(F.col("a_n"), F.col("b_n"))).select("a", "b")
 
 
 def similar_pairs(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
