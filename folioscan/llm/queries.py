@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm.distinctive import best_terms, term_scores
 from folioscan.llm.leak import leaks
+from folioscan.llm.mixing import mixture
+from folioscan.llm.pii import personal_values, redacted
 from folioscan.llm.similar import Similarity, similar_links, similar_pairs
 from folioscan.llm.termcount import mark_terms, term_counts
 from folioscan.storage import table
@@ -57,7 +61,34 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("longest"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_items": p6_items, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_elite": p4_elite}
+#: The public tokenizer that measures sizes; the folder is a parameter of the environment.
+TOKENIZERS = os.environ.get("FOLIOSCAN_TOKENIZERS", "/opt/tokenizers")
+#: Pieces into which a text is cut before byte pairs are merged: letters, digits and other characters apart.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PIECES)
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[0]
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder)[1]
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_values(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    key = os.environ.get("FOLIOSCAN_PSEUDONYM_KEY", "a key for tests").encode()
+    return redacted(table(spark, folder, "documents"), "doc_id", "text", key)
+
+
+QUERIES = {"p7_mixture": p7_mixture, "p7_report": p7_report, "p8_found": p8_found, "p8_redacted": p8_redacted, "p6_found": p6_found, "p6_items": p6_items, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_elite": p4_elite}
 
 _TOK = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 
