@@ -66,7 +66,7 @@ def _bucket(s: np.ndarray, size: int) -> np.ndarray:
 
 
 def bucket_counts(reps: DataFrame, size: int, docs: int) -> np.ndarray:
-    """How many shingles of all texts fall into each bucket, up to 65,535: at most 32 MB, whatever the input."""
+    """How many shingles of all texts fall into each bucket: at most 64 MB, whatever the input."""
     buckets = 1 << min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(docs, 1) * 16))))
 
     def counted(batches):
@@ -78,8 +78,8 @@ def bucket_counts(reps: DataFrame, size: int, docs: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    rows = reps.select("norm").mapInArrow(counted, "bucket int, n bigint").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(65_535)).cast("int").alias("n")).toArrow()
-    out = np.zeros(buckets, np.uint16)
+    rows = reps.select("norm").mapInArrow(counted, "bucket int, n bigint").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    out = np.zeros(buckets, np.int32)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return out
 
@@ -106,7 +106,7 @@ def _prefixes(reps: DataFrame, sim: Similarity, counts: np.ndarray) -> DataFrame
                 w = shared.value[_bucket(s, len(shared.value))]
                 pick = np.lexsort((s, w))[: len(s) - math.ceil(t * len(s) - 1e-9) + 1]
                 toks.append(s[pick].view(np.int64))
-                weights.append(w[pick].astype(np.int32))
+                weights.append(w[pick])
                 lens.append(len(pick))
             if not toks:
                 continue
