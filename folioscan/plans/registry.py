@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.plans import upkeep
+from folioscan.plans import pages, upkeep
 
-_MODULES = [upkeep]
+_MODULES = [upkeep, pages]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return upkeep.p1_found(spark, folder)
+    return pages.QUERIES["rank_multicol"](spark, folder)
