@@ -96,7 +96,7 @@ _PT = rf"(?:{'|'.join(PARTICLES)})"
 _I = rf"{_U}\."
 _P = rf"(?!(?:{'|'.join(NO_NAME)})\b)(?!{_L}+(?:-{_L}+)?-(?:by|To|ID):){_W}"
 _FULL = rf"(?:{_P}|{_I})(?:{_S}{_I})*(?:{_S}(?:{_PT}{_S}){{0,2}}{_P})"
-_LAST_FIRST = rf"(?:{_PT}{_S}){{0,2}}{_P},{_S}{_P}(?!{_S}\d)(?:{_S}{_I}(?!\w))*"
+_LAST_FIRST = rf"(?:{_PT}{_S}){{0,2}}{_P},{_S}{_P}(?![ \t]+\d)(?:{_S}{_I}(?!\w))*"
 _NAME = rf"(?:{_LAST_FIRST}|{_FULL})"
 _TITLE = rf"(?:(?:{'|'.join(TITLES)})\b\.?{_S})*"
 _HIT = rf"{_TITLE}(?P<n>{_NAME})"
