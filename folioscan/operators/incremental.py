@@ -59,24 +59,22 @@ def merge(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def locate(rows: DataFrame, spans: DataFrame, seq: str) -> DataFrame:
-    """Rows with the run of the interval that holds their number, null where none does: one linear merge of both sides,
-    sorted by number within blocks. ``rows`` must be free of repeated rows."""
-    cols = [c for c in rows.columns]
-    left = rows.withColumns({"_block": block_of(F.col(seq)), "_at": F.col(seq), "_kind": F.lit(1), "_span": F.lit(None).cast("struct<run:int,hi:bigint>")})
-    right = spans.select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields],
-        F.col("block").alias("_block"),
-        F.col("lo").alias("_at"),
-        F.lit(0).alias("_kind"),
-        F.struct(F.col("run").cast("int").alias("run"), F.col("hi").cast("bigint").alias("hi")).alias("_span"),
-    )
-    w = Window.partitionBy("_block").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    span = F.last("_span", ignorenulls=True).over(w)
+    """Rows with the run of the interval that holds their number (``taken_by``, null where none does): one linear merge
+    of both sides, sorted by number within blocks. ``rows`` must be free of repeated rows; they travel as one column, so
+    their names clash with nothing, save that none may be called taken_by."""
+    if "taken_by" in rows.columns:
+        raise ValueError("a column of the rows is called taken_by")
+    row = F.struct(*rows.columns)
+    number = F.col(seq)
+    left = rows.select(block_of(number).alias("block"), number.alias("at"), F.lit(1).alias("kind"), row.alias("row"), F.lit(None).cast("struct<run:int,hi:bigint>").alias("span"))
+    span = F.struct(F.col("run").cast("int").alias("run"), F.col("hi").cast("bigint").alias("hi"))
+    right = spans.select("block", F.col("lo").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(left.schema["row"].dataType).alias("row"), span.alias("span"))
+    w = Window.partitionBy("block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         left.unionByName(right)
-        .withColumn("_span", span)
-        .filter("_kind = 1")
-        .select(*cols, F.when(F.col("_at") <= F.col("_span.hi"), F.col("_span.run")).alias("taken_by"))
+        .withColumn("span", F.last("span", ignorenulls=True).over(w))
+        .filter("kind = 1")
+        .select("row.*", F.when(F.col("at") <= F.col("span.hi"), F.col("span.run")).alias("taken_by"))
     )
 
 
