@@ -62,14 +62,14 @@ def apportion(weights: list[float], caps: list[int], seats: int) -> list[int]:
     if seats <= 0:
         return held.tolist()
     at = lambda x: np.minimum(np.floor((w / x + 1) / 2), cap).astype(np.int64)  # noqa: E731  seats whose quotient is at least x
-    lo, hi = 1e-300, float(w.max()) * 2
-    for _ in range(200):  # the least quotient bound that gives away no more than there is
-        mid = math.sqrt(lo * hi)
+    lo, hi = float(w[w > 0].min()) / (2 * int(cap.max()) + 2), float(w.max()) * 2
+    for _ in range(200):  # a quotient bound that gives away no more than there is, and nearly all of it
+        mid = math.sqrt(lo) * math.sqrt(hi)
         if at(mid).sum() > seats:
             lo = mid
         else:
             hi = mid
-    held = at(hi)
+    held = at(hi * (1 + 1e-9))  # equal quotients are all left to the heap, which settles them in order
     heap = [(-w[i] / (2 * held[i] + 1), i) for i in range(len(w)) if held[i] < cap[i]]
     heapq.heapify(heap)
     for _ in range(seats - int(held.sum())):
@@ -123,18 +123,21 @@ def mixture(docs: DataFrame, targets: DataFrame, ranks: str, pattern: str, doc_i
     wanted = read_targets(targets)
     weighted = [t for t in wanted if t.weight > 0 and t.max_repeat > 0]
     sizes = materialize(token_sizes(docs, doc_id, text, source, [t.source for t in weighted], ranks, pattern), "sizes")
-    have = {r.source: r for r in sizes.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
+    rows = {r.source: r.n for r in sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shards = [(s, min(MAX_SHARDS, max(1, math.ceil(n / SHARD_DOCS)))) for s, n in rows.items()]
+    dealt = sizes.join(F.broadcast(spark.createDataFrame(shards or [("", 1)], "source string, shards int")), "source")
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int")).repartition("source", "shard").groupBy("source", "shard", "doc_id").agg(F.max("tokens").alias("tokens"))
+    dealt = materialize(dealt, "dealt")
+    parts_of = dealt.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).orderBy("source", "shard").collect()  # at most MAX_SHARDS for each target
+    have: dict[str, int] = {}
+    for r in parts_of:
+        have[r.source] = have.get(r.source, 0) + r.tokens
     active = [t for t in weighted if t.source in have]
     all_weight = sum(t.weight for t in active)
-    total = total_tokens if total_tokens is not None else min((int(have[t.source].tokens * t.max_repeat * all_weight / t.weight) for t in active), default=0)
+    total = total_tokens if total_tokens is not None else min((int(have[t.source] * t.max_repeat * all_weight / t.weight) for t in active), default=0)
     block = max(LEAST_BLOCK, math.ceil(total / MAX_BLOCKS))
-
-    shards = {t.source: min(MAX_SHARDS, max(1, math.ceil(have[t.source].docs / SHARD_DOCS))) for t in active}
-    dealt = sizes.join(F.broadcast(spark.createDataFrame(list(shards.items()) or [("", 1)], "source string, shards int")), "source")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.col("shards")).cast("int")).repartition("source", "shard").groupBy("source", "shard", "doc_id").agg(F.max("tokens").alias("tokens"))
-    dealt = materialize(dealt, "dealt")
     by: dict[str, list] = {}
-    for r in dealt.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).orderBy("source", "shard").collect():
+    for r in parts_of:
         by.setdefault(r.source, []).append((r.shard, max(1, round(r.tokens / block))))
     caps = [sum(n for _, n in by[t.source]) * t.max_repeat for t in active]
     rng = np.random.default_rng(seed)
@@ -155,7 +158,7 @@ def mixture(docs: DataFrame, targets: DataFrame, ranks: str, pattern: str, doc_i
     chosen = placed.withColumn("repeats", F.col("whole") + extra.cast("int")).filter("repeats > 0").select("doc_id", "source", "shard", "block", "tokens", "repeats")
 
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("used"), F.count(F.lit(1)).alias("documents"), F.max("repeats").alias("repeats"))
-    goal = [(t.source, t.weight / all_weight if t in active else 0.0, t.max_repeat, int(have[t.source].tokens) if t.source in have else 0) for t in wanted]
+    goal = [(t.source, t.weight / all_weight if t in active else 0.0, t.max_repeat, have.get(t.source, 0)) for t in wanted]
     report = (
         spark.createDataFrame(goal, "source string, target_share double, max_repeat int, available_tokens bigint")
         .join(used, "source", "left")

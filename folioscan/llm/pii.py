@@ -41,6 +41,7 @@ PLAIN = re.compile(rf"(?<![\w.+-]){_LOCAL}@(?:{_LABEL}\.)+{_TOP}")
 _AT = rf"(?:{_S}?(?:\(at\)|\[at\]|\{{at\}}|<at>){_S}?|{_S}at{_S})"
 _DOT = rf"(?:{_S}?(?:\(dot\)|\[dot\]|\{{dot\}}|<dot>){_S}?|{_S}dot{_S}|\.)"
 SPELT = re.compile(rf"(?<![\w.+-]){_LOCAL}(?:{_S}?(?:\(at\)|\[at\]|\{{at\}}|<at>){_S}?(?:{_LABEL}{_DOT})+{_TOP}|{_S}at{_S}(?:{_LABEL}\.)*{_LABEL}{_S}dot{_S}(?:{_LABEL}{_DOT})*?{_TOP}(?:\.{_TOP})*)", re.I)
+_NO_DOMAIN = re.compile(r"\sat\s+(?:the|a|an|this|that|its|each|every|any|no)\s", re.I)  # as in "look at the dot matrix"
 HEADER = re.compile(r"^(?:Message-ID|In-Reply-To|References|Content-ID):", re.I)
 
 # --- numbers
@@ -97,7 +98,8 @@ _I = rf"{_U}\."
 _P = rf"(?!(?:{'|'.join(NO_NAME)})\b)(?!{_L}+(?:-{_L}+)?-(?:by|To|ID):){_W}"
 _FULL = rf"(?:{_P}|{_I})(?:{_S}{_I})*(?:{_S}(?:{_PT}{_S}){{0,2}}{_P})"
 _LAST_FIRST = rf"(?:{_PT}{_S}){{0,2}}{_P},{_S}{_P}(?![ \t]+\d)(?:{_S}{_I}(?!\w))*"
-_NAME = rf"(?:{_LAST_FIRST}|{_FULL})"
+_LONGER = rf"{_P} {_FULL}(?!{_L})(?!{_S}\d)"  # two given names, on one line
+_NAME = rf"(?:{_LAST_FIRST}|{_LONGER}|{_FULL})"
 _TITLE = rf"(?:(?:{'|'.join(TITLES)})\b\.?{_S})*"
 _HIT = rf"{_TITLE}(?P<n>{_NAME})"
 #: (text that must occur, pattern): what introduces a person.
@@ -161,6 +163,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
     low = text.lower()
     if "(at)" in low or "[at]" in low or "{at}" in low or "<at>" in low or "dot" in low:
         for m in SPELT.finditer(text):
+            if _NO_DOMAIN.search(m.group()):
+                continue
             spans.add(m.start(), m.end(), "email")
     for pattern in (ADDRESS_EN, ADDRESS_DE, ADDRESS_FR, ADDRESS_ES):
         if _possible(pattern, text, low):
