@@ -14,6 +14,7 @@ from folioscan.operators import spelling
 from folioscan.operators.query import parse
 from folioscan.operators.search import SearchRequest, lookup, search, snippets
 from folioscan.schema import COLUMNS, DICTIONARY_COLUMNS, WEIGHTS
+from folioscan.sources.roff import parse_sources
 from folioscan.storage import table
 
 WORDS = ["bufer", "dveice", "tabel", "descriptor", "argumnt", "buffre", "hadnel", "deskriptorr", "secton", "zzqqxy"]
@@ -269,6 +270,19 @@ def section_route(spark, folder):
     return ix.routed_lines(table(spark, folder, "documents"))
 
 
+PARTS = {"lib": "LIBRARY", "return_vals": "RETURN VALUES", "env": "ENVIRONMENT", "files": "FILES", "exit_status": "EXIT STATUS", "diagnostics": "DIAGNOSTICS", "errors": "ERRORS", "desc": "DESCRIPTION"}
+
+
+def parse_pages(spark, folder):
+    """Every page written as page source and parsed again."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[ \t\n\r\f\x0B]+", " "))
+    safe = lambda c: F.regexp_replace(F.replace(flat(c), F.lit("\\"), F.lit("\\e")), r"^([.'])", r"\\&$1")
+    body = F.concat(*[F.concat(F.lit(f"\n.Sh {h}\n"), safe(c)) for c, h in PARTS.items()])
+    source = F.concat(F.lit(".Dd May 1, 2024\n.Dt PAGE "), F.col("section"), F.lit("\n.Os\n.Sh NAME\n.Nm "), flat("name"), F.lit("\n.Nd "), safe("name_desc"), body, F.lit("\n.Sh BUGS\nnone"))
+    rows = _pages(spark, folder).select("doc_id", source.alias("source"))
+    return parse_sources(rows, "doc_id", "source").select("doc_id", "section", "name", "name_desc", *PARTS)
+
+
 def run_counters(spark, folder):
     return ix.run_counters(_crawl(spark, folder), _before(spark, folder), _after(spark, folder))
 
@@ -280,7 +294,7 @@ QUERIES = {n: _search(n) for n in SEARCHES} | {
         dict_build, dict_insert_ignore, edits1, known_word, spell_d1, spell_d2, suggest, json_suggest, query_correction, stopword_filter,
         boolean_rewrite, url_param, html_escape, pager_overstrike, highlight, complete_prefix, porter_rows, rank_stemmed, content_md5, crawl_files,
         md5_dedupe, inode_dedupe, diff_new, touch_update, upsert_changed, stale_meta, stale_links, stale_pages, complete_pages, links_explode,
-        section_route, run_counters,
+        section_route, run_counters, parse_pages,
     ]
 }
 
@@ -361,7 +375,10 @@ _STATES = f"WITH {_TIMES}, {_state('before', 't1')}, {_state('after', 't2')}, {_
 _STOPS = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
 _ESCAPE = "replace(replace(replace(replace(replace(replace('<' || chr(2) || \"desc\" || chr(3) || ' & \"more\">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(2), '<b>'), chr(3), '</b>')"
 
+_FLAT = r"nullif(trim(regexp_replace({0}, '[ \t\n\r\f\x0B]+', ' ', 'g')), '')"
+
 ORACLE = {
+    "parse_pages": f"SELECT doc_id, section, {_FLAT.format('name')} AS name, {_FLAT.format('name_desc')} AS name_desc, " + ", ".join(f'{_FLAT.format(chr(34) + c + chr(34))} AS "{c}"' for c in PARTS) + " FROM mandb_rec",
     "tokenize_counts": f"WITH {_x()} SELECT col, count(*)::BIGINT AS tokens, count(DISTINCT term)::BIGINT AS distinct_tokens FROM x GROUP BY col",
     "doc_length": f"WITH {_x()} SELECT doc_id, col, count(*)::BIGINT AS n FROM x GROUP BY doc_id, col",
     "term_df": f"WITH {_x()} SELECT col, term, count(*)::BIGINT AS hits, count(DISTINCT doc_id)::BIGINT AS df FROM x GROUP BY col, term",

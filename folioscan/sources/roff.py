@@ -13,6 +13,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folioscan.operators.index import SECTION_OF
 from folioscan.schema import COLUMNS
@@ -61,7 +62,7 @@ def _arguments(line: str) -> list[str]:
 
 
 def _squeezed(parts: list[str]) -> str | None:
-    return re.sub(r"\s+", " ", " ".join(parts)).strip() or None
+    return re.sub(r"[ \t\n\r\f\v]+", " ", " ".join(parts)).strip(" ") or None
 
 
 def split_names(text: str) -> tuple[str | None, list[str], str]:
@@ -147,3 +148,16 @@ def read_pages(files: DataFrame, names_only: bool = False) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file", "device", "inode", "mtime", "links", "error", *COLUMNS])
 
     return files.select("device", "inode", "mtime", "file").mapInPandas(run, PARSED)
+
+
+def parse_sources(rows: DataFrame, key: str, source: str) -> DataFrame:
+    """Page sources held in a column, parsed: the key, the columns of the page, its aliases. Null sources give no row."""
+
+    def run(batches):
+        for b in batches:
+            recs = [parse_page(t) | {"k": k} for k, t in zip(b["k"], b["t"])]
+            yield pd.DataFrame(recs, columns=["k", "links", *COLUMNS])
+
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"k {kind}, links string, " + ", ".join(f"`{c}` string" for c in COLUMNS)
+    return rows.select(F.col(key).alias("k"), F.col(source).alias("t")).filter("t is not null").mapInPandas(run, schema).withColumnRenamed("k", key)
