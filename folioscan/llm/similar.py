@@ -167,13 +167,14 @@ def _candidates(prefixes: DataFrame, sim: Similarity, docs: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """(rep, norm, copies) of each class of equal token sequences, and (doc_id, rep) of all their members."""
+    """(rep, norm, copies) of each class of equal token sequences, and (doc_id, rep) of the members of those that have
+    more than one. ``copies`` counts rows; texts are combined before the shuffle, so a hot class sends one row a task."""
     base = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), token_text(F.col(text)).alias("norm")).filter(F.size(F.split("norm", " ")) >= least)
-    reps = base.distinct().groupBy("norm").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = materialize(reps.select("rep", "norm", "copies"), "texts")
-    many = reps.filter("copies > 1").select(F.md5("norm").alias("key"), "rep")
+    reps = base.groupBy("norm").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("copies"))
+    reps = materialize(reps, "texts")
+    many = reps.filter("last > rep").select(F.md5("norm").alias("key"), "rep")
     members = base.select("doc_id", F.md5("norm").alias("key")).join(many, "key").select("doc_id", "rep").distinct()
-    return reps, members
+    return reps.select("rep", "norm", "copies", "last"), members
 
 
 def similar_classes(reps: DataFrame, sim: Similarity) -> DataFrame:
@@ -209,10 +210,9 @@ def similar_links(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> D
     reps, members = classes(docs, doc_id, text, sim.least)
     pairs = similar_classes(reps, sim)
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    alone = reps.filter("copies = 1").select(F.col("rep").alias("doc_id"), "rep")
+    members = materialize(members.unionByName(reps.filter("last = rep").select(F.col("rep").alias("doc_id"), "rep")), "members")
     return (
-        members.unionByName(alone)
-        .join(reps.select("rep", "copies"), "rep")
+        members.join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")), "rep")
         .join(links, "rep", "left")
         .select("doc_id", F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     )
