@@ -15,11 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions.render import display_name
-from folioscan.functions.text import ascii_lower
 from folioscan.functions.text import postings as postings_of
 from folioscan.functions.text import tokens
 from folioscan.operators.query import Query, parse
 from folioscan.schema import COLUMNS, SATURATION, WEIGHTS
+from folioscan.storage import materialize
 
 SNIPPET_TOKENS = 40
 
@@ -121,7 +121,7 @@ def _condition(q: Query, tree: tuple) -> Column:
 
 def ranks(postings: DataFrame, records: int, q: Query) -> DataFrame:
     """(doc_id, rank) of all records that match."""
-    hits = phrase_hits(postings, q)
+    hits = materialize(phrase_hits(postings, q), "hits")  # read for the statistics and for the ranks; the text only once
     stats = statistics(hits, records)
     aggs = [F.bool_or(F.col("leaf") == i).alias(f"has{i}") for i in range(len(q.phrases))] + [F.sum(_share(q, stats)).alias("tf")]
     if q.nears:
@@ -137,12 +137,12 @@ def ranks(postings: DataFrame, records: int, q: Query) -> DataFrame:
 def scanned(pages: DataFrame, q: Query) -> DataFrame:
     """Postings of the pages that can have a phrase of the query, where no stored postings are at hand. Pages without
     the letters of its words are dropped before they are cut into tokens."""
-    text = ascii_lower(F.concat_ws("\n", *COLUMNS))
+    text = F.concat_ws("\n", *COLUMNS)
     can = F.lit(False)
     for p in q.phrases:
         every = F.lit(True)
         for t in p.terms:
-            every = every & F.contains(text, F.lit(t))
+            every = every & F.rlike(text, F.lit(f"(?i){t}"))  # (?i) folds ASCII alone; terms hold no signs
         can = can | every
     return postings_of(pages.filter(can))
 

@@ -15,7 +15,7 @@ from folioscan.operators.query import parse
 from folioscan.operators.search import SearchRequest, lookup, search, snippets
 from folioscan.schema import COLUMNS, DICTIONARY_COLUMNS, WEIGHTS
 from folioscan.sources.roff import parse_sources
-from folioscan.storage import table
+from folioscan.storage import materialize, table
 
 WORDS = ["bufer", "dveice", "tabel", "descriptor", "argumnt", "buffre", "hadnel", "deskriptorr", "secton", "zzqqxy"]
 NEAR_WORDS = ["bffr", "dscrptor", "argmunet", "hndel", "bufferring"]
@@ -29,6 +29,11 @@ def _dict(spark: SparkSession, folder: str) -> DataFrame:
     return ix.dictionary(_pages(spark, folder))
 
 
+def _stored_dict(spark: SparkSession, folder: str) -> DataFrame:
+    """Written once, as an index keeps it: spelling asks it several times."""
+    return materialize(_dict(spark, folder), "dict")
+
+
 # --- text statistics
 def tokenize_counts(spark, folder):
     """Tokens and distinct tokens of each column."""
@@ -130,11 +135,11 @@ def known_word(spark, folder):
 
 
 def spell_d1(spark, folder):
-    return spelling.spell(spark, _dict(spark, folder), WORDS)
+    return spelling.spell(spark, _stored_dict(spark, folder), WORDS)
 
 
 def spell_d2(spark, folder):
-    return spelling.spell(spark, _dict(spark, folder), NEAR_WORDS)
+    return spelling.spell(spark, _stored_dict(spark, folder), NEAR_WORDS)
 
 
 def suggest(spark, folder):
@@ -149,7 +154,7 @@ def json_suggest(spark, folder):
 
 def query_correction(spark, folder):
     words = "bufer of tabel"
-    fixed = spelling.spell(spark, _dict(spark, folder), words.split(" "))
+    fixed = spelling.spell(spark, _stored_dict(spark, folder), words.split(" "))
     asked = spark.createDataFrame(list(enumerate(words.split(" "))), "i int, query string")
     return asked.join(fixed, "query").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("word", "query").alias("w")))), lambda x: x["w"]), " ").alias("corrected"))
 
