@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.functions import porter, render
+from folioscan.functions import packing, porter, render
 from folioscan.functions.text import boolean_query, remove_stopwords
 from folioscan.operators import index as ix
 from folioscan.operators import search as se
@@ -54,8 +56,29 @@ def _tables():
 
 
 def register_functions(spark: SparkSession) -> None:
-    """SQL functions: stem(word)."""
+    """SQL functions: stem(word), pack(text), unpack(binary)."""
     spark.udf.register("stem", porter.stem_column)
+    spark.udf.register("pack", packing.packed)
+    spark.udf.register("unpack", packing.unpacked)
+
+
+class SuggestionCache:
+    """Answers of a suggestion source by query, the ``size`` used last. ``prefixes``: a query that goes on from one
+    without answers is not asked again; that is only right for sources that complete prefixes, so it is off by default."""
+
+    def __init__(self, ask, size: int = 1000, prefixes: bool = False):
+        self.ask, self.size, self.prefixes = ask, size, prefixes
+        self.known: OrderedDict[str, list] = OrderedDict()
+
+    def get(self, query: str) -> list:
+        if query not in self.known:
+            if self.prefixes and any(not self.known.get(query[:i], [0]) for i in range(1, len(query))):
+                return []
+            self.known[query] = self.ask(query)
+            if len(self.known) > self.size:
+                self.known.popitem(last=False)
+        self.known.move_to_end(query)
+        return self.known[query]
 
 
 class Engine:
