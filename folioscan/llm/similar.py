@@ -7,7 +7,8 @@ characteristic vectors. Steps:
 1. Records with the same token sequence form a class; from here on only one text of each class takes part, so copies,
    however many, never meet in a group.
 2. Candidates share one of their |A| - ceil(t |A|) + 1 rarest shingles (prefix filter: exact, whatever the order).
-   Rarity is taken from counts over all shingles in a fixed number of hash buckets; it only steers the cost.
+   Rarity is taken from counts over all shingles in a fixed number of hash buckets; it only steers the cost. A shingle
+   that is alone in its bucket is in no other text and needs no partner.
 3. Pigeonring: shingles are hashed to RING segments of 64 parity bits. Of any ring whose differences add up to at most H,
    some segment starts a chain of consecutive segments whose cumulative differences stay within 1, 2, 3, ... times
    H / RING. Parities never show more differences than there are, so pairs without such a chain are dropped safely.
@@ -25,15 +26,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.text import TokenHashes, shingles
+from folioscan.llm.text import TokenHashes, shingles, tokens, utf8
 from folioscan.storage import materialize
 
 RING = 4
-#: Counts of shingles are kept for 2**bits buckets, about an eighth of the shingles, within these bounds.
+#: Counts of shingles are kept for 2**bits buckets, about as many as there are shingles, within these bounds.
 LEAST_BITS, MOST_BITS = 16, 24
+#: Counts up to EXACT are kept as they are, larger ones in steps of 2**STEP: two bytes a bucket.
+EXACT, STEP = 1 << 15, 15
 #: Exact copies are expanded into pairs up to this class size; larger classes are linked through their representative.
 EXPAND = 1000
 
@@ -50,14 +54,8 @@ class Similarity:
         return F.floor((a + b) * F.lit((1 - self.threshold) / (1 + self.threshold)) + F.lit(1e-9))
 
 
-def token_text(c: Column) -> Column:
-    """The tokens joined by single blanks."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.trim(F.translate(F.regexp_replace(c, r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+", " "), upper, lower))
-
-
 def _sets(column: pa.Array, known: TokenHashes, size: int) -> list[np.ndarray]:
-    return [shingles(known.of(t.split(b" ")), size) for t in column.cast(pa.binary()).to_pylist()]
+    return [shingles(known.of(tokens(t)), size) for t in utf8(column)]
 
 
 def _bucket(s: np.ndarray, size: int) -> np.ndarray:
@@ -66,24 +64,33 @@ def _bucket(s: np.ndarray, size: int) -> np.ndarray:
 
 
 def bucket_counts(reps: DataFrame, size: int, docs: int) -> np.ndarray:
-    """How many shingles of all texts fall into each bucket: at most 64 MB, whatever the input."""
-    buckets = 1 << min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(docs, 1) * 16))))
+    """How many shingles of all texts fall into each bucket, packed: at most 32 MB, whatever the input."""
+    buckets = 1 << min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(docs, 1) * 128))))
 
     def counted(batches):
-        known, total = TokenHashes(), np.zeros(buckets, np.int64)
+        known, total = TokenHashes(), np.zeros(buckets, np.int32)
         for b in batches:
             sets = _sets(b.column(0), known, size)
             if sets:
-                total += np.bincount(_bucket(np.concatenate(sets), buckets), minlength=buckets)
+                np.add.at(total, _bucket(np.concatenate(sets), buckets), np.int32(1))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
-
-    rows = reps.select("norm").mapInArrow(counted, "bucket int, n bigint").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
-    out = np.zeros(buckets, np.int32)
+        for i in range(0, len(at), 1 << 18):
+            part = at[i : i + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
+
+    n = F.sum("n")
+    packed = F.when(n < EXACT, n).otherwise(EXACT + F.least(F.shiftright(n, STEP), F.lit(EXACT - 1))).cast("int")
+    rows = reps.select("text").mapInArrow(counted, "bucket int, n int").groupBy("bucket").agg(packed.alias("n")).toArrow()
+    out = np.zeros(buckets, np.uint16)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return out
 
 
+def _unpacked(counts: np.ndarray) -> np.ndarray:
+    c = counts.astype(np.int64)
+    return np.where(c < EXACT, c, (c - EXACT) << STEP).astype(np.int32)
+
+
 def _rings(sets: list[np.ndarray]) -> np.ndarray:
     """Parity bits of each set: RING words of 64 bits."""
     lens = np.array([len(s) for s in sets])
@@ -103,8 +110,9 @@ def _prefixes(reps: DataFrame, sim: Similarity, counts: np.ndarray) -> DataFrame
         for b in batches:
             toks, lens, weights, sets = [], [], [], _sets(b.column(1), known, size)
             for s in sets:
-                w = shared.value[_bucket(s, len(shared.value))]
+                w = _unpacked(shared.value[_bucket(s, len(shared.value))])
                 pick = np.lexsort((s, w))[: len(s) - math.ceil(t * len(s) - 1e-9) + 1]
+                pick = pick[w[pick] > 1]
                 toks.append(s[pick].view(np.int64))
                 weights.append(w[pick])
                 lens.append(len(pick))
@@ -118,7 +126,7 @@ def _prefixes(reps: DataFrame, sim: Similarity, counts: np.ndarray) -> DataFrame
                 ["token", "rep", "n", "weight", *ring],
             )
 
-    return reps.select("rep", "norm").mapInArrow(emit, "token bigint, rep bigint, n int, weight int, " + ", ".join(f"{r} bigint" for r in ring))
+    return reps.select("rep", "text").mapInArrow(emit, "token bigint, rep bigint, n int, weight int, " + ", ".join(f"{r} bigint" for r in ring))
 
 
 def _features(reps: DataFrame, size: int) -> DataFrame:
@@ -133,7 +141,7 @@ def _features(reps: DataFrame, size: int) -> DataFrame:
                 offsets = pa.array(np.concatenate(([0], np.cumsum(lens))).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "n", "sh"])
 
-    return reps.select("rep", "norm").mapInArrow(emit, "rep bigint, n int, sh array<bigint>")
+    return reps.select("rep", "text").mapInArrow(emit, "rep bigint, n int, sh array<bigint>")
 
 
 def ring_holds(a: list[Column], b: list[Column], budget: Column) -> Column:
@@ -166,15 +174,35 @@ def _candidates(prefixes: DataFrame, sim: Similarity, docs: int) -> DataFrame:
     return join(cold, cold, ["token"]).unionByName(join(spread, repeated, ["token", "salt"])).distinct()
 
 
+def _keyed(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, k1, k2): a 128-bit hash of the token sequence of each text of at least ``least`` tokens."""
+
+    def emit(batches):
+        for b in batches:
+            ids, keys = [], []
+            for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+                toks = tokens(t)
+                if len(toks) >= least:
+                    ids.append(i)
+                    keys.append(xxhash.xxh3_128_digest(b" ".join(toks)))
+            k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1]))], ["doc_id", "k1", "k2"])
+
+    return docs.mapInArrow(emit, "doc_id bigint, k1 bigint, k2 bigint")
+
+
 def classes(docs: DataFrame, doc_id: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """(rep, norm, copies) of each class of equal token sequences, and (doc_id, rep) of the members of those that have
-    more than one. ``copies`` counts rows; texts are combined before the shuffle, so a hot class sends one row a task."""
-    base = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), token_text(F.col(text)).alias("norm")).filter(F.size(F.split("norm", " ")) >= least)
-    reps = base.groupBy("norm").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("copies"))
-    reps = materialize(reps, "texts")
-    many = reps.filter("last > rep").select(F.md5("norm").alias("key"), "rep")
-    members = base.select("doc_id", F.md5("norm").alias("key")).join(many, "key").select("doc_id", "rep").distinct()
-    return reps.select("rep", "norm", "copies", "last"), members
+    """(rep, text, copies, last) of each class of equal token sequences, and (doc_id, rep) of the members of those that
+    have more than one. ``copies`` counts rows. Classes are formed on hashes, combined before the shuffle, so a hot class
+    sends one slim row a task; texts move once, those of the representatives."""
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    keyed = materialize(_keyed(base, least), "keys")
+    groups = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("copies"))
+    # an id that stands in several rows keeps one text: ids are unique, or its rows are repeated
+    texts = base.join(groups.select(F.col("rep").alias("doc_id"), "copies", "last"), "doc_id").select(F.col("doc_id").alias("rep"), "text", "copies", "last")
+    reps = materialize(texts.groupBy("rep").agg(F.max("text").alias("text"), F.max("copies").alias("copies"), F.max("last").alias("last")), "texts")
+    members = keyed.join(groups.filter("last > rep").select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep").distinct()
+    return reps, members
 
 
 def similar_classes(reps: DataFrame, sim: Similarity) -> DataFrame:
