@@ -9,7 +9,7 @@ characteristic vectors. Steps:
 2. Candidates share one of their |A| - ceil(t |A|) + 1 rarest shingles (prefix filter: exact, whatever the order).
    Rarity is taken from counts over all shingles in a fixed number of hash buckets; it only steers the cost. A shingle
    that is alone in its bucket is in no other text and needs no partner.
-3. Pigeonring: shingles are hashed to RING segments of 64 parity bits. Of any ring whose differences add up to at most H,
+3. Pigeonring: shingles are hashed to RING segments of 64 parity bits, which travel with the candidates. Of any ring whose differences add up to at most H,
    some segment starts a chain of consecutive segments whose cumulative differences stay within 1, 2, 3, ... times
    H / RING. Parities never show more differences than there are, so pairs without such a chain are dropped safely.
 4. The full Hamming check on the whole shingle sets decides.
@@ -34,10 +34,12 @@ from folioscan.llm.text import TokenHashes, shingles, tokens, utf8
 from folioscan.storage import materialize
 
 RING = 4
-#: Counts of shingles are kept for 2**bits buckets, about as many as there are shingles, within these bounds.
+#: Shingles are counted in 2**bits buckets, some for each shingle, within these bounds.
 LEAST_BITS, MOST_BITS = 16, 24
-#: Counts up to EXACT are kept as they are, larger ones in steps of 2**STEP: two bytes a bucket.
-EXACT, STEP = 1 << 15, 15
+#: Rarity is told by sums over 2**FOLD neighbouring buckets.
+FOLD = 3
+#: Up to this many copies are told to all tasks; beyond it, texts of representatives are picked by a shuffle.
+BROADCAST_COPIES = 1_000_000
 #: Exact copies are expanded into pairs up to this class size; larger classes are linked through their representative.
 EXPAND = 1000
 
@@ -54,8 +56,10 @@ class Similarity:
         return F.floor((a + b) * F.lit((1 - self.threshold) / (1 + self.threshold)) + F.lit(1e-9))
 
 
-def _sets(column: pa.Array, known: TokenHashes, size: int) -> list[np.ndarray]:
-    return [shingles(known.of(tokens(t)), size) for t in utf8(column)]
+def _sets(column: pa.Array, known: TokenHashes, sim: Similarity) -> list[np.ndarray]:
+    """Shingle sets; empty for texts that are too short."""
+    toks = map(tokens, utf8(column))
+    return [shingles(known.of(t), sim.size) if len(t) >= sim.least else np.empty(0, np.uint64) for t in toks]
 
 
 def _bucket(s: np.ndarray, size: int) -> np.ndarray:
@@ -63,14 +67,30 @@ def _bucket(s: np.ndarray, size: int) -> np.ndarray:
     return (s >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
-def bucket_counts(reps: DataFrame, size: int, docs: int) -> np.ndarray:
-    """How many shingles of all texts fall into each bucket, packed: at most 32 MB, whatever the input."""
+@dataclass(frozen=True)
+class Rarity:
+    """What all tasks know of how often shingles occur: at most 2 MB of bits and 8 MB of sums, whatever the input."""
+
+    #: one bit for each bucket: whether exactly one shingle of all texts fell into it
+    alone: np.ndarray
+    #: for each 2**FOLD buckets, how many fell into them
+    sums: np.ndarray
+
+    def weights(self, s: np.ndarray) -> np.ndarray:
+        """1 for a shingle that is in one text alone, else an upper bound of the number of texts that have it."""
+        at = _bucket(s, len(self.alone) * 8)
+        alone = (self.alone[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+        return np.where(alone == 1, 1, np.maximum(2, self.sums[at >> FOLD])).astype(np.int32)
+
+
+def rarity(reps: DataFrame, sim: Similarity, docs: int) -> Rarity:
+    """Counts the shingles of all texts."""
     buckets = 1 << min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(docs, 1) * 128))))
 
     def counted(batches):
         known, total = TokenHashes(), np.zeros(buckets, np.int32)
         for b in batches:
-            sets = _sets(b.column(0), known, size)
+            sets = _sets(b.column(0), known, sim)
             if sets:
                 np.add.at(total, _bucket(np.concatenate(sets), buckets), np.int32(1))
         at = np.flatnonzero(total)
@@ -78,17 +98,10 @@ def bucket_counts(reps: DataFrame, size: int, docs: int) -> np.ndarray:
             part = at[i : i + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
 
-    n = F.sum("n")
-    packed = F.when(n < EXACT, n).otherwise(EXACT + F.least(F.shiftright(n, STEP), F.lit(EXACT - 1))).cast("int")
-    rows = reps.select("text").mapInArrow(counted, "bucket int, n int").groupBy("bucket").agg(packed.alias("n")).toArrow()
-    out = np.zeros(buckets, np.uint16)
+    rows = reps.select("text").mapInArrow(counted, "bucket int, n int").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**28)).cast("int").alias("n")).toArrow()
+    out = np.zeros(buckets, np.int32)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return out
-
-
-def _unpacked(counts: np.ndarray) -> np.ndarray:
-    c = counts.astype(np.int64)
-    return np.where(c < EXACT, c, (c - EXACT) << STEP).astype(np.int32)
+    return Rarity(np.packbits(out == 1), np.minimum(out.reshape(-1, 1 << FOLD).sum(axis=1), 2**31 - 1).astype(np.int32))
 
 
 def _rings(sets: list[np.ndarray]) -> np.ndarray:
@@ -99,18 +112,17 @@ def _rings(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(bits.reshape(len(sets), -1), axis=1, bitorder="little").view("<i8")
 
 
-def _prefixes(reps: DataFrame, sim: Similarity, counts: np.ndarray) -> DataFrame:
-    """(token, rep, n, weight, r0, r1, ...): the rarest shingles of each text, with its size and ring."""
-    shared = reps.sparkSession.sparkContext.broadcast(counts)
-    t, size = sim.threshold, sim.size
-    ring = [f"r{i}" for i in range(RING)]
+def _prefixes(reps: DataFrame, sim: Similarity, known_counts: Rarity) -> DataFrame:
+    """(token, rep, n, weight): the rarest shingles of each text, but those that are in no other."""
+    shared = reps.sparkSession.sparkContext.broadcast(known_counts)
+    t = sim.threshold
 
     def emit(batches):
         known = TokenHashes()
         for b in batches:
-            toks, lens, weights, sets = [], [], [], _sets(b.column(1), known, size)
+            toks, lens, weights, sets = [], [], [], _sets(b.column(1), known, sim)
             for s in sets:
-                w = _unpacked(shared.value[_bucket(s, len(shared.value))])
+                w = shared.value.weights(s)
                 pick = np.lexsort((s, w))[: len(s) - math.ceil(t * len(s) - 1e-9) + 1]
                 pick = pick[w[pick] > 1]
                 toks.append(s[pick].view(np.int64))
@@ -120,28 +132,26 @@ def _prefixes(reps: DataFrame, sim: Similarity, counts: np.ndarray) -> DataFrame
                 continue
             owner = np.repeat(np.arange(len(sets)), lens)
             n = np.array([len(s) for s in sets], np.int32)
-            words = _rings(sets)[owner]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(toks)), b.column(0).take(pa.array(owner)), pa.array(n[owner]), pa.array(np.concatenate(weights)), *[pa.array(words[:, i]) for i in range(RING)]],
-                ["token", "rep", "n", "weight", *ring],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), b.column(0).take(pa.array(owner)), pa.array(n[owner]), pa.array(np.concatenate(weights))], ["token", "rep", "n", "weight"])
 
-    return reps.select("rep", "text").mapInArrow(emit, "token bigint, rep bigint, n int, weight int, " + ", ".join(f"{r} bigint" for r in ring))
+    return reps.select("rep", "text").mapInArrow(emit, "token bigint, rep bigint, n int, weight int")
 
 
-def _features(reps: DataFrame, size: int) -> DataFrame:
-    """(rep, n, sh): the sorted shingle set."""
+def _features(reps: DataFrame, sim: Similarity) -> DataFrame:
+    """(rep, n, r0, r1, ..., sh): size, ring and sorted shingle set."""
+    ring = [f"r{i}" for i in range(RING)]
 
     def emit(batches):
         known = TokenHashes()
         for b in batches:
-            sets = _sets(b.column(1), known, size)
+            sets = _sets(b.column(1), known, sim)
             if sets:
-                lens = np.array([len(s) for s in sets])
+                lens, words = np.array([len(s) for s in sets]), _rings(sets)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(lens))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "n", "sh"])
+                arrays = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens.astype(np.int32)), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(RING)], arrays], ["rep", "n", *ring, "sh"])
 
-    return reps.select("rep", "text").mapInArrow(emit, "rep bigint, n int, sh array<bigint>")
+    return reps.select("rep", "text").mapInArrow(emit, "rep bigint, n int, " + ", ".join(f"{r} bigint" for r in ring) + ", sh array<bigint>")
 
 
 def ring_holds(a: list[Column], b: list[Column], budget: Column) -> Column:
@@ -158,15 +168,13 @@ def ring_holds(a: list[Column], b: list[Column], budget: Column) -> Column:
 
 
 def _candidates(prefixes: DataFrame, sim: Similarity, docs: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share a prefix shingle and whose sizes and rings allow the threshold.
+    """Distinct pairs (a, b), a < b, that share a prefix shingle and whose sizes allow the threshold.
 
-    Heavy shingles are salted: one side spread, one repeated. Pairs are judged as they are joined, before any shuffle."""
+    Heavy shingles are salted: one side spread, one repeated."""
     bar = max(sim.hot_least, docs // 1000)
-    ring = [f"r{i}" for i in range(RING)]
     fits = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(sim.threshold - 1e-9)
-    near = ring_holds([F.col(f"a_{r}") for r in ring], [F.col(f"b_{r}") for r in ring], sim.budget(F.col("a_n"), F.col("b_n")))
-    pick = lambda df, s: df.select("token", *[c for c in df.columns if c == "salt"], F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", *ring)])
-    join = lambda x, y, on: pick(x, "a").join(pick(y, "b"), on).filter((F.col("a") < F.col("b")) & fits).filter(near).select("a", "b")
+    pick = lambda df, s: df.select("token", *[c for c in df.columns if c == "salt"], F.col("rep").alias(s), F.col("n").alias(f"{s}_n"))
+    join = lambda x, y, on: pick(x, "a").join(pick(y, "b"), on).filter((F.col("a") < F.col("b")) & fits).select("a", "b")
     cold = prefixes.filter(F.col("weight") <= bar)
     hot = prefixes.filter(F.col("weight") > bar).withColumn("parts", F.ceil(F.col("weight") / bar).cast("int"))
     spread = hot.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -191,54 +199,68 @@ def _keyed(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(emit, "doc_id bigint, k1 bigint, k2 bigint")
 
 
-def classes(docs: DataFrame, doc_id: str, text: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """(rep, text, copies, last) of each class of equal token sequences, and (doc_id, rep) of the members of those that
-    have more than one. ``copies`` counts rows. Classes are formed on hashes, combined before the shuffle, so a hot class
-    sends one slim row a task; texts move once, those of the representatives."""
+@dataclass(frozen=True)
+class Classes:
+    #: (rep, last, copies): of each class the least and the greatest id, and its rows
+    groups: DataFrame
+    #: (doc_id, rep) of the classes that have more than one id
+    members: DataFrame
+    #: (rep, text): a text of each class, read where it lies
+    reps: DataFrame
+
+
+def classes(docs: DataFrame, doc_id: str, text: str, least: int) -> Classes:
+    """Classes of equal token sequences. They are formed on hashes, combined before the shuffle, so that a hot class sends
+    one slim row a task. An id must stand for one text; its repeated rows do no harm."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text is not null")
     keyed = materialize(_keyed(base, least), "keys")
-    groups = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("copies"))
-    # an id that stands in several rows keeps one text: ids are unique, or its rows are repeated
-    texts = base.join(groups.select(F.col("rep").alias("doc_id"), "copies", "last"), "doc_id").select(F.col("doc_id").alias("rep"), "text", "copies", "last")
-    reps = materialize(texts.groupBy("rep").agg(F.max("text").alias("text"), F.max("copies").alias("copies"), F.max("last").alias("last")), "texts")
-    members = keyed.join(groups.filter("last > rep").select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep").distinct()
-    return reps, members
+    groups = materialize(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("copies")), "classes")
+    members = materialize(keyed.join(groups.filter("last > rep").select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep").distinct(), "members")
+    others = members.filter("doc_id <> rep").select("doc_id")
+    if others.count() <= BROADCAST_COPIES:  # texts stay where they are
+        reps = base.join(F.broadcast(others), "doc_id", "left_anti")
+    else:
+        reps = materialize(base.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    return Classes(groups, members, reps.select(F.col("doc_id").alias("rep"), "text"))
 
 
-def similar_classes(reps: DataFrame, sim: Similarity) -> DataFrame:
+def similar_classes(found: Classes, sim: Similarity) -> DataFrame:
     """(a, b): pairs of class representatives at or above the threshold."""
-    docs = reps.count()
-    prefixes = materialize(_prefixes(reps, sim, bucket_counts(reps, sim.size, docs)), "prefixes")
+    docs = found.groups.count()
+    prefixes = materialize(_prefixes(found.reps, sim, rarity(found.reps, sim, docs)), "prefixes")
     pairs = materialize(_candidates(prefixes, sim, docs), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    feats = _features(reps.join(wanted, "rep", "left_semi"), sim.size)
-    side = lambda s: feats.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "sh")])
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_COPIES else wanted
+    feats = _features(found.reps.join(wanted, "rep", "left_semi"), sim).dropDuplicates(["rep"])
+    ring = [f"r{i}" for i in range(RING)]
+    side = lambda s: feats.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", *ring, "sh")])
+    budget = sim.budget(F.col("a_n"), F.col("b_n"))
     common = F.size(F.array_intersect("a_sh", "b_sh"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("a_n") + F.col("b_n") - 2 * common <= sim.budget(F.col("a_n"), F.col("b_n"))).select("a", "b")
+    near = ring_holds([F.col(f"a_{r}") for r in ring], [F.col(f"b_{r}") for r in ring], budget)
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(near).filter(F.col("a_n") + F.col("b_n") - 2 * common <= budget).select("a", "b")
 
 
 def similar_pairs(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
     """(doc_id_a, doc_id_b): all pairs of records, copies expanded up to EXPAND members of a class."""
-    reps, members = classes(docs, doc_id, text, sim.least)
-    members = materialize(members, "members")
-    small = members.join(reps.filter(F.col("copies") <= EXPAND).select("rep"), "rep", "left_semi")
-    links = similar_classes(reps, sim)
+    found = classes(docs, doc_id, text, sim.least)
+    small = found.members.join(found.groups.filter(F.col("copies") <= EXPAND).select("rep"), "rep", "left_semi")
+    links = similar_classes(found, sim)
     for s in ("a", "b"):
         side = small.select(F.col("rep").alias(s), F.col("doc_id").alias(f"m_{s}"))
         links = links.join(side, s, "left").withColumn(f"d_{s}", F.coalesce(f"m_{s}", s))
     across = links.select("d_a", "d_b")
     x, y = (small.select("rep", F.col("doc_id").alias(f"d_{s}")) for s in "ab")
     within = x.join(y, "rep").filter("d_a < d_b").select("d_a", "d_b")
-    star = members.join(reps.filter(F.col("copies") > EXPAND).select("rep"), "rep", "left_semi").filter("doc_id <> rep").select(F.col("rep").alias("d_a"), F.col("doc_id").alias("d_b"))
+    large = found.groups.filter(F.col("copies") > EXPAND).select("rep")
+    star = found.members.join(large, "rep", "left_semi").filter("doc_id <> rep").select(F.col("rep").alias("d_a"), F.col("doc_id").alias("d_b"))
     return across.unionByName(within).unionByName(star).select(F.least("d_a", "d_b").alias("doc_id_a"), F.greatest("d_a", "d_b").alias("doc_id_b"))
 
 
 def similar_links(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
     """One row for each record: its class of copies, how many records share its text, how many other texts resemble it."""
-    reps, members = classes(docs, doc_id, text, sim.least)
-    pairs = similar_classes(reps, sim)
-    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    members = materialize(members.unionByName(reps.filter("last = rep").select(F.col("rep").alias("doc_id"), "rep")), "members")
+    found = classes(docs, doc_id, text, sim.least)
+    links = similar_classes(found, sim).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    members = found.members.unionByName(found.groups.filter("last = rep").select(F.col("rep").alias("doc_id"), "rep"))
     return (
         members.join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")), "rep")
         .join(links, "rep", "left")
