@@ -37,7 +37,7 @@ RING = 4
 #: Shingles are counted in 2**bits buckets, some for each shingle, within these bounds.
 LEAST_BITS, MOST_BITS = 16, 24
 #: Rarity is told by sums over 2**FOLD neighbouring buckets.
-FOLD = 3
+FOLD = 2
 #: Up to this many copies are told to all tasks; beyond it, texts of representatives are picked by a shuffle.
 BROADCAST_COPIES = 1_000_000
 #: Exact copies are expanded into pairs up to this class size; larger classes are linked through their representative.
@@ -69,7 +69,7 @@ def _bucket(s: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Rarity:
-    """What all tasks know of how often shingles occur: at most 2 MB of bits and 8 MB of sums, whatever the input."""
+    """What all tasks know of how often shingles occur: at most 2 MB of bits and 16 MB of sums, whatever the input."""
 
     #: one bit for each bucket: whether exactly one shingle of all texts fell into it
     alone: np.ndarray
@@ -112,10 +112,11 @@ def _rings(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(bits.reshape(len(sets), -1), axis=1, bitorder="little").view("<i8")
 
 
-def _prefixes(reps: DataFrame, sim: Similarity, known_counts: Rarity) -> DataFrame:
-    """(token, rep, n, weight): the rarest shingles of each text, but those that are in no other."""
-    shared = reps.sparkSession.sparkContext.broadcast(known_counts)
+def _prefixes(reps: DataFrame, sim: Similarity, shared) -> DataFrame:
+    """(token, rep, n, weight, r0, r1, ...): the rarest shingles of each text, but those that are in no other, with the
+    text's size and ring. ``shared``: a broadcast Rarity."""
     t = sim.threshold
+    ring = [f"r{i}" for i in range(RING)]
 
     def emit(batches):
         known = TokenHashes()
@@ -132,26 +133,29 @@ def _prefixes(reps: DataFrame, sim: Similarity, known_counts: Rarity) -> DataFra
                 continue
             owner = np.repeat(np.arange(len(sets)), lens)
             n = np.array([len(s) for s in sets], np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), b.column(0).take(pa.array(owner)), pa.array(n[owner]), pa.array(np.concatenate(weights))], ["token", "rep", "n", "weight"])
+            words = _rings(sets)[owner]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(toks)), b.column(0).take(pa.array(owner)), pa.array(n[owner]), pa.array(np.concatenate(weights)), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(RING)]],
+                ["token", "rep", "n", "weight", *ring],
+            )
 
-    return reps.select("rep", "text").mapInArrow(emit, "token bigint, rep bigint, n int, weight int")
+    return reps.select("rep", "text").mapInArrow(emit, "token bigint, rep bigint, n int, weight int, " + ", ".join(f"{r} bigint" for r in ring))
 
 
-def _features(reps: DataFrame, sim: Similarity) -> DataFrame:
-    """(rep, n, r0, r1, ..., sh): size, ring and sorted shingle set."""
-    ring = [f"r{i}" for i in range(RING)]
+def _features(reps: DataFrame, sim: Similarity, shared) -> DataFrame:
+    """(rep, n, sh): size, and the shingles that can be in another text, sorted."""
 
     def emit(batches):
         known = TokenHashes()
         for b in batches:
             sets = _sets(b.column(1), known, sim)
             if sets:
-                lens, words = np.array([len(s) for s in sets]), _rings(sets)
-                offsets = pa.array(np.concatenate(([0], np.cumsum(lens))).astype(np.int32))
-                arrays = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lens.astype(np.int32)), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(RING)], arrays], ["rep", "n", *ring, "sh"])
+                n = pa.array(np.array([len(s) for s in sets], np.int32))
+                sets = [s[shared.value.weights(s) > 1] for s in sets]
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0), n, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "n", "sh"])
 
-    return reps.select("rep", "text").mapInArrow(emit, "rep bigint, n int, " + ", ".join(f"{r} bigint" for r in ring) + ", sh array<bigint>")
+    return reps.select("rep", "text").mapInArrow(emit, "rep bigint, n int, sh array<bigint>")
 
 
 def ring_holds(a: list[Column], b: list[Column], budget: Column) -> Column:
@@ -168,13 +172,15 @@ def ring_holds(a: list[Column], b: list[Column], budget: Column) -> Column:
 
 
 def _candidates(prefixes: DataFrame, sim: Similarity, docs: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share a prefix shingle and whose sizes allow the threshold.
+    """Distinct pairs (a, b), a < b, that share a prefix shingle and whose sizes and rings allow the threshold.
 
-    Heavy shingles are salted: one side spread, one repeated."""
+    Heavy shingles are salted: one side spread, one repeated. Pairs are judged as they are joined, before any shuffle."""
     bar = max(sim.hot_least, docs // 1000)
+    ring = [f"r{i}" for i in range(RING)]
     fits = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(sim.threshold - 1e-9)
-    pick = lambda df, s: df.select("token", *[c for c in df.columns if c == "salt"], F.col("rep").alias(s), F.col("n").alias(f"{s}_n"))
-    join = lambda x, y, on: pick(x, "a").join(pick(y, "b"), on).filter((F.col("a") < F.col("b")) & fits).select("a", "b")
+    near = ring_holds([F.col(f"a_{r}") for r in ring], [F.col(f"b_{r}") for r in ring], sim.budget(F.col("a_n"), F.col("b_n")))
+    pick = lambda df, s: df.select("token", *[c for c in df.columns if c == "salt"], F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", *ring)])
+    join = lambda x, y, on: pick(x, "a").join(pick(y, "b"), on).filter((F.col("a") < F.col("b")) & fits).filter(near).select("a", "b")
     cold = prefixes.filter(F.col("weight") <= bar)
     hot = prefixes.filter(F.col("weight") > bar).withColumn("parts", F.ceil(F.col("weight") / bar).cast("int"))
     spread = hot.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
@@ -227,17 +233,16 @@ def classes(docs: DataFrame, doc_id: str, text: str, least: int) -> Classes:
 def similar_classes(found: Classes, sim: Similarity) -> DataFrame:
     """(a, b): pairs of class representatives at or above the threshold."""
     docs = found.groups.count()
-    prefixes = materialize(_prefixes(found.reps, sim, rarity(found.reps, sim, docs)), "prefixes")
+    shared = found.reps.sparkSession.sparkContext.broadcast(rarity(found.reps, sim, docs))
+    prefixes = materialize(_prefixes(found.reps, sim, shared), "prefixes")
     pairs = materialize(_candidates(prefixes, sim, docs), "candidates")
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_COPIES else wanted
-    feats = _features(found.reps.join(wanted, "rep", "left_semi"), sim).dropDuplicates(["rep"])
-    ring = [f"r{i}" for i in range(RING)]
-    side = lambda s: feats.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", *ring, "sh")])
-    budget = sim.budget(F.col("a_n"), F.col("b_n"))
+    feats = _features(found.reps.join(wanted, "rep", "left_semi"), sim, shared).dropDuplicates(["rep"])
+    side = lambda s: feats.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "sh")])
+    # the full Hamming check: shingles in one text alone are in the sizes, and in no common part
     common = F.size(F.array_intersect("a_sh", "b_sh"))
-    near = ring_holds([F.col(f"a_{r}") for r in ring], [F.col(f"b_{r}") for r in ring], budget)
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(near).filter(F.col("a_n") + F.col("b_n") - 2 * common <= budget).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("a_n") + F.col("b_n") - 2 * common <= sim.budget(F.col("a_n"), F.col("b_n"))).select("a", "b")
 
 
 def similar_pairs(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
