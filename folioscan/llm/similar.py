@@ -37,7 +37,9 @@ RING = 4
 #: Shingles are counted in 2**bits buckets, some for each shingle, within these bounds.
 LEAST_BITS, MOST_BITS = 16, 24
 #: Rarity is told by sums over 2**FOLD neighbouring buckets.
-FOLD = 2
+FOLD = 3
+#: Sums under EXACT are kept as they are, larger ones in steps of 2**STEP: two bytes each.
+EXACT, STEP = 1 << 15, 15
 #: Up to this many copies are told to all tasks; beyond it, texts of representatives are picked by a shuffle.
 BROADCAST_COPIES = 1_000_000
 #: Exact copies are expanded into pairs up to this class size; larger classes are linked through their representative.
@@ -69,7 +71,7 @@ def _bucket(s: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Rarity:
-    """What all tasks know of how often shingles occur: at most 2 MB of bits and 16 MB of sums, whatever the input."""
+    """What all tasks know of how often shingles occur: at most 2 MB of bits and 4 MB of sums, whatever the input."""
 
     #: one bit for each bucket: whether exactly one shingle of all texts fell into it
     alone: np.ndarray
@@ -80,7 +82,9 @@ class Rarity:
         """1 for a shingle that is in one text alone, else an upper bound of the number of texts that have it."""
         at = _bucket(s, len(self.alone) * 8)
         alone = (self.alone[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        return np.where(alone == 1, 1, np.maximum(2, self.sums[at >> FOLD])).astype(np.int32)
+        n = self.sums[at >> FOLD].astype(np.int64)
+        n = np.where(n < EXACT, n, (n - EXACT + 1) << STEP)
+        return np.where(alone == 1, 1, np.maximum(2, n)).astype(np.int32)
 
 
 def rarity(reps: DataFrame, sim: Similarity, docs: int) -> Rarity:
@@ -101,7 +105,8 @@ def rarity(reps: DataFrame, sim: Similarity, docs: int) -> Rarity:
     rows = reps.select("text").mapInArrow(counted, "bucket int, n int").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**28)).cast("int").alias("n")).toArrow()
     out = np.zeros(buckets, np.int32)
     out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    return Rarity(np.packbits(out == 1), np.minimum(out.reshape(-1, 1 << FOLD).sum(axis=1), 2**31 - 1).astype(np.int32))
+    sums = out.reshape(-1, 1 << FOLD).sum(axis=1, dtype=np.int64)
+    return Rarity(np.packbits(out == 1), np.where(sums < EXACT, sums, EXACT + np.minimum(sums >> STEP, EXACT - 1)).astype(np.uint16))
 
 
 def _rings(sets: list[np.ndarray]) -> np.ndarray:

@@ -89,3 +89,19 @@ def test_ring_never_drops_a_pair_within_budget(spark):
     holds = ring_holds([F.col(f"a{i}") for i in range(n)], [F.col(f"b{i}") for i in range(n)], F.col("budget"))
     for r in df.withColumn("ok", holds).collect():
         assert r.ok == (r.d <= r.budget)  # a chain round the whole ring is the whole distance
+
+
+def test_weights_are_upper_bounds(spark):
+    import numpy as np
+
+    from folioscan.llm.similar import EXACT, FOLD, STEP, Rarity, _bucket
+
+    rng = np.random.default_rng(3)
+    out = rng.integers(0, 3, 1 << 16).astype(np.int64)
+    out[::977] = rng.integers(1, 1 << 29, len(out[::977]))
+    sums = out.reshape(-1, 1 << FOLD).sum(axis=1)
+    r = Rarity(np.packbits(out == 1), np.where(sums < EXACT, sums, EXACT + np.minimum(sums >> STEP, EXACT - 1)).astype(np.uint16))
+    s = rng.integers(0, 2**64, 5000, dtype=np.uint64)
+    true = out[_bucket(s, 1 << 16)]
+    got = r.weights(s)
+    assert ((got == 1) == (true == 1)).all() and (got[true != 1] >= np.minimum(true[true != 1], 2**29)).all()
