@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.text import tokens, utf8
+from folioscan.llm.text import small_batches, tokens, utf8
 from folioscan.storage import materialize
 
 ROUNDS = 25
@@ -44,7 +44,7 @@ def occurrences(docs: DataFrame, doc_id: str, fields: list[str]) -> DataFrame:
     """(doc_id, term, tf) over all fields of a record together."""
 
     def emit(batches):
-        for b in batches:
+        for b in small_batches(batches, 1, 1 << 20):
             ids, terms, tfs, reps = [], [], [], []
             for i, c in zip(b.column(0).to_pylist(), _counted([utf8(x) for x in b.columns[1:]])):
                 ids.append(i)

@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.text import TokenHashes, shingles, tokens, utf8
+from folioscan.llm.text import TokenHashes, shingle_hashes, small_batches, tokens, utf8
 from folioscan.storage import materialize
 
 RING = 4
@@ -58,10 +59,24 @@ class Similarity:
         return F.floor((a + b) * F.lit((1 - self.threshold) / (1 + self.threshold)) + F.lit(1e-9))
 
 
-def _sets(column: pa.Array, known: TokenHashes, sim: Similarity) -> list[np.ndarray]:
-    """Shingle sets; empty for texts that are too short."""
-    toks = map(tokens, utf8(column))
-    return [shingles(known.of(t), sim.size) if len(t) >= sim.least else np.empty(0, np.uint64) for t in toks]
+def _sets(column: pa.Array, known: TokenHashes, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of all texts of a batch, each sorted, one after the other, and their bounds; empty for null texts and
+    those that are too short."""
+    toks = [tokens(t) if t else [] for t in utf8(column)]
+    toks = [t if len(t) >= sim.least else [] for t in toks]
+    counts = np.array([len(t) for t in toks], np.int64)
+    h = known.of(list(chain.from_iterable(toks)))
+    n = np.maximum(counts - sim.size + 1, 0)
+    first = np.concatenate(([0], np.cumsum(counts)[:-1])) if len(counts) else counts
+    bounds = np.concatenate(([0], np.cumsum(n)))
+    at = np.arange(bounds[-1]) + np.repeat(first - bounds[:-1], n)  # where each shingle begins
+    flat = shingle_hashes(h, at, sim.size)
+    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        flat[x:y].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[bounds[:-1][n > 0]] = True
+    return flat[new], np.concatenate(([0], np.cumsum(new)))[bounds]
 
 
 def _bucket(s: np.ndarray, size: int) -> np.ndarray:
@@ -93,10 +108,8 @@ def rarity(reps: DataFrame, sim: Similarity, docs: int) -> Rarity:
 
     def counted(batches):
         known, total = TokenHashes(), np.zeros(buckets, np.int32)
-        for b in batches:
-            sets = _sets(b.column(0), known, sim)
-            if sets:
-                np.add.at(total, _bucket(np.concatenate(sets), buckets), np.int32(1))
+        for b in small_batches(batches, 0):
+            np.add.at(total, _bucket(_sets(b.column(0), known, sim)[0], buckets), np.int32(1))
         at = np.flatnonzero(total)
         for i in range(0, len(at), 1 << 18):
             part = at[i : i + (1 << 18)]
@@ -109,12 +122,12 @@ def rarity(reps: DataFrame, sim: Similarity, docs: int) -> Rarity:
     return Rarity(np.packbits(out == 1), np.where(sums < EXACT, sums, EXACT + np.minimum(sums >> STEP, EXACT - 1)).astype(np.uint16))
 
 
-def _rings(sets: list[np.ndarray]) -> np.ndarray:
+def _rings(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Parity bits of each set: RING words of 64 bits."""
-    lens = np.array([len(s) for s in sets])
-    at = np.repeat(np.arange(len(sets)) * (RING * 64), lens) + (np.concatenate(sets) & np.uint64(RING * 64 - 1)).astype(np.int64)
-    bits = (np.bincount(at, minlength=len(sets) * RING * 64) & 1).astype(np.uint8)
-    return np.packbits(bits.reshape(len(sets), -1), axis=1, bitorder="little").view("<i8")
+    sets = len(bounds) - 1
+    at = np.repeat(np.arange(sets) * (RING * 64), np.diff(bounds)) + (flat & np.uint64(RING * 64 - 1)).astype(np.int64)
+    bits = (np.bincount(at, minlength=sets * RING * 64) & 1).astype(np.uint8)
+    return np.packbits(bits.reshape(sets, -1), axis=1, bitorder="little").view("<i8")
 
 
 def _prefixes(reps: DataFrame, sim: Similarity, shared) -> DataFrame:
@@ -125,22 +138,23 @@ def _prefixes(reps: DataFrame, sim: Similarity, shared) -> DataFrame:
 
     def emit(batches):
         known = TokenHashes()
-        for b in batches:
-            toks, lens, weights, sets = [], [], [], _sets(b.column(1), known, sim)
-            for s in sets:
-                w = shared.value.weights(s)
-                pick = np.lexsort((s, w))[: len(s) - math.ceil(t * len(s) - 1e-9) + 1]
-                pick = pick[w[pick] > 1]
-                toks.append(s[pick].view(np.int64))
-                weights.append(w[pick])
-                lens.append(len(pick))
-            if not toks:
+        for b in small_batches(batches, 1):
+            flat, bounds = _sets(b.column(1), known, sim)
+            if not len(flat):
                 continue
-            owner = np.repeat(np.arange(len(sets)), lens)
-            n = np.array([len(s) for s in sets], np.int32)
-            words = _rings(sets)[owner]
+            w, picks, lens = shared.value.weights(flat), [], []
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                own = w[x:y]
+                pick = own.argsort(kind="stable")[: y - x - math.ceil(t * (y - x) - 1e-9) + 1]  # equal weights stay in order of hash
+                pick = pick[own[pick] > 1] + x
+                picks.append(pick)
+                lens.append(len(pick))
+            at = np.concatenate(picks)
+            owner = np.repeat(np.arange(len(lens)), lens)
+            n = np.diff(bounds).astype(np.int32)
+            words = _rings(flat, bounds)[owner]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(toks)), b.column(0).take(pa.array(owner)), pa.array(n[owner]), pa.array(np.concatenate(weights)), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(RING)]],
+                [pa.array(flat[at].view(np.int64)), b.column(0).take(pa.array(owner)), pa.array(n[owner]), pa.array(w[at]), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(RING)]],
                 ["token", "rep", "n", "weight", *ring],
             )
 
@@ -152,13 +166,12 @@ def _features(reps: DataFrame, sim: Similarity, shared) -> DataFrame:
 
     def emit(batches):
         known = TokenHashes()
-        for b in batches:
-            sets = _sets(b.column(1), known, sim)
-            if sets:
-                n = pa.array(np.array([len(s) for s in sets], np.int32))
-                sets = [s[shared.value.weights(s) > 1] for s in sets]
-                offsets = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([b.column(0), n, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], ["rep", "n", "sh"])
+        for b in small_batches(batches, 1):
+            flat, bounds = _sets(b.column(1), known, sim)
+            shared_by = shared.value.weights(flat) > 1
+            offsets = np.concatenate(([0], np.cumsum(shared_by)))[bounds].astype(np.int32)
+            arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[shared_by].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds).astype(np.int32)), arrays], ["rep", "n", "sh"])
 
     return reps.select("rep", "text").mapInArrow(emit, "rep bigint, n int, sh array<bigint>")
 

@@ -7,9 +7,11 @@ bytes that is a run of letters, digits and bytes from 0x80 on, and ``bytes.lower
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -20,6 +22,18 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of text, so that what is made of a batch fits beside it."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            base = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def tokens(text: bytes) -> list[bytes]:
     return TOKEN.findall(text.lower())
 
@@ -45,12 +59,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingles(hashes: np.ndarray, size: int = 3) -> np.ndarray:
-    """Distinct hashes of the runs of ``size`` consecutive tokens, ascending."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    acc = np.zeros(n, np.uint64)
+def shingle_hashes(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` tokens that begin at the places ``at``."""
+    acc = np.zeros(len(at), np.uint64)
     for j in range(size):
-        acc = acc * _A + hashes[j : j + n] * _B + _C
-    return np.unique(mix(acc))
+        acc = acc * _A + hashes[at + j] * _B + _C
+    return mix(acc)

@@ -84,3 +84,14 @@ def test_two_poisson_finds_the_mixture():
         want = p * dens(hi, x) / (p * dens(hi, x) + (1 - p) * dens(lo, x))
         assert got == pytest.approx(want, abs=0.05)
     assert all(a <= b + 1e-9 for a, b in zip(post, post[1:]))
+
+
+def test_small_batches_keep_all_rows():
+    import pyarrow as pa
+
+    from folioscan.llm.text import small_batches
+
+    texts = ["a" * 10, None, "", "b" * 100, "c", "d" * 7, None]
+    b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["i", "t"])
+    parts = list(small_batches([b, b.slice(0, 0)], 1, 12))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts and len(parts) > 2
