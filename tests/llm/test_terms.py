@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from folioscan.llm import termcount
+from folioscan.llm import distinctive, termcount
 from folioscan.llm.distinctive import best_terms, fit_two_poisson, term_scores
 from folioscan.llm.termcount import mark_terms, radix_leaves, term_counts
 
@@ -86,6 +86,50 @@ def test_two_poisson_finds_the_mixture():
     assert all(a <= b + 1e-9 for a, b in zip(post, post[1:]))
 
 
+#: Histograms of mandb_rec at sf0.1 (12,000 records): 'a', 'of', and those of rarer terms.
+REAL = [
+    {1: 1824, 2: 2372, 3: 2263, 4: 1706, 5: 1280, 6: 831, 7: 494, 8: 211, 9: 80, 10: 45, 11: 8, 12: 4, 13: 6, 14: 5, 15: 6, 16: 5, 17: 4, 18: 3, 19: 3, 20: 10, 21: 9, 22: 4, 23: 3, 24: 4, 25: 1, 26: 2, 28: 1},
+    {1: 3658, 2: 2786, 3: 1620, 4: 894, 5: 349, 6: 115, 7: 34, 8: 11, 9: 12, 10: 12, 11: 7, 12: 6, 13: 7, 14: 5, 15: 1, 16: 1, 18: 1, 20: 1},
+    {1: 836, 2: 44}, {1: 1323, 2: 107, 3: 4}, {1: 2792, 2: 481, 3: 47, 4: 8}, {1: 151, 2: 1}, {1: 1178}, {1: 2}, {1: 668, 2: 17, 3: 1},
+]
+
+
+def fitted(hists, records=12_000):
+    owner = np.repeat(np.arange(len(hists)), [len(h) for h in hists])
+    return np.split(fit_two_poisson(owner, np.array([k for h in hists for k in h]), np.array([n for h in hists for n in h.values()]), len(hists), records), np.cumsum([len(h) for h in hists])[:-1])
+
+
+def plain_em(h, rounds, records=12_000):
+    """The same mixture, one term, by nothing but rounds from the same start."""
+    k, n = np.array([0, *h], float), np.array([records - sum(h.values()), *h.values()], float)
+    total, df = (k * n).sum(), n[1:].sum()
+    p, lo, hi = df / records / 2, total / records / 2, total / df + 0.5
+    of = lambda: 1 / (1 + (1 - p) / p * np.exp(k * np.log(lo / hi) + hi - lo))
+    for _ in range(rounds):
+        w = (n * of()).sum()
+        p, hi, lo = w / records, (n * of() * k).sum() / w, max(1e-12, (total - (n * of() * k).sum()) / (records - w))
+    return of()[1:]
+
+
+def test_two_poisson_is_fitted_to_the_end():
+    got = fitted(REAL)
+    assert got[0][8] == pytest.approx(0.018, abs=0.001)  # 'a' nine times: 0.98 after 25 rounds
+    for i in (0, 1, 6, 8):  # where plain rounds come to an end in reasonable time
+        assert got[i] == pytest.approx(plain_em(REAL[i], 20_000), abs=5e-4)
+
+
+def test_more_rounds_change_nothing(monkeypatch):
+    got = fitted(REAL)
+    monkeypatch.setattr(distinctive, "TOLERANCE", 1e-9)
+    for a, b in zip(got, fitted(REAL)):
+        assert a == pytest.approx(b, abs=1e-4)
+
+
+def test_equal_histograms_and_order_of_entries():
+    got = fitted([REAL[2], dict(reversed(REAL[3].items())), REAL[2], REAL[3]])
+    assert list(got[0]) == list(got[2]) and list(got[1]) == list(reversed(got[3]))
+
+
 def test_small_batches_keep_all_rows():
     import pyarrow as pa
 
