@@ -15,7 +15,7 @@ characteristic vectors. Steps:
 4. The full Hamming check on the whole shingle sets decides.
 
 Defined results: null texts and texts under ``least`` tokens take part in no pair; ids that are null are left out;
-repeated ids count once; an empty table gives no pairs. Texts are used whole.
+repeated ids count once; an empty table gives no pairs. Links have a row for each id, whatever its text. Texts are used whole.
 """
 
 from __future__ import annotations
@@ -280,12 +280,15 @@ def similar_pairs(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> D
 
 
 def similar_links(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
-    """One row for each record: its class of copies, how many records share its text, how many other texts resemble it."""
+    """One row for each id: its class of copies, how many records share its text, how many other texts resemble it. A record
+    without text, or with one under ``least`` tokens, is a class of its own without links."""
     found = classes(docs, doc_id, text, sim.least)
     links = similar_classes(found, sim).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     members = found.members.unionByName(found.groups.filter("last = rep").select(F.col("rep").alias("doc_id"), "rep"))
-    return (
+    linked = (
         members.join(members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies")), "rep")
         .join(links, "rep", "left")
         .select("doc_id", F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
     )
+    alone = docs.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id is not null").distinct().join(members.select("doc_id"), "doc_id", "left_anti")
+    return linked.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links")))

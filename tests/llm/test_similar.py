@@ -58,6 +58,13 @@ def test_copies_long_texts_and_clashing_names(spark):
     assert links == {1: (1, 1, 1), 2: (2, 1, 1), 3: (3, 3, 0), 4: (3, 3, 0), 5: (3, 3, 0)}
 
 
+def test_links_have_a_row_for_each_id(spark):
+    text = " ".join(f"t{i}" for i in range(30))
+    rows = [(1, text), (2, text), (3, text + " end"), (4, None), (5, ""), (6, "too short"), (6, "too short"), (7, "too short"), (None, text), (None, None)]
+    got = sorted(map(tuple, similar_links(spark.createDataFrame(rows, "doc_id bigint, d string"), "doc_id", "d", Similarity(0.7, 3, 20)).collect()))
+    assert got == [(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 1), (4, 4, 1, 0), (5, 5, 1, 0), (6, 6, 1, 0), (7, 7, 1, 0)]
+
+
 def test_large_classes_go_through_their_representative(spark, monkeypatch):
     monkeypatch.setattr(similar, "EXPAND", 3)
     text = " ".join(f"t{i}" for i in range(40))
