@@ -43,18 +43,27 @@ _DOT = rf"(?:{_S}?(?:\(dot\)|\[dot\]|\{{dot\}}|<dot>){_S}?|{_S}dot{_S}|\.)"
 SPELT = re.compile(rf"(?<![\w.+-]){_LOCAL}(?:{_S}?(?:\(at\)|\[at\]|\{{at\}}|<at>){_S}?(?:{_LABEL}{_DOT})+{_TOP}|{_S}at{_S}(?:{_LABEL}\.)*{_LABEL}{_S}dot{_S}(?:{_LABEL}{_DOT})*?{_TOP}(?:\.{_TOP})*)", re.I)
 _NO_DOMAIN = re.compile(r"\sat\s+(?:the|a|an|this|that|its|each|every|any|no)\s", re.I)  # as in "look at the dot matrix"
 HEADER = re.compile(r"^(?:Message-ID|In-Reply-To|References|Content-ID):", re.I)
+#: What stands on a line before a bracketed mailbox, as opposed to a bracketed message identifier: a header, or a name.
+MAILBOX = re.compile(rf"^[ \t>]*(?:(?i:From|To|Cc|Bcc|Reply-To|Sender):.*|.*{_W}[ \t]+{_W}[\"']?[ \t]*)<$")
 
 # --- numbers
 _EXT = rf"(?:,?{_S}?(?:ext\.?|extension|Durchwahl|poste|x){_S}?\d{{1,6}}(?!\w))?"
 _N = r"(?![\w]|[-./]\d)"
 PHONE = re.compile(
     r"(?<![\w.+/(-])(?:"
-    rf"\+\d{{1,3}}(?:{_S}|[-./])?(?:\(\d{{1,5}}\)|\d{{1,5}})(?:(?:{_S}|[-./])\d{{2,6}}){{1,5}}"
+    rf"\+\d{{1,3}}(?:{_S}|[-./])?(?:\(\d{{1,5}}\){_S}?|\d{{1,5}}(?:{_S}|[-./]))\d{{7,9}}(?!\d)"
+    rf"|\+\d{{1,3}}(?:{_S}|[-./])?(?:\(\d{{1,5}}\)|\d{{1,5}})(?:(?:{_S}|[-./])\d{{2,6}}){{1,5}}"
+    rf"|\+\d{{1,3}}(?:{_S}|[-./])?\(0\)(?:{_S}|[-./])?\d{{1,5}}(?:(?:{_S}|[-./])\d{{7,9}}|(?:(?:{_S}|[-./])\d{{2,6}}){{1,5}})"
+    rf"|\+\d{{1,3}}(?:{_S}|[-./])(?:\(0\))?\d{{6,12}}"
+    r"|\+[1-9]\d{6,14}"
     rf"|\(\d{{2,5}}\){_S}?\d{{3,5}}(?:[-.]|{_S})\d{{3,6}}"
+    rf"|\(0\d{{1,4}}\){_S}?\d{{5,9}}"
+    rf"|\([2-9]\d{{2}}\){_S}?\d{{7}}"
     rf"|0\d{{1,4}}/\d{{3,7}}(?:-\d{{1,5}})?"
     rf"|0\d{{2,4}}{_S}\d{{3,4}}{_S}\d{{3,4}}"
     r"|\d{3}\.\d{3}\.\d{4}"
     r"|1-\d{3}-\d{3}-\d{4}"
+    r"|[2-9]\d{2}-[2-9]\d{2}-\d{4}"
     rf"){_N}{_EXT}"
 )
 _NOT_PHONE = re.compile(r"\d{2} \d{3} \d{3} \d{3}")
@@ -157,7 +166,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
         for m in PLAIN.finditer(text):
             line = text.rfind("\n", 0, m.start()) + 1
             local = m.group().partition("@")[0]
-            if HEADER.match(text[line : m.start()].lstrip(" >\t")) or not any(c.isalpha() for c in local):
+            before = text[line : m.start()]
+            if HEADER.match(before.lstrip(" >\t")):
+                continue
+            if before.endswith("<") and text.startswith(">", m.end()) and not any(c.isalpha() for c in local) and not MAILBOX.match(before):
                 continue
             spans.add(m.start(), m.end(), "email")
     low = text.lower()

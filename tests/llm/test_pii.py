@@ -42,6 +42,18 @@ def test_values(text, want):
     assert values(text) == want
 
 
+@pytest.mark.parametrize("number", ["+14155550123", "+49 30 1234567", "+49 (0)30 123456", "+49(0)30 1234567", "+1 2025550123", "(030) 1234567", "(212) 5550123", "212-555-0123"])
+def test_other_ways_to_write_a_phone_number(number):
+    assert values(f"Please call {number}, or write.") == {("phone", number)}
+
+
+def test_mailboxes_without_a_letter_are_told_from_message_identifiers():
+    assert values("Write to 123456789@qq.com, or to <tool@site.test>.") == {("email", "123456789@qq.com"), ("email", "tool@site.test")}
+    assert values("To: <10001@qq.com>\n> Cc: x <10002@qq.com>") == {("email", "10001@qq.com"), ("email", "10002@qq.com")}
+    assert ("email", "10003@qq.com") in values('I asked Jo Doe <10003@qq.com> about it')
+    assert values("References: <1.2@mx.test>\n <2024.55@mx.test>\nsee <2024.56@mx.test>") == set()
+
+
 def test_feistel_is_a_permutation():
     p = Pseudonyms(KEY)
     for base, length in ((10, 1), (10, 2), (10, 3), (26, 2)):
