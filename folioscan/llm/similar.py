@@ -225,7 +225,7 @@ def _keyed(docs: DataFrame, least: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Classes:
-    #: (rep, last, copies): of each class the least and the greatest id, and its rows
+    #: (rep, last): of each class the least and the greatest id
     groups: DataFrame
     #: (doc_id, rep) of the classes that have more than one id
     members: DataFrame
@@ -238,7 +238,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, least: int) -> Classes:
     one slim row a task. An id must stand for one text; its repeated rows do no harm."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text is not null")
     keyed = materialize(_keyed(base, least), "keys")
-    groups = materialize(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("copies")), "classes")
+    groups = materialize(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
     members = materialize(keyed.join(groups.filter("last > rep").select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep").distinct(), "members")
     others = members.filter("doc_id <> rep").select("doc_id")
     if others.count() <= BROADCAST_COPIES:  # texts stay where they are
@@ -266,7 +266,8 @@ def similar_classes(found: Classes, sim: Similarity) -> DataFrame:
 def similar_pairs(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
     """(doc_id_a, doc_id_b): all pairs of records, copies expanded up to EXPAND members of a class."""
     found = classes(docs, doc_id, text, sim.least)
-    small = found.members.join(found.groups.filter(F.col("copies") <= EXPAND).select("rep"), "rep", "left_semi")
+    ids = found.members.groupBy("rep").agg(F.count(F.lit(1)).alias("ids"))  # repeated rows of an id do not make a class larger
+    small = found.members.join(ids.filter(F.col("ids") <= EXPAND).select("rep"), "rep", "left_semi")
     links = similar_classes(found, sim)
     for s in ("a", "b"):
         side = small.select(F.col("rep").alias(s), F.col("doc_id").alias(f"m_{s}"))
@@ -274,7 +275,7 @@ def similar_pairs(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> D
     across = links.select("d_a", "d_b")
     x, y = (small.select("rep", F.col("doc_id").alias(f"d_{s}")) for s in "ab")
     within = x.join(y, "rep").filter("d_a < d_b").select("d_a", "d_b")
-    large = found.groups.filter(F.col("copies") > EXPAND).select("rep")
+    large = ids.filter(F.col("ids") > EXPAND).select("rep")
     star = found.members.join(large, "rep", "left_semi").filter("doc_id <> rep").select(F.col("rep").alias("d_a"), F.col("doc_id").alias("d_b"))
     return across.unionByName(within).unionByName(star).select(F.least("d_a", "d_b").alias("doc_id_a"), F.greatest("d_a", "d_b").alias("doc_id_b"))
 

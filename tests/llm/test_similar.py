@@ -73,6 +73,14 @@ def test_large_classes_go_through_their_representative(spark, monkeypatch):
     assert got == [(0, i) for i in range(1, 6)] + [(0, 100)]
 
 
+def test_repeated_rows_do_not_make_a_class_large(spark, monkeypatch):
+    monkeypatch.setattr(similar, "EXPAND", 3)
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [(1, text)] * 6 + [(2, text)] * 6 + [(100, text + " end")]
+    got = sorted(map(tuple, similar_pairs(spark.createDataFrame(rows, "doc_id bigint, d string"), "doc_id", "d", Similarity(0.7, 3, 20)).collect()))
+    assert got == [(1, 2), (1, 100), (2, 100)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, d string")
     assert similar_pairs(df, "doc_id", "d", Similarity()).count() == 0
