@@ -34,6 +34,8 @@ from folioscan.storage import materialize
 MAX_TARGETS = 100_000
 SHARD_DOCS, MAX_SHARDS = 50_000, 4096
 MAX_BLOCKS, LEAST_BLOCK = 100_000, 256
+#: As ``total_tokens``: the tokens of the largest source that has a weight.
+LARGEST = -1
 
 _encodings: dict[str, object] = {}
 
@@ -134,6 +136,8 @@ def mixture(docs: DataFrame, targets: DataFrame, ranks: str, pattern: str, doc_i
         have[r.source] = have.get(r.source, 0) + r.tokens
     active = [t for t in weighted if t.source in have]
     all_weight = sum(t.weight for t in active)
+    if total_tokens == LARGEST:
+        total_tokens = max((have[t.source] for t in active), default=0)
     total = total_tokens if total_tokens is not None else min((int(have[t.source] * t.max_repeat * all_weight / t.weight) for t in active), default=0)
     block = max(LEAST_BLOCK, math.ceil(total / MAX_BLOCKS))
     by: dict[str, list] = {}

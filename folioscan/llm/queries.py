@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.distinctive import best_terms, term_scores
 from folioscan.llm.leak import leaks
-from folioscan.llm.mixing import mixture
+from folioscan.llm.mixing import LARGEST, mixture
 from folioscan.llm.pii import personal_values, redacted
 from folioscan.llm.similar import Similarity, similar_links, similar_pairs
 from folioscan.llm.termcount import mark_terms, term_counts
@@ -79,6 +79,19 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[1]
 
 
+def _large_mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """As many tokens as the largest weighted source has: small sources run out, and the others take what they cannot give."""
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_target"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PIECES, total_tokens=LARGEST)
+
+
+def p7_large(spark: SparkSession, folder: str) -> DataFrame:
+    return _large_mixture(spark, folder)[0]
+
+
+def p7_large_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _large_mixture(spark, folder)[1]
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal_values(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -88,7 +101,7 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return redacted(table(spark, folder, "documents"), "doc_id", "text", key)
 
 
-QUERIES = {"p7_mixture": p7_mixture, "p7_report": p7_report, "p8_found": p8_found, "p8_redacted": p8_redacted, "p6_found": p6_found, "p6_items": p6_items, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_elite": p4_elite}
+QUERIES = {"p7_mixture": p7_mixture, "p7_report": p7_report, "p7_large": p7_large, "p7_large_report": p7_large_report, "p8_found": p8_found, "p8_redacted": p8_redacted, "p6_found": p6_found, "p6_items": p6_items, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_elite": p4_elite}
 
 _TOK = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from folioscan.llm.mixing import apportion, mixture
-from folioscan.llm.queries import PIECES, TOKENIZERS
+from folioscan.llm.queries import PIECES, QUERIES, TOKENIZERS
 
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(RANKS), reason="no tokenizer file here")
@@ -63,6 +63,19 @@ def test_large_totals_use_each_document_to_its_cap(spark):
     assert by["big"].tokens == by["big"].available_tokens and by["small"].tokens == 2 * by["small"].available_tokens
 
 
+@needs_tokenizer
+def test_registered_large_mixture_runs_sources_out(spark, tmp_path):
+    corpus(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    targets = [("big", 1.0, 1), ("small", 8.0, 2), ("other", 1.0, 1)]
+    spark.createDataFrame(targets, "source string, weight double, max_repeat int").write.parquet(f"{tmp_path}/mix_target.parquet")
+    by = {r.source: r for r in QUERIES["p7_large_report"](spark, str(tmp_path)).collect()}
+    assert by["small"].tokens == 2 * by["small"].available_tokens and by["small"].most_repeats == 2 and by["small"].share < by["small"].target_share - 0.05
+    assert by["big"].share > by["big"].target_share + 0.05  # what small cannot give
+    assert sum(r.tokens for r in by.values()) == pytest.approx(by["big"].available_tokens, rel=0.02)
+    rows = QUERIES["p7_large"](spark, str(tmp_path)).collect()
+    assert sum(r.tokens * r.repeats for r in rows) == sum(r.tokens for r in by.values())
+
+
 @needs_tokenizer
 def test_empty(spark):
     targets = spark.createDataFrame([("big", 1.0, 1)], "source string, weight double, max_repeat int")
