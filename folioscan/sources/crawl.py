@@ -18,6 +18,7 @@ from folioscan.storage import materialize
 
 LISTING = "device bigint, inode bigint, mtime bigint, parent string, file string, is_dir boolean, real string"
 LEVELS = 64
+MAX_DIRECTORIES = 10_000
 
 
 def _listed(batches):
@@ -58,6 +59,8 @@ def crawl(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def directories(spark: SparkSession, lines: DataFrame) -> list[str]:
-    """Directory list of a configuration: one path on each line; few by nature."""
-    rows = lines.select(F.trim("value").alias("v")).filter("v <> '' and not startswith(v, '#')").limit(10_000).collect()
+    """Directory list of a configuration: one path on each line; few by nature, more than MAX_DIRECTORIES are refused."""
+    rows = lines.select(F.trim("value").alias("v")).filter("v <> '' and not startswith(v, '#')").limit(MAX_DIRECTORIES + 1).collect()
+    if len(rows) > MAX_DIRECTORIES:
+        raise ValueError(f"more than {MAX_DIRECTORIES} directories")
     return [r.v for r in rows]

@@ -7,7 +7,8 @@ import pytest
 from folioscan.api import Engine, build_index
 from folioscan.operators import index as ix
 from folioscan.operators.catalog import CREATE, READ, Catalog
-from folioscan.sources.crawl import crawl
+from folioscan.sources import crawl as crawling
+from folioscan.sources.crawl import crawl, directories
 from folioscan.sources.roff import decompressed, parse_page, split_names
 from folioscan.streaming.ingest import ingest
 
@@ -163,3 +164,11 @@ def test_stream(spark, tmp_path):
     ingest(spark, src, PAGES, out, mark)
     assert sorted(r.doc_id for r in spark.read.parquet(f"{out}/pages").collect()) == [1, 3, 5]
     assert spark.read.parquet(f"{out}/postings").filter("term = 'new'").count() == 1
+
+
+def test_long_directory_lists_are_refused(spark, monkeypatch):
+    lines = spark.createDataFrame([("/a",), ("# note",), ("/b",)], "value string")
+    assert sorted(directories(spark, lines)) == ["/a", "/b"]
+    monkeypatch.setattr(crawling, "MAX_DIRECTORIES", 1)
+    with pytest.raises(ValueError):
+        directories(spark, lines)
