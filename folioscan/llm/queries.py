@@ -11,7 +11,7 @@ from folioscan.llm.distinctive import best_terms, term_scores
 from folioscan.llm.leak import leaks
 from folioscan.llm.mixing import LARGEST, mixture
 from folioscan.llm.pii import personal_values, redacted
-from folioscan.llm.similar import Similarity, similar_links, similar_pairs
+from folioscan.llm.similar import Similarity, class_links, similar_links, similar_pairs
 from folioscan.llm.termcount import mark_terms, term_counts
 from folioscan.storage import table
 
@@ -26,6 +26,11 @@ def p2_links(spark: SparkSession, folder: str) -> DataFrame:
     return similar_links(table(spark, folder, "mandb_rec"), "doc_id", "desc", PAGES)
 
 
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of different texts, each told by its class; with p2_links the same as p2_found, however large a class is."""
+    return class_links(table(spark, folder, "mandb_rec"), "doc_id", "desc", PAGES)
+
+
 def _marked(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "mandb_rec")
     return mark_terms(term_counts(pages, ["desc", "name"]), pages, ["desc", "name"])
@@ -101,7 +106,7 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return redacted(table(spark, folder, "documents"), "doc_id", "text", key)
 
 
-QUERIES = {"p7_mixture": p7_mixture, "p7_report": p7_report, "p7_large": p7_large, "p7_large_report": p7_large_report, "p8_found": p8_found, "p8_redacted": p8_redacted, "p6_found": p6_found, "p6_items": p6_items, "p2_found": p2_found, "p2_links": p2_links, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_elite": p4_elite}
+QUERIES = {"p7_mixture": p7_mixture, "p7_report": p7_report, "p7_large": p7_large, "p7_large_report": p7_large_report, "p8_found": p8_found, "p8_redacted": p8_redacted, "p6_found": p6_found, "p6_items": p6_items, "p2_found": p2_found, "p2_links": p2_links, "p2_classes": p2_classes, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_elite": p4_elite}
 
 _TOK = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 

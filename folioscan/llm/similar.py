@@ -4,15 +4,19 @@ Resemblance is the share of common shingles (runs of ``size`` consecutive tokens
 sets with resemblance >= t differ in at most H = (1 - t) / (1 + t) * (|A| + |B|) shingles, the Hamming distance of their
 characteristic vectors. Steps:
 
-1. Records with the same token sequence form a class; from here on only one text of each class takes part, so copies,
-   however many, never meet in a group.
-2. Candidates share one of their |A| - ceil(t |A|) + 1 rarest shingles (prefix filter: exact, whatever the order).
-   Rarity is taken from counts over all shingles in a fixed number of hash buckets; it only steers the cost. A shingle
-   that is alone in its bucket is in no other text and needs no partner.
-3. Pigeonring: shingles are hashed to RING segments of 64 parity bits, which travel with the candidates. Of any ring whose differences add up to at most H,
-   some segment starts a chain of consecutive segments whose cumulative differences stay within 1, 2, 3, ... times
-   H / RING. Parities never show more differences than there are, so pairs without such a chain are dropped safely.
-4. The full Hamming check on the whole shingle sets decides.
+1. Each text is cut into tokens once; its shingle hashes, and parity bits of them, are written. Records with the same
+   token sequence form a class; from here on only one text of each class takes part, so copies never meet in a group.
+2. Every shingle is counted exactly, by shuffle. Shingles that are in one text alone need no partner and are left behind;
+   counts of the few very frequent ones are told to all tasks, so that no task gets all occurrences of one.
+3. Candidates share a shingle of both prefixes, the rarest shingles of each text (prefix filter: exact, for one order of
+   all shingles). The smaller text of a pair needs the shorter prefix. The sizes are part of the join key, as classes of
+   which only neighbours can match, and a shingle that more than ``block`` texts have is joined block by block on both
+   sides, so a task compares at most block ** 2 pairs for a key.
+4. Pigeonring: shingles are hashed to parity bits in RING segments, more bits the larger the set. Of any ring whose
+   differences add up to at most H, some segment starts a chain of consecutive segments whose cumulative differences stay
+   within 1, 2, 3, ... times H / RING. Parities never show more differences than there are, so pairs without such a chain
+   are dropped safely. A short ring travels with the candidates, the whole ring is held against what is left.
+5. The full Hamming check on the whole shingle sets decides.
 
 Defined results: null texts and texts under ``least`` tokens take part in no pair; ids that are null are left out;
 repeated ids count once; an empty table gives no pairs. Links have a row for each id, whatever its text. Texts are used whole.
@@ -21,6 +25,7 @@ repeated ids count once; an empty table gives no pairs. Links have a row for eac
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import chain
@@ -35,16 +40,15 @@ from folioscan.llm.text import TokenHashes, shingle_hashes, small_batches, token
 from folioscan.storage import materialize
 
 RING = 4
-#: Shingles are counted in 2**bits buckets, some for each shingle, within these bounds.
-LEAST_BITS, MOST_BITS = 16, 24
-#: Rarity is told by sums over 2**FOLD neighbouring buckets.
-FOLD = 3
-#: Sums under EXACT are kept as they are, larger ones in steps of 2**STEP: two bytes each.
-EXACT, STEP = 1 << 15, 15
+#: Parity bits for each shingle of a set, at least; a power of two of words of 64 bits in each segment.
+BITS_FOR_EACH = 2
 #: Up to this many copies are told to all tasks; beyond it, texts of representatives are picked by a shuffle.
 BROADCAST_COPIES = 1_000_000
-#: Exact copies are expanded into pairs up to this class size; larger classes are linked through their representative.
-EXPAND = 1000
+#: Shingles in more than 1 / FREQUENT of all texts (and more than a block) are counted without a shuffle of their occurrences.
+FREQUENT = 1000
+#: Frequent shingles beyond this number are joined by shuffle, their occurrences spread.
+BROADCAST_FREQUENT = 200_000
+SPREAD = 64
 
 
 @dataclass(frozen=True)
@@ -52,17 +56,27 @@ class Similarity:
     threshold: float = 0.8
     size: int = 5
     least: int = 20
-    hot_least: int = 5_000
+    #: texts of one shingle, or members of one class, that meet in one task
+    block: int = 1_000
 
     def budget(self, a: Column, b: Column) -> Column:
         """The most shingles in which sets of these sizes may differ; the small term keeps rounding from losing pairs."""
         return F.floor((a + b) * F.lit((1 - self.threshold) / (1 + self.threshold)) + F.lit(1e-9))
 
+    def prefix(self, n: Column, share: float) -> Column:
+        """How many shingles of a set of n cannot all be missed by a set that has at least this share of them."""
+        return n - F.ceil(n * F.lit(share) - F.lit(1e-9)) + 1
 
-def _sets(column: pa.Array, known: TokenHashes, sim: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle sets of all texts of a batch, each sorted, one after the other, and their bounds; empty for null texts and
-    those that are too short."""
+    def size_class(self, n: Column) -> Column:
+        """Sets that can match are in the same or in neighbouring classes."""
+        return F.floor(F.ln(n.cast("double")) / F.lit(-math.log(self.threshold)) + F.lit(1e-9)).cast("int")
+
+
+def _sets(column: pa.Array, known: TokenHashes, sim: Similarity) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Shingle sets of all texts of a batch, each sorted, one after the other, and their bounds, empty for null texts and
+    those that are too short; and a key of the token sequence of each text that is long enough, else None."""
     toks = [tokens(t) if t else [] for t in utf8(column)]
+    keys = [xxhash.xxh3_128_digest(b" ".join(t)) if len(t) >= sim.least else None for t in toks]
     toks = [t if len(t) >= sim.least else [] for t in toks]
     counts = np.array([len(t) for t in toks], np.int64)
     h = known.of(list(chain.from_iterable(toks)))
@@ -76,151 +90,42 @@ def _sets(column: pa.Array, known: TokenHashes, sim: Similarity) -> tuple[np.nda
     new = np.ones(len(flat), bool)
     new[1:] = flat[1:] != flat[:-1]
     new[bounds[:-1][n > 0]] = True
-    return flat[new], np.concatenate(([0], np.cumsum(new)))[bounds]
+    return flat[new], np.concatenate(([0], np.cumsum(new)))[bounds], keys
 
 
-def _bucket(s: np.ndarray, size: int) -> np.ndarray:
-    """Number of the bucket among ``size``, a power of two."""
-    return (s >> np.uint64(65 - size.bit_length())).astype(np.int64)
+def ring_words(n: np.ndarray) -> np.ndarray:
+    """Words of 64 bits in the ring of a set of n shingles: RING times a power of two."""
+    return RING << np.ceil(np.log2(np.maximum(n * BITS_FOR_EACH, RING * 64) / (RING * 64))).astype(np.int64)
 
 
-@dataclass(frozen=True)
-class Rarity:
-    """What all tasks know of how often shingles occur: at most 2 MB of bits and 4 MB of sums, whatever the input."""
-
-    #: one bit for each bucket: whether exactly one shingle of all texts fell into it
-    alone: np.ndarray
-    #: for each 2**FOLD buckets, how many fell into them
-    sums: np.ndarray
-
-    def weights(self, s: np.ndarray) -> np.ndarray:
-        """1 for a shingle that is in one text alone, else an upper bound of the number of texts that have it."""
-        at = _bucket(s, len(self.alone) * 8)
-        alone = (self.alone[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-        n = self.sums[at >> FOLD].astype(np.int64)
-        n = np.where(n < EXACT, n, (n - EXACT + 1) << STEP)
-        return np.where(alone == 1, 1, np.maximum(2, n)).astype(np.int32)
-
-
-def rarity(reps: DataFrame, sim: Similarity, docs: int) -> Rarity:
-    """Counts the shingles of all texts."""
-    buckets = 1 << min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(docs, 1) * 128))))
-
-    def counted(batches):
-        known, total = TokenHashes(), np.zeros(buckets, np.int32)
-        for b in small_batches(batches, 0):
-            np.add.at(total, _bucket(_sets(b.column(0), known, sim)[0], buckets), np.int32(1))
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 18):
-            part = at[i : i + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["bucket", "n"])
-
-    rows = reps.select("text").mapInArrow(counted, "bucket int, n int").groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**28)).cast("int").alias("n")).toArrow()
-    out = np.zeros(buckets, np.int32)
-    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    sums = out.reshape(-1, 1 << FOLD).sum(axis=1, dtype=np.int64)
-    return Rarity(np.packbits(out == 1), np.where(sums < EXACT, sums, EXACT + np.minimum(sums >> STEP, EXACT - 1)).astype(np.uint16))
-
-
-def _rings(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Parity bits of each set: RING words of 64 bits."""
-    sets = len(bounds) - 1
-    at = np.repeat(np.arange(sets) * (RING * 64), np.diff(bounds)) + (flat & np.uint64(RING * 64 - 1)).astype(np.int64)
-    bits = (np.bincount(at, minlength=sets * RING * 64) & 1).astype(np.uint8)
-    return np.packbits(bits.reshape(sets, -1), axis=1, bitorder="little").view("<i8")
-
-
-def _prefixes(reps: DataFrame, sim: Similarity, shared) -> DataFrame:
-    """(token, rep, n, weight, r0, r1, ...): the rarest shingles of each text, but those that are in no other, with the
-    text's size and ring. ``shared``: a broadcast Rarity."""
-    t = sim.threshold
-    ring = [f"r{i}" for i in range(RING)]
-
-    def emit(batches):
-        known = TokenHashes()
-        for b in small_batches(batches, 1):
-            flat, bounds = _sets(b.column(1), known, sim)
-            if not len(flat):
-                continue
-            w, picks, lens = shared.value.weights(flat), [], []
-            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                own = w[x:y]
-                pick = own.argsort(kind="stable")[: y - x - math.ceil(t * (y - x) - 1e-9) + 1]  # equal weights stay in order of hash
-                pick = pick[own[pick] > 1] + x
-                picks.append(pick)
-                lens.append(len(pick))
-            at = np.concatenate(picks)
-            owner = np.repeat(np.arange(len(lens)), lens)
-            n = np.diff(bounds).astype(np.int32)
-            words = _rings(flat, bounds)[owner]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[at].view(np.int64)), b.column(0).take(pa.array(owner)), pa.array(n[owner]), pa.array(w[at]), *[pa.array(np.ascontiguousarray(words[:, i])) for i in range(RING)]],
-                ["token", "rep", "n", "weight", *ring],
-            )
-
-    return reps.select("rep", "text").mapInArrow(emit, "token bigint, rep bigint, n int, weight int, " + ", ".join(f"{r} bigint" for r in ring))
+def _rings(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of each set, and the bounds of their words. The low bits of a shingle tell its place, so a ring of twice
+    the length folds to the shorter one."""
+    words = ring_words(np.diff(bounds))
+    ends = np.concatenate(([0], np.cumsum(words)))
+    owner = np.repeat(np.arange(len(words)), np.diff(bounds))
+    at = ends[owner] * 64 + (flat & (words[owner] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    bits = (np.bincount(at, minlength=int(ends[-1]) * 64) & 1).astype(np.uint8)
+    return np.packbits(bits, bitorder="little").view("<i8"), ends
 
 
-def _features(reps: DataFrame, sim: Similarity, shared) -> DataFrame:
-    """(rep, n, sh): size, and the shingles that can be in another text, sorted."""
+def shingled(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """(doc_id, k1, k2, n, ring, sh) of the texts of at least ``least`` tokens; docs has doc_id and text."""
 
     def emit(batches):
         known = TokenHashes()
         for b in small_batches(batches, 1):
-            flat, bounds = _sets(b.column(1), known, sim)
-            shared_by = shared.value.weights(flat) > 1
-            offsets = np.concatenate(([0], np.cumsum(shared_by)))[bounds].astype(np.int32)
-            arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[shared_by].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bounds).astype(np.int32)), arrays], ["rep", "n", "sh"])
-
-    return reps.select("rep", "text").mapInArrow(emit, "rep bigint, n int, sh array<bigint>")
-
-
-def ring_holds(a: list[Column], b: list[Column], budget: Column) -> Column:
-    """Whether some segment starts a chain of which every beginning of k segments differs in at most k / RING of the budget."""
-    d = [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b)]
-    starts = []
-    for i in range(RING):
-        total, ok = d[i], d[i] * RING <= budget
-        for k in range(2, RING + 1):
-            total = total + d[(i + k - 1) % RING]
-            ok = ok & (total * RING <= budget * k)
-        starts.append(ok)
-    return reduce(lambda x, y: x | y, starts)
-
-
-def _candidates(prefixes: DataFrame, sim: Similarity, docs: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share a prefix shingle and whose sizes and rings allow the threshold.
-
-    Heavy shingles are salted: one side spread, one repeated. Pairs are judged as they are joined, before any shuffle."""
-    bar = max(sim.hot_least, docs // 1000)
-    ring = [f"r{i}" for i in range(RING)]
-    fits = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(sim.threshold - 1e-9)
-    near = ring_holds([F.col(f"a_{r}") for r in ring], [F.col(f"b_{r}") for r in ring], sim.budget(F.col("a_n"), F.col("b_n")))
-    pick = lambda df, s: df.select("token", *[c for c in df.columns if c == "salt"], F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", *ring)])
-    join = lambda x, y, on: pick(x, "a").join(pick(y, "b"), on).filter((F.col("a") < F.col("b")) & fits).filter(near).select("a", "b")
-    cold = prefixes.filter(F.col("weight") <= bar)
-    hot = prefixes.filter(F.col("weight") > bar).withColumn("parts", F.ceil(F.col("weight") / bar).cast("int"))
-    spread = hot.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    repeated = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return join(cold, cold, ["token"]).unionByName(join(spread, repeated, ["token", "salt"])).distinct()
-
-
-def _keyed(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, k1, k2): a 128-bit hash of the token sequence of each text of at least ``least`` tokens."""
-
-    def emit(batches):
-        for b in batches:
-            ids, keys = [], []
-            for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-                toks = tokens(t)
-                if len(toks) >= least:
-                    ids.append(i)
-                    keys.append(xxhash.xxh3_128_digest(b" ".join(toks)))
-            k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1]))], ["doc_id", "k1", "k2"])
+            flat, bounds, keys = _sets(b.column(1), known, sim)
+            rings, ends = _rings(flat, bounds)
+            k = np.frombuffer(b"".join(x or bytes(16) for x in keys), "<i8").reshape(-1, 2)
+            lists = lambda v, e: pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(v.view(np.int64)))
+            out = pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1])), pa.array(np.diff(bounds).astype(np.int32)), lists(rings, ends), lists(flat, bounds)],
+                ["doc_id", "k1", "k2", "n", "ring", "sh"],
+            )
+            yield out.filter(pa.array([x is not None for x in keys], pa.bool_()))
 
-    return docs.mapInArrow(emit, "doc_id bigint, k1 bigint, k2 bigint")
+    return docs.mapInArrow(emit, "doc_id bigint, k1 bigint, k2 bigint, n int, ring array<bigint>, sh array<bigint>")
 
 
 @dataclass(frozen=True)
@@ -229,61 +134,169 @@ class Classes:
     groups: DataFrame
     #: (doc_id, rep) of the classes that have more than one id
     members: DataFrame
-    #: (rep, text): a text of each class, read where it lies
+    #: (rep, n, ring, sh): a shingle set for each class
     reps: DataFrame
 
 
-def classes(docs: DataFrame, doc_id: str, text: str, least: int) -> Classes:
+def classes(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> Classes:
     """Classes of equal token sequences. They are formed on hashes, combined before the shuffle, so that a hot class sends
     one slim row a task. An id must stand for one text; its repeated rows do no harm."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    keyed = materialize(_keyed(base, least), "keys")
+    sets = materialize(shingled(base, sim), "sets")
+    keyed = sets.select("doc_id", "k1", "k2")
     groups = materialize(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "classes")
     members = materialize(keyed.join(groups.filter("last > rep").select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep").distinct(), "members")
     others = members.filter("doc_id <> rep").select("doc_id")
-    if others.count() <= BROADCAST_COPIES:  # texts stay where they are
-        reps = base.join(F.broadcast(others), "doc_id", "left_anti")
+    if others.count() <= BROADCAST_COPIES:  # sets stay where they are
+        reps = sets.join(F.broadcast(others), "doc_id", "left_anti")
+    else:
+        reps = sets.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    return Classes(groups, members, reps.select(F.col("doc_id").alias("rep"), "n", "ring", "sh"))
+
+
+def features(reps: DataFrame, sim: Similarity, texts: int) -> DataFrame:
+    """(rep, n, ring, shared): of each text the shingles that other texts have too, as (count, token), rarest first."""
+    occ = reps.select("rep", F.explode("sh").alias("token"))
+    counts = materialize(occ.groupBy("token").agg(F.count(F.lit(1)).alias("count")).filter("count > 1"), "counts")
+    bar = max(sim.block, texts // FREQUENT)
+    frequent = counts.filter(F.col("count") > bar)
+    here = frequent.count()
+    if here == 0:
+        seen = occ.join(counts, "token")
+    elif here <= BROADCAST_FREQUENT:
+        known = occ.join(F.broadcast(frequent), "token", "left")
+        # one pass: what the broadcast knows goes on, the rest looks its count up by shuffle; keys of the former are spread
+        key = F.when(F.col("count").isNull(), F.col("token")).otherwise(F.xxhash64("rep", "token"))
+        rest = counts.filter(F.col("count") <= bar).select(F.col("token").alias("k"), F.col("count").alias("found"))
+        seen = known.withColumn("k", key).join(rest, "k", "left").withColumn("count", F.coalesce("count", F.when(F.col("k") == F.col("token"), F.col("found")))).filter("count is not null")
     else:
-        reps = materialize(base.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
-    return Classes(groups, members, reps.select(F.col("doc_id").alias("rep"), "text"))
-
-
-def similar_classes(found: Classes, sim: Similarity) -> DataFrame:
-    """(a, b): pairs of class representatives at or above the threshold."""
-    docs = found.groups.count()
-    shared = found.reps.sparkSession.sparkContext.broadcast(rarity(found.reps, sim, docs))
-    prefixes = materialize(_prefixes(found.reps, sim, shared), "prefixes")
-    pairs = materialize(_candidates(prefixes, sim, docs), "candidates")
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_COPIES else wanted
-    feats = _features(found.reps.join(wanted, "rep", "left_semi"), sim, shared).dropDuplicates(["rep"])
-    side = lambda s: feats.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "sh")])
+        many = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("count") > bar, SPREAD - 1).otherwise(0))))
+        hot = frequent.select("token", F.lit(True).alias("hot"))
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SPREAD)).cast("int")).otherwise(0)
+        seen = occ.join(hot, "token", "left").withColumn("salt", salt).join(many, ["token", "salt"])
+    shared = seen.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct(F.least(F.col("count"), F.lit(2**31 - 1)).cast("int").alias("count"), "token"))).alias("shared"))
+    return materialize(reps.select("rep", "n", "ring").join(shared, "rep").dropDuplicates(["rep"]), "features")
+
+
+def _folded(ring: Column, words: Column) -> Column:
+    """A ring folded to ``words`` words: parities of the halves, again and again."""
+    times = (F.size(ring) / words).cast("int")
+    place = lambda w: F.aggregate(F.sequence(F.lit(0), times - 1), F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(F.get(ring, w + i * words)))
+    return F.when(F.size(ring) == words, ring).otherwise(F.transform(F.sequence(F.lit(0), words - 1), place))
+
+
+def ring_holds(segments: list[Column], budget: Column) -> Column:
+    """Whether some segment starts a chain of which every beginning of k segments differs in at most k / RING of the budget;
+    ``segments``: the differing bits of each."""
+    starts = []
+    for i in range(RING):
+        total, ok = segments[i], segments[i] * RING <= budget
+        for k in range(2, RING + 1):
+            total = total + segments[(i + k - 1) % RING]
+            ok = ok & (total * RING <= budget * k)
+        starts.append(ok)
+    return reduce(lambda x, y: x | y, starts)
+
+
+def _whole_ring_holds(a: Column, b: Column, budget: Column) -> Column:
+    words = F.least(F.size(a), F.size(b))
+    apart = F.zip_with(_folded(a, words), _folded(b, words), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    each = (words / RING).cast("int")
+    return ring_holds([F.aggregate(F.slice(apart, each * i + 1, each), F.lit(0), lambda s, x: s + x) for i in range(RING)], budget)
+
+
+def _cells(rows: DataFrame, first: bool) -> DataFrame:
+    """Rows with the cells (i, j) of blocks of their shingle in which they meet others: on the first side a row of block i
+    goes to all (i, j), on the second one of block j."""
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    i, j = (own, F.col("o")) if first else (F.col("o"), own)
+    return rows.withColumn("cell", i.cast("long") * F.col("parts") + j)
+
+
+def candidates(feats: DataFrame, sim: Similarity, judged: bool = True) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that share a prefix shingle and whose sizes, and short rings if ``judged``, allow the
+    threshold. Pairs are judged as they are joined, before any shuffle."""
+    t = sim.threshold
+    short = F.transform(F.sequence(F.lit(0), F.lit(RING - 1)), lambda w: F.get(_folded(F.col("ring"), F.lit(RING)), w))
+    lone = F.col("n") - F.size("shared")  # the rarest of all: they are in no other text
+
+    def side(share: float, s: str, neighbours: list[int]) -> DataFrame:
+        take = F.greatest(F.lit(0), sim.prefix(F.col("n"), share) - lone)
+        rows = feats.select("rep", "n", F.col("short"), F.explode(F.slice("shared", F.lit(1), take.cast("int"))).alias("x"))
+        rows = rows.select("rep", "n", *[F.get("short", F.lit(i)).alias(f"r{i}") for i in range(RING)], F.col("x.token").alias("token"), F.ceil(F.col("x.count") / sim.block).cast("int").alias("parts"))
+        rows = rows.withColumn("class", F.explode(F.array(*[sim.size_class(F.col("n")) + k for k in neighbours])) if neighbours != [0] else sim.size_class(F.col("n")))
+        rows = _cells(rows, s == "a")
+        return rows.select("token", "class", "cell", F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", *[f"r{i}" for i in range(RING)])])
+
+    feats = feats.withColumn("short", short)
+    # the smaller text, of equal ones that with the lesser id, meets the larger in the class of the larger
+    small, large = side(2 * t / (1 + t), "a", [0, 1]), side(t, "b", [0])
+    ordered = F.struct("a_n", "a") < F.struct("b_n", "b")
+    fits = F.col("a_n") >= F.col("b_n") * F.lit(t - 1e-9)
+    met = small.join(large, ["token", "class", "cell"]).filter(ordered & fits)
+    if judged:
+        apart = [F.bit_count(F.col(f"a_r{i}").bitwiseXOR(F.col(f"b_r{i}"))) for i in range(RING)]
+        met = met.filter(ring_holds(apart, sim.budget(F.col("a_n"), F.col("b_n"))))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _with_features(pairs: DataFrame, feats: DataFrame) -> DataFrame:
+    wanted = feats.select("rep", "n", "ring", F.transform("shared", lambda x: x["token"]).alias("sh"))
+    side = lambda s: wanted.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "ring", "sh")])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def similar_classes(found: Classes, sim: Similarity, report: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
+    """(a, b): pairs of class representatives at or above the threshold. ``report`` is told what each step leaves."""
+    feats = features(found.reps, sim, found.groups.count())
+    pairs = materialize(candidates(feats, sim), "candidates")
+    both = _with_features(pairs, feats)
+    budget = sim.budget(F.col("a_n"), F.col("b_n"))
+    ringed = both.filter(_whole_ring_holds(F.col("a_ring"), F.col("b_ring"), budget))
     # the full Hamming check: shingles in one text alone are in the sizes, and in no common part
     common = F.size(F.array_intersect("a_sh", "b_sh"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").filter(F.col("a_n") + F.col("b_n") - 2 * common <= sim.budget(F.col("a_n"), F.col("b_n"))).select("a", "b")
+    out = ringed.filter(F.col("a_n") + F.col("b_n") - 2 * common <= budget).select("a", "b")
+    if report:
+        report("sizes", candidates(feats, sim, judged=False))
+        report("short ring", pairs)
+        report("whole ring", ringed)
+        report("similar", out)
+    return out
+
+
+def _expanded(links: DataFrame, members: DataFrame, sizes: DataFrame, rep: str, out: str, block: int) -> DataFrame:
+    """Links with each member of the class ``rep`` in its place. Members of large classes are spread over tasks, and the
+    link is sent to all of them. Links of classes of one keep their representative."""
+    spread = sizes.select(F.col("rep").alias(rep), F.ceil(F.col("ids") / block).cast("int").alias("parts"))
+    salted = links.join(spread, rep, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+    own = members.join(sizes, "rep").select(F.col("rep").alias(rep), F.col("doc_id").alias(out), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("ids") / block).cast("int")).cast("int").alias("salt"))
+    met = salted.join(own, [rep, "salt"], "left").filter(F.col(out).isNotNull() | F.col("parts").isNull())
+    return met.withColumn(out, F.coalesce(out, rep)).drop("salt", "parts")
 
 
 def similar_pairs(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
-    """(doc_id_a, doc_id_b): all pairs of records, copies expanded up to EXPAND members of a class."""
-    found = classes(docs, doc_id, text, sim.least)
-    ids = found.members.groupBy("rep").agg(F.count(F.lit(1)).alias("ids"))  # repeated rows of an id do not make a class larger
-    small = found.members.join(ids.filter(F.col("ids") <= EXPAND).select("rep"), "rep", "left_semi")
-    links = similar_classes(found, sim)
-    for s in ("a", "b"):
-        side = small.select(F.col("rep").alias(s), F.col("doc_id").alias(f"m_{s}"))
-        links = links.join(side, s, "left").withColumn(f"d_{s}", F.coalesce(f"m_{s}", s))
-    across = links.select("d_a", "d_b")
-    x, y = (small.select("rep", F.col("doc_id").alias(f"d_{s}")) for s in "ab")
-    within = x.join(y, "rep").filter("d_a < d_b").select("d_a", "d_b")
-    large = ids.filter(F.col("ids") > EXPAND).select("rep")
-    star = found.members.join(large, "rep", "left_semi").filter("doc_id <> rep").select(F.col("rep").alias("d_a"), F.col("doc_id").alias("d_b"))
-    return across.unionByName(within).unionByName(star).select(F.least("d_a", "d_b").alias("doc_id_a"), F.greatest("d_a", "d_b").alias("doc_id_b"))
+    """(doc_id_a, doc_id_b): all pairs of records, copies expanded whatever the size of a class: as many rows as there are
+    pairs. Where that is too much, ``similar_links`` and ``class_links`` tell the same in one row for each record and one
+    for each pair of classes."""
+    found = classes(docs, doc_id, text, sim)
+    sizes = materialize(found.members.groupBy("rep").agg(F.count(F.lit(1)).alias("ids")), "sizes")
+    links = _expanded(similar_classes(found, sim), found.members, sizes, "a", "d_a", sim.block)
+    across = _expanded(links, found.members, sizes, "b", "d_b", sim.block).select("d_a", "d_b")
+    pairs_of = found.members.select(F.col("rep").alias("a"), F.col("doc_id").alias("d_a"))
+    within = _expanded(pairs_of, found.members, sizes, "a", "d_b", sim.block).filter("d_a < d_b").select("d_a", "d_b")
+    return across.unionByName(within).select(F.least("d_a", "d_b").alias("doc_id_a"), F.greatest("d_a", "d_b").alias("doc_id_b"))
+
+
+def class_links(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
+    """(class_a, class_b): pairs of different texts, each by the least id that has it; see similar_links for the members."""
+    return similar_classes(classes(docs, doc_id, text, sim), sim).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"))
 
 
 def similar_links(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> DataFrame:
     """One row for each id: its class of copies, how many records share its text, how many other texts resemble it. A record
     without text, or with one under ``least`` tokens, is a class of its own without links."""
-    found = classes(docs, doc_id, text, sim.least)
+    found = classes(docs, doc_id, text, sim)
     links = similar_classes(found, sim).select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     members = found.members.unionByName(found.groups.filter("last = rep").select(F.col("rep").alias("doc_id"), "rep"))
     linked = (

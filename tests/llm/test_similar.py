@@ -1,10 +1,11 @@
+import itertools
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioscan.llm import similar
-from folioscan.llm.similar import Similarity, ring_holds, similar_links, similar_pairs
+from folioscan.llm.similar import Similarity, class_links, classes, ring_holds, similar_classes, similar_links, similar_pairs
 
 
 def grams(text, k):
@@ -40,7 +41,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("sim", [Similarity(0.7, 3, 20), Similarity(0.8, 5, 20), Similarity(0.7, 3, 20, hot_least=2), Similarity(0.5, 2, 6)])
+@pytest.mark.parametrize("sim", [Similarity(0.7, 3, 20), Similarity(0.8, 5, 20), Similarity(0.7, 3, 20, block=2), Similarity(0.5, 2, 6)])
 def test_against_brute_force(spark, sim):
     rows = corpus(11) + [(9000, None), (9001, ""), (9002, "too short")]
     got = [tuple(r) for r in similar_pairs(spark.createDataFrame(rows, "doc_id bigint, body string"), "doc_id", "body", sim).collect()]
@@ -65,20 +66,62 @@ def test_links_have_a_row_for_each_id(spark):
     assert got == [(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 1), (4, 4, 1, 0), (5, 5, 1, 0), (6, 6, 1, 0), (7, 7, 1, 0)]
 
 
-def test_large_classes_go_through_their_representative(spark, monkeypatch):
-    monkeypatch.setattr(similar, "EXPAND", 3)
+def test_large_classes_keep_all_pairs(spark):
     text = " ".join(f"t{i}" for i in range(40))
-    rows = [(i, text) for i in range(6)] + [(100, text + " end")]
-    got = sorted(map(tuple, similar_pairs(spark.createDataFrame(rows, "doc_id bigint, d string"), "doc_id", "d", Similarity(0.7, 3, 20)).collect()))
-    assert got == [(0, i) for i in range(1, 6)] + [(0, 100)]
+    rows = [(i, text) for i in range(6)] + [(100, text + " end"), (101, text + " end")]
+    rows += rows[:3]  # repeated rows do not make a class larger
+    df = spark.createDataFrame(rows, "doc_id bigint, d string")
+    for sim in (Similarity(0.7, 3, 20), Similarity(0.7, 3, 20, block=2)):
+        got = sorted(map(tuple, similar_pairs(df, "doc_id", "d", sim).collect()))
+        assert got == list(itertools.combinations([*range(6), 100, 101], 2))
+    assert list(map(tuple, class_links(df, "doc_id", "d", Similarity(0.7, 3, 20)).collect())) == [(0, 100)]
 
 
-def test_repeated_rows_do_not_make_a_class_large(spark, monkeypatch):
-    monkeypatch.setattr(similar, "EXPAND", 3)
+def test_a_class_beyond_a_thousand(spark):
     text = " ".join(f"t{i}" for i in range(40))
-    rows = [(1, text)] * 6 + [(2, text)] * 6 + [(100, text + " end")]
-    got = sorted(map(tuple, similar_pairs(spark.createDataFrame(rows, "doc_id bigint, d string"), "doc_id", "d", Similarity(0.7, 3, 20)).collect()))
-    assert got == [(1, 2), (1, 100), (2, 100)]
+    rows = [(i, text) for i in range(1201)] + [(5000, text + " end")]
+    got = similar_pairs(spark.createDataFrame(rows, "doc_id bigint, d string"), "doc_id", "d", Similarity(0.7, 3, 20))
+    assert got.count() == got.distinct().count() == 1202 * 1201 // 2
+
+
+def test_shingle_in_every_text(spark, monkeypatch):
+    """Texts that all share a passage but are not similar, by each way in which frequent shingles are counted."""
+    rng = random.Random(8)
+    head = " ".join(f"h{i}" for i in range(12))
+    rows = [(i, head + " " + " ".join(f"x{rng.randint(0, 400)}" for _ in range(30))) for i in range(200)]
+    rows += [(1000 + i, t.replace("x1", "y1", 1)) for i, t in rows[:40]]
+    sim, df = Similarity(0.7, 3, 20, block=3), spark.createDataFrame(rows, "doc_id bigint, d string")
+    want = brute(rows, sim)
+    assert len(want) >= 40
+    assert set(map(tuple, similar_pairs(df, "doc_id", "d", sim).collect())) == want
+    monkeypatch.setattr(similar, "BROADCAST_FREQUENT", 1)
+    monkeypatch.setattr(similar, "BROADCAST_COPIES", 0)
+    assert set(map(tuple, similar_pairs(df, "doc_id", "d", sim).collect())) == want
+
+
+@pytest.mark.parametrize("length", [100, 500, 2000])
+def test_pruning_by_steps(spark, length, capsys):
+    """What each step leaves, of texts that share passages without being similar and some that are."""
+    rng = random.Random(length)
+    pool = [" ".join(f"p{k}_{i}" for i in range(length // 10)) for k in range(12)]  # passages that many texts have
+    rows = []
+    for i in range(60):
+        t = []
+        for _ in range(8):
+            t += rng.choice(pool).split() if rng.random() < 0.6 else [f"u{rng.randint(0, 10**6)}" for _ in range(length // 10)]
+        rows.append((i, " ".join(t)))
+        if i % 6 == 0:
+            for k in range(3, len(t), 60):
+                t[k] = "edit"
+            rows.append((1000 + i, " ".join(t)))
+    sim, left = Similarity(0.7, 3, 20), {}
+    df = spark.createDataFrame(rows, "doc_id bigint, d string")
+    got = set(map(tuple, similar_classes(classes(df, "doc_id", "d", sim), sim, lambda step, rows: left.update({step: rows.count()})).collect()))
+    assert got == brute(rows, sim) and left["similar"] == len(got) >= 10
+    assert left["sizes"] >= left["short ring"] >= left["whole ring"] >= left["similar"]
+    assert left["whole ring"] - left["similar"] <= (left["sizes"] - left["similar"]) / 2  # the ring prunes at every length
+    with capsys.disabled():
+        print(f" {length} words: {left}")
 
 
 def test_empty(spark):
@@ -92,31 +135,31 @@ def test_ring_never_drops_a_pair_within_budget(spark):
     for _ in range(300):
         a = [rng.getrandbits(64) - 2**63 for _ in range(similar.RING)]
         b = list(a)
-        flips = rng.randint(0, 60)
-        for _ in range(flips):
+        for _ in range(rng.randint(0, 60)):
             i, bit = rng.randrange(similar.RING), rng.randrange(64)
             b[i] = ((b[i] + 2**63) ^ (1 << bit)) - 2**63
         d = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(a, b))
-        rows.append((*a, *b, d, rng.randint(0, 60)))
-    n = similar.RING
-    cols = ", ".join([f"a{i} bigint" for i in range(n)] + [f"b{i} bigint" for i in range(n)] + ["d int", "budget int"])
-    df = spark.createDataFrame(rows, cols)
-    holds = ring_holds([F.col(f"a{i}") for i in range(n)], [F.col(f"b{i}") for i in range(n)], F.col("budget"))
-    for r in df.withColumn("ok", holds).collect():
-        assert r.ok == (r.d <= r.budget)  # a chain round the whole ring is the whole distance
+        rows.append((a, b, d, rng.randint(0, 60)))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, d int, budget int")
+    apart = [F.bit_count(F.get("a", F.lit(i)).bitwiseXOR(F.get("b", F.lit(i)))) for i in range(similar.RING)]
+    rows = df.withColumn("ok", ring_holds(apart, F.col("budget"))).withColumn("whole", similar._whole_ring_holds(F.col("a"), F.col("b"), F.col("budget"))).collect()
+    for r in rows:
+        assert r.ok == r.whole == (r.d <= r.budget)  # a chain round the whole ring is the whole distance
 
 
-def test_weights_are_upper_bounds(spark):
+def test_rings_of_different_lengths(spark):
+    """Parities of a set, at any length, differ at most by what the sets differ."""
     import numpy as np
 
-    from folioscan.llm.similar import EXACT, FOLD, STEP, Rarity, _bucket
-
     rng = np.random.default_rng(3)
-    out = rng.integers(0, 3, 1 << 16).astype(np.int64)
-    out[::977] = rng.integers(1, 1 << 29, len(out[::977]))
-    sums = out.reshape(-1, 1 << FOLD).sum(axis=1)
-    r = Rarity(np.packbits(out == 1), np.where(sums < EXACT, sums, EXACT + np.minimum(sums >> STEP, EXACT - 1)).astype(np.uint16))
-    s = rng.integers(0, 2**64, 5000, dtype=np.uint64)
-    true = out[_bucket(s, 1 << 16)]
-    got = r.weights(s)
-    assert ((got == 1) == (true == 1)).all() and (got[true != 1] >= np.minimum(true[true != 1], 2**29)).all()
+    rows = []
+    for n in (60, 130, 260, 700, 2100):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        for gone in (0, 1, 7, n // 4):
+            b = np.unique(np.concatenate((a[gone:], rng.integers(0, 2**64, gone // 2, dtype=np.uint64))))
+            rings, ends = similar._rings(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+            rows.append((rings[ends[0] : ends[1]].tolist(), rings[ends[1] :].tolist(), len(np.setxor1d(a, b))))
+    df = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>, d int")
+    assert len({len(x) for r in rows for x in r[:2]}) > 3 and any(len(r[0]) != len(r[1]) for r in rows)
+    assert df.filter(~similar._whole_ring_holds(F.col("a"), F.col("b"), F.col("d"))).count() == 0
+    assert df.filter(similar._whole_ring_holds(F.col("a"), F.col("b"), F.lit(-1))).count() == 0
