@@ -87,10 +87,12 @@ _RUNS = f"""good AS (SELECT DISTINCT run_id, started_at FROM index_run WHERE low
 ORACLE = {
     "p1_found": f"{_WITH} SELECT DISTINCT ref_table, ref_column, row_id, strftime(t, '%Y-%m') AS period FROM orphans",
     "p1_report": f"{_WITH} SELECT ref_table, ref_column, strftime(t, '%Y-%m') AS period, status, count(*) AS orphans FROM orphans GROUP BY ALL",
-    "p5_found": f"""WITH {_RUNS},
- seen AS (SELECT k, file, arg_max(h, (seen_at, meta_id)) AS h FROM runs JOIN versions ON loaded_at <= started_at GROUP BY k, file)
-SELECT r.run_id, a.file, a.h AS md5_hash FROM seen a JOIN runs r USING (k) LEFT JOIN seen b ON b.k = a.k - 1 AND b.file = a.file
-WHERE b.h IS NULL OR b.h <> a.h""",
+    "p5_found": f"""WITH {_RUNS}, starts AS (SELECT started_at, min(k) AS k FROM runs GROUP BY started_at),
+ firsts AS (SELECT meta_id, file, h, seen_at, min(k) AS k FROM versions ASOF JOIN starts ON loaded_at <= started_at GROUP BY ALL),
+ newest AS (SELECT file, k, max({{'s': seen_at, 'm': meta_id, 'h': h}}) AS v FROM firsts GROUP BY file, k),
+ state AS (SELECT file, k, max(v) OVER (PARTITION BY file ORDER BY k) AS v FROM newest),
+ moves AS (SELECT file, k, v.h AS h, lag(v.h) OVER (PARTITION BY file ORDER BY k) AS before FROM state)
+SELECT run_id, file, h AS md5_hash FROM moves JOIN runs USING (k) WHERE before IS NULL OR before <> h""",
     "p5_ledger": f"""WITH {_RUNS}, firsts AS (SELECT meta_id, min(k) AS k FROM runs JOIN versions ON loaded_at <= started_at GROUP BY meta_id)
 SELECT r.run_id, count(*)::BIGINT AS taken FROM firsts JOIN runs r USING (k) GROUP BY r.run_id""",
 }

@@ -7,9 +7,11 @@ share. Only where that setting is missing (tests, a laptop) a folder of the loca
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
@@ -50,6 +52,59 @@ def delete(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def publish_exclusively(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with this text in one step; False if it is there already. Of several writers just one succeeds: the
+    draft is linked into place on a local file system, elsewhere renamed by a rename that never replaces."""
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    final = hadoop.Path(path)
+    draft = hadoop.Path(final.getParent(), f".{final.getName()}-{uuid.uuid4().hex}")
+    fs = final.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(final.getParent())
+    stream = fs.create(draft, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    try:
+        if fs.getUri().getScheme() == "file":
+            os.link(draft.toUri().getPath(), final.toUri().getPath())
+            return True
+        options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, final, options)
+        return True
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def listing(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted, without hidden ones; none if there is no such folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return []
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(target)) if not n.startswith("."))
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes below a folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 @atexit.register
 def _tidy() -> None:
     for path, spark in list(_made.items()):

@@ -1,7 +1,10 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioscan.operators import incremental as inc
@@ -113,3 +116,78 @@ def test_empty(spark):
 def test_clashing_names(spark):
     rows = spark.createDataFrame([(1, 2, 3, 4)], "seq bigint, block int, at int, span int")
     assert inc.locate(rows, spark.createDataFrame([(0, 1, 1, 5)], "block bigint, run int, lo bigint, hi bigint"), "seq").first().asDict() == {"seq": 1, "block": 2, "at": 3, "span": 4, "taken_by": 1}
+
+
+SPANS = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 8)), max_size=12)
+
+
+def spans_of(numbers):
+    none = (np.empty(0, np.int64), np.empty(0, np.int64))
+    a = np.array(sorted(numbers), np.int64)
+    return inc.union((a, a), none)
+
+
+def numbers_of(spans):
+    return {n for lo, hi in zip(*spans) for n in range(lo, hi + 1)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(SPANS, SPANS)
+def test_interval_arithmetic(a, b):
+    a, b = ({n for lo, k in x for n in range(lo, lo + k)} for x in (a, b))
+    x, y = spans_of(a), spans_of(b)
+    assert all(h + 1 < lo for h, lo in zip(x[1][:-1], x[0][1:]))
+    assert numbers_of(inc.union(x, y)) == a | b
+    assert numbers_of(inc.subtract(x, y)) == a - b and len(inc.subtract(x, y)[0]) == len(spans_of(a - b)[0])
+
+
+def test_a_number_is_taken_once_with_what_has_arrived(spark):
+    rows = [(1, "a", "x", at(0), at(0)), (1, "a", "x", at(0), at(30)), (1, "a", "later", at(0), at(30)), (2, "a", "y", at(1), at(30))]
+    runs = inc.successful_runs(spark.createDataFrame([(1, at(5), at(6), "ok"), (2, at(40), at(41), "ok")], RUNS))
+    ledger, taken = inc.replay(spark.createDataFrame(rows, ROWS), runs)
+    assert sorted(map(tuple, ledger.collect())) == [(0, 1, 1, 1), (0, 2, 2, 2)]
+    assert sorted((r.seq, r.value, r.taken_by) for r in taken.collect() if r.taken_by) == [(1, "x", 1), (2, "y", 2)]
+
+
+def rows_scanned(df):
+    """Rows that the scans of a plan gave out, after it has run."""
+    df.collect()
+    todo, out = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if name.startswith("Scan parquet"):
+            out += node.metrics().apply("numOutputRows").value()
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return out
+
+
+def test_a_run_with_nothing_new_reads_no_old_block(spark, tmp_path):
+    source = f"{tmp_path}/rows"
+    spark.range(200_000).repartitionByRange(8, "id").select(F.col("id").alias("seq"), F.col("id").cast("string").alias("value")).write.parquet(source)
+    book = inc.RunLedger(spark, f"file://{tmp_path}/ledger")
+    rows = spark.read.parquet(source)
+    assert book.run(rows, lambda todo: todo, 1)
+    assert rows_scanned(book.pending(rows)) <= 10  # the ledger's own few spans, none of the rows
+    spark.range(200_000, 200_010).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("value")).write.mode("append").parquet(source)
+    rows = spark.read.parquet(source)
+    assert rows_scanned(book.pending(rows)) <= 40
+    assert book.run(rows, lambda todo: todo, 2)
+    assert {r.run_id: r.n for r in book.outputs().groupBy("run_id").agg(F.count("*").alias("n")).collect()} == {1: 200_000, 2: 10}
+    assert book.vacuum() == 1  # the spans of the first run
+    assert book.pending(rows).count() == 0
+
+
+def test_commits_are_exclusive(spark, tmp_path):
+    from folioscan.storage import listing, publish_exclusively
+
+    path = f"file://{tmp_path}/commits/00000000"
+    assert publish_exclusively(spark, path, "one") and not publish_exclusively(spark, path, "two")
+    assert (tmp_path / "commits/00000000").read_text() == "one" and listing(spark, f"file://{tmp_path}/commits") == ["00000000"]
