@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,9 +83,19 @@ def stem(word: str) -> str:
     return w
 
 
+@lru_cache(maxsize=200_000)
+def remembered(word: str) -> str:
+    return stem(word)
+
+
 @F.pandas_udf(T.StringType())
 def stem_column(words: pd.Series) -> pd.Series:
-    return words.map(stem, na_action="ignore")
+    return words.map(remembered, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stem_arrays(words: pd.Series) -> pd.Series:
+    return words.map(lambda ws: [remembered(w) for w in ws], na_action="ignore")
 
 
 def stems(terms: DataFrame, column: str = "term") -> DataFrame:
@@ -92,5 +104,5 @@ def stems(terms: DataFrame, column: str = "term") -> DataFrame:
 
 
 def stemmed(postings: DataFrame) -> DataFrame:
-    """Postings with stems in place of terms: only distinct words pass through Python."""
-    return postings.join(stems(postings), "term").select("doc_id", "col", "pos", F.col("stem").alias("term"), "n")
+    """Postings with stems in place of terms: words pass through Python in batches, each looked up once; no shuffle."""
+    return postings.select("doc_id", "col", "pos", stem_column("term").alias("term"), "n")

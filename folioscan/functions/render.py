@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import ascii_lower
+from folioscan.functions.text import ascii_lower, folded
 
 START, END = "\x02", "\x03"
 
@@ -69,7 +69,7 @@ def url_param(query: Column | str, name: str) -> Column:
 
 
 def starts_with(c: Column | str, text: str) -> Column:
-    return ascii_lower(_c(c)).startswith(text.lower())
+    return ascii_lower(_c(c)).startswith(folded(text))
 
 
 def highlight(c: Column | str, text: str) -> Column:

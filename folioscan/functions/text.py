@@ -24,6 +24,19 @@ STOPWORDS = frozenset(
 ) - {"and", "or", "not"}
 
 
+_FOLD = str.maketrans(UPPER, LOWER)
+
+
+def folded(text: str) -> str:
+    """A-Z in lower case; other letters keep their case."""
+    return text.translate(_FOLD)
+
+
+def read_stopwords(lines: Iterable[str]) -> frozenset[str]:
+    """A list of stop-words, one on each line; blank lines and those that begin with # are left out."""
+    return frozenset(w for w in (folded(x.strip()) for x in lines) if w and not w.startswith("#"))
+
+
 def ascii_lower(c: Column) -> Column:
     """Folds A-Z alone; other letters keep their case. Plain ASCII text takes the short way, which is the same there."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -145,6 +145,10 @@ def routed_lines(docs: DataFrame) -> DataFrame:
 
 
 def compact(postings: DataFrame, partitions: int) -> DataFrame:
-    """Postings by ranges of terms and in their order, so that files and row groups outside a query's terms are skipped."""
-    return postings.repartitionByRange(partitions, "term", "doc_id").sortWithinPartitions("term", "doc_id", "col", "pos")
+    """Postings by ranges of stems and in their order, so that files and row groups outside a query's words are skipped."""
+    return postings.repartitionByRange(partitions, "stem", "doc_id").sortWithinPartitions("stem", "doc_id", "col", "pos")
 
+
+def page_id(md5: Column) -> Column:
+    """The id under which content is stored."""
+    return F.xxhash64(md5).bitwiseAND(F.lit(2**63 - 1))

@@ -2,18 +2,19 @@
 
 Postings are filtered by the words of the query before anything is shuffled; what is left is brought together by record
 once, and everything else (phrases, frequencies, the boolean condition, ranks) is computed on that partitioning. The
-statistics of the whole collection are one row for each phrase and column and go into the plan as constants. They are
-taken before the section and machine filters, so filters never change ranks.
+statistics of the whole collection are one row for each phrase and column, which is told to all tasks. They are taken
+before the section and machine filters, so filters never change ranks. Without filters the best rows are picked before
+anything else is read of their pages.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscan.functions import porter
 from folioscan.functions.render import display_name
 from folioscan.functions.text import postings as postings_of
 from folioscan.functions.text import tokens
@@ -22,6 +23,8 @@ from folioscan.schema import COLUMNS, SATURATION, WEIGHTS
 from folioscan.storage import materialize
 
 SNIPPET_TOKENS = 40
+#: Results up to this size are told to all tasks that read their pages.
+BROADCAST_RESULT = 100_000
 
 
 @dataclass(frozen=True)
@@ -35,6 +38,8 @@ class SearchRequest:
     offset: int = 0
     marks: tuple[str, str, str] = ("", "", "...")
     snippets: bool = False
+    #: words are compared by their stems; postings then hold stems
+    stems: bool = False
 
 
 def _matches(q: Query) -> Column:
@@ -72,29 +77,14 @@ def phrase_hits(postings: DataFrame, q: Query) -> DataFrame:
     return hits.agg(F.count(F.lit(1)).alias("tf"), F.first("n").alias("n"), starts)
 
 
-@dataclass(frozen=True)
-class Statistics:
-    records: int
-    #: (leaf, col) -> (hits in all records, records hit)
-    hits: dict[tuple[int, int], tuple[int, int]]
-
-    def idf(self, q: Query) -> float:
-        """One number for a query: summed over phrases and columns, each weighted."""
-        return sum(math.log(self.records / df) * WEIGHTS[COLUMNS[c]] for (leaf, c), (_, df) in sorted(self.hits.items()) if c > 0 and leaf in q.scored())
-
-
-def statistics(hits: DataFrame, records: int) -> Statistics:
-    rows = hits.groupBy("leaf", "col").agg(F.sum("tf").alias("g"), F.count(F.lit(1)).alias("df")).collect()  # at most phrases x columns
-    return Statistics(records, {(r.leaf, r.col): (r.g, r.df) for r in rows})
-
-
-def _share(q: Query, stats: Statistics) -> Column:
-    """Weighted share of a hit row in its phrase's hits, over the length of the column."""
-    out = F.lit(0.0)
-    for (leaf, c), (g, _) in sorted(stats.hits.items()):
-        if c > 0 and leaf in q.scored() and WEIGHTS[COLUMNS[c]]:
-            out = F.when((F.col("leaf") == leaf) & (F.col("col") == c), F.col("tf") * F.lit(WEIGHTS[COLUMNS[c]]) / (F.lit(float(g)) * F.col("n"))).otherwise(out)
-    return out
+def statistics(hits: DataFrame, records: int, q: Query) -> DataFrame:
+    """(leaf, col, share, idf), at most phrases x columns: what a hit counts, and one number for the query, summed over
+    phrases and columns, each weighted."""
+    weights = F.array(*[F.lit(WEIGHTS.get(c, 0.0)) for c in COLUMNS])
+    weight = F.when(F.col("leaf").isin(q.scored()), weights[F.col("col")]).otherwise(F.lit(0.0))
+    rows = hits.groupBy("leaf", "col").agg(F.sum("tf").cast("double").alias("g"), F.count(F.lit(1)).alias("df"))
+    all_rows = Window.partitionBy(F.lit(0))
+    return rows.select("leaf", "col", (weight / F.col("g")).alias("share"), F.sum(F.ln(F.lit(records) / F.col("df")) * weight).over(all_rows).alias("idf"))
 
 
 def _near(q: Query, i: int, rows: Column) -> Column:
@@ -119,18 +109,22 @@ def _condition(q: Query, tree: tuple) -> Column:
     return a & b if kind == "and" else a | b if kind == "or" else a & ~b
 
 
-def ranks(postings: DataFrame, records: int, q: Query) -> DataFrame:
-    """(doc_id, rank) of all records that match."""
-    hits = materialize(phrase_hits(postings, q), "hits")  # read for the statistics and for the ranks; the text only once
-    stats = statistics(hits, records)
-    aggs = [F.bool_or(F.col("leaf") == i).alias(f"has{i}") for i in range(len(q.phrases))] + [F.sum(_share(q, stats)).alias("tf")]
+def ranks(postings: DataFrame, records: int, q: Query, stored: bool) -> DataFrame:
+    """(doc_id, rank) of all records that match. Stored postings are cheap to read twice, for the statistics and for the
+    ranks; where text has to be cut into words first, its hits are written."""
+    hits = phrase_hits(postings, q)
+    if not stored:
+        hits = materialize(hits, "hits")
+    told = hits.join(F.broadcast(statistics(hits, records, q)), ["leaf", "col"])
+    aggs = [F.bool_or(F.col("leaf") == i).alias(f"has{i}") for i in range(len(q.phrases))]
+    aggs += [F.sum(F.col("tf") * F.col("share") / F.col("n")).alias("tf"), F.max("idf").alias("idf")]
     if q.nears:
         aggs.append(F.collect_list(F.struct("leaf", "col", "starts")).alias("rows"))  # one for each phrase and column of a record
-    found = hits.groupBy("doc_id").agg(*aggs)
+    found = told.groupBy("doc_id").agg(*aggs)
     for i in range(len(q.nears)):
         found = found.withColumn(f"near{i}", _near(q, i, F.col("rows")))
     # rounded, so that the order in which partial sums meet decides no ties
-    rank = F.round(F.col("tf") * F.lit(stats.idf(q)) / (F.lit(SATURATION) + F.col("tf")), 12)
+    rank = F.round(F.col("tf") * F.col("idf") / (F.lit(SATURATION) + F.col("tf")), 12)
     return found.filter(_condition(q, q.tree)).select("doc_id", rank.alias("rank"))
 
 
@@ -147,30 +141,39 @@ def scanned(pages: DataFrame, q: Query) -> DataFrame:
     return postings_of(pages.filter(can))
 
 
-def search(pages: DataFrame, request: SearchRequest, postings: DataFrame | None = None) -> DataFrame:
+def search(pages: DataFrame, request: SearchRequest, postings: DataFrame | None = None, records: int | None = None) -> DataFrame:
     """(doc_id, section, name, name_desc, machine, rank[, snippet]), best first; ties by doc_id. An empty result for a
-    query without a word that must occur."""
+    query without a word that must occur. ``records``: the number of pages, where it is known."""
     columns = ["doc_id", "section", "name", "name_desc", "machine"]
     try:
         q = parse(request.query)
     except ValueError:
         return pages.select(*columns, F.lit(0.0).alias("rank")).filter("false")
-    found = ranks(postings if postings is not None else scanned(pages, q), pages.count(), q)
-    kept = pages.select(*columns)
+    if request.stems:
+        q = q.words(porter.stem)
+    if postings is None and request.stems:
+        postings = porter.stemmed(postings_of(pages))
+    stored = postings is not None
+    found = ranks(postings if stored else scanned(pages, q), pages.count() if records is None else records, q, stored)
+    best = lambda df: df.orderBy(F.desc("rank"), "doc_id").offset(max(0, request.offset)).limit(request.limit)
+    kept, limited = pages.select(*columns), request.limit is not None and request.limit >= 0
+    filtered = bool(request.sections) or request.machine is not None
     if request.sections:
         kept = kept.filter(F.col("section").isin(list(request.sections)))
     if request.machine is not None:
         kept = kept.filter(F.col("machine") == request.machine)
-    out = kept.join(found, "doc_id").orderBy(F.desc("rank"), "doc_id")
-    if request.limit is not None and request.limit >= 0:
-        out = out.offset(max(0, request.offset)).limit(request.limit)
-    out = out.select("doc_id", "section", display_name("name", "machine").alias("name"), "name_desc", "machine", "rank")
+    if limited and not filtered:
+        out = kept.join(F.broadcast(best(found)) if request.limit <= BROADCAST_RESULT else best(found), "doc_id")
+    else:
+        out = kept.join(found, "doc_id")
+        out = best(out) if limited else out
+    out = out.orderBy(F.desc("rank"), "doc_id").select("doc_id", "section", display_name("name", "machine").alias("name"), "name_desc", "machine", "rank")
     if request.snippets:
-        out = out.join(snippets(pages.join(out.select("doc_id"), "doc_id", "left_semi"), q, request.marks), "doc_id", "left").orderBy(F.desc("rank"), "doc_id")
+        out = out.join(snippets(pages.join(out.select("doc_id"), "doc_id", "left_semi"), q, request.marks, request.stems), "doc_id", "left").orderBy(F.desc("rank"), "doc_id")
     return out
 
 
-def snippets(pages: DataFrame, q: Query, marks: tuple[str, str, str]) -> DataFrame:
+def snippets(pages: DataFrame, q: Query, marks: tuple[str, str, str], stems: bool = False) -> DataFrame:
     """(doc_id, snippet): of all columns, the leftmost window of at most SNIPPET_TOKENS words with most distinct words of
     the query; words of the query between the marks, an ellipsis where the column goes on. For the few rows of a result."""
     exact = sorted({t for p in q.phrases for k, t in enumerate(p.terms) if not (p.prefix and k == len(p.terms) - 1)})
@@ -184,14 +187,19 @@ def snippets(pages: DataFrame, q: Query, marks: tuple[str, str, str]) -> DataFra
 
     fields = F.array(*[F.struct(F.lit(i).alias("col"), F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")).alias("t"), F.col(c).alias("raw")) for i, c in enumerate(COLUMNS)])
     rows = pages.select("doc_id", F.explode(fields).alias("f")).select("doc_id", "f.*").filter(F.size("t") > 0)
+    # ``t`` are the words as they are compared, ``size`` of the shown ones may differ from them
+    rows = rows.withColumn("size", F.transform("t", F.length))
+    if stems:
+        rows = rows.withColumn("t", porter.stem_arrays("t"))
     rows = rows.withColumn("hits", F.filter(F.transform("t", lambda t, i: F.when(is_hit(t), i)), lambda i: i.isNotNull()))
     # a best window begins at a hit, or ends with the column
     begins = F.transform(F.when(F.size("hits") > 0, F.col("hits")).otherwise(F.array(F.lit(0))), lambda i: F.greatest(F.lit(0), F.least(i, F.size("t") - SNIPPET_TOKENS)))
     scored = F.transform(begins, lambda b: F.struct(F.size(F.array_distinct(F.filter(F.slice("t", b + 1, SNIPPET_TOKENS), is_hit))).alias("k"), (-b).alias("b")))
-    best = rows.withColumn("w", F.array_max(scored)).groupBy("doc_id").agg(F.max(F.struct("w.k", (-F.col("col")).alias("c"), "w.b", "raw", "t")).alias("m"))
+    best = rows.withColumn("w", F.array_max(scored)).groupBy("doc_id").agg(F.max(F.struct("w.k", (-F.col("col")).alias("c"), "w.b", "raw", "t", "size")).alias("m"))
     raw = F.regexp_extract_all(F.col("m.raw"), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+[^0-9A-Za-z\x{80}-\x{10FFFF}]*"), F.lit(0))
     begin = -F.col("m.b")
-    shown = F.zip_with(F.slice(raw, begin + 1, SNIPPET_TOKENS), F.slice("m.t", begin + 1, SNIPPET_TOKENS), lambda r, t: F.when(is_hit(t), F.concat(F.lit(marks[0]), F.substring(r, F.lit(1), F.length(t)), F.lit(marks[1]), F.substring(r, F.length(t) + 1, F.length(r)))).otherwise(r))
+    words = F.arrays_zip(F.slice("m.t", begin + 1, SNIPPET_TOKENS).alias("t"), F.slice("m.size", begin + 1, SNIPPET_TOKENS).alias("size"))
+    shown = F.zip_with(F.slice(raw, begin + 1, SNIPPET_TOKENS), words, lambda r, w: F.when(is_hit(w["t"]), F.concat(F.lit(marks[0]), F.substring(r, F.lit(1), w["size"]), F.lit(marks[1]), F.substring(r, w["size"] + 1, F.length(r)))).otherwise(r))
     text = F.rtrim(F.array_join(shown, ""))
     return best.select(
         "doc_id",

@@ -195,9 +195,7 @@ def porter_rows(spark, folder):
 
 def rank_stemmed(spark, folder):
     """Search with stems on both sides."""
-    stemmed = porter.stemmed(postings(_pages(spark, folder)))
-    words = " ".join(porter.stem(w) for w in ("printed", "buffers"))
-    return search(_pages(spark, folder), SearchRequest(words), stemmed).withColumn("rank", F.round("rank", 9))
+    return search(_pages(spark, folder), SearchRequest("printed buffers", stems=True)).withColumn("rank", F.round("rank", 9))
 
 
 def content_md5(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 #: Stored beside every snapshot; a snapshot of another version is refused.
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 
 # Searchable columns in order, and their weights in ranking. Column 0 is searched but not ranked.
 COLUMNS = ["section", "name", "name_desc", "desc", "lib", "return_vals", "env", "files", "exit_status", "diagnostics", "errors", "md5_hash", "machine"]
@@ -37,3 +37,12 @@ DICTIONARY = T.StructType([T.StructField("word", T.StringType()), T.StructField(
 FILES = T.StructType(
     [T.StructField("device", T.LongType()), T.StructField("inode", T.LongType()), T.StructField("mtime", T.LongType()), T.StructField("parent", T.StringType()), T.StructField("file", T.StringType())]
 )
+POSTINGS = T.StructType(
+    [T.StructField("stem", T.StringType()), T.StructField("term", T.StringType()), T.StructField("doc_id", T.LongType())] + [T.StructField(c, T.IntegerType()) for c in ("col", "pos", "n")]
+)
+GONE_PAGES = T.StructType([T.StructField("doc_id", T.LongType())])
+GONE_FILES = T.StructType([T.StructField("file", T.StringType())])
+
+
+def with_segment(kind: T.StructType) -> T.StructType:
+    return T.StructType([*kind.fields, T.StructField("segment", T.StringType())])

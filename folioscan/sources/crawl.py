@@ -1,8 +1,8 @@
 """Files below a list of directories, with what the index keeps of them.
 
 Directories are listed on the executors, which must see the same files; each level of the tree is a job of its own, so a
-deep or uneven tree spreads over all tasks. Hidden entries are left out; links are followed, once for each real path; what
-cannot be read is left out."""
+deep or uneven tree spreads over all tasks, and the crawl goes on until a level is empty. Hidden entries are left out;
+links are followed, once for each real path, so the crawl ends whatever they point to; what cannot be read is left out."""
 
 from __future__ import annotations
 
@@ -14,11 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.schema import FILES
-from folioscan.storage import materialize
+from folioscan.storage import scratch_path
 
 LISTING = "device bigint, inode bigint, mtime bigint, parent string, file string, is_dir boolean, real string"
-LEVELS = 64
-MAX_DIRECTORIES = 10_000
 
 
 def _listed(batches):
@@ -42,25 +40,31 @@ def _listed(batches):
         yield pd.DataFrame(rows, columns=["device", "inode", "mtime", "parent", "file", "is_dir", "real"])
 
 
-def crawl(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """(device, inode, mtime, parent, file); parent is the directory that holds the root in which a file was found."""
-    level = spark.createDataFrame([(r.rstrip("/") or "/", os.path.dirname(r.rstrip("/")), os.path.realpath(r)) for r in dict.fromkeys(roots)] or [], "file string, parent string, real string")
-    done = level.select("real")
-    files = spark.createDataFrame([], FILES)
-    for _ in range(LEVELS):
-        width = max(1, spark.sparkContext.defaultParallelism)
-        found = materialize(level.repartition(width, "file").mapInPandas(_listed, LISTING), "listing")
-        files = files.unionByName(found.filter("not is_dir").select(*FILES.names))
-        level = found.filter("is_dir").dropDuplicates(["real"]).join(done, "real", "left_anti").select("file", "parent", "real")
-        done = done.unionByName(level.select("real"))
-        if level.isEmpty():
-            break
-    return files.dropDuplicates(["file"])
+def _roots(batches):
+    for b in batches:
+        rows = [(r.rstrip("/") or "/", os.path.dirname(r.rstrip("/")), True, os.path.realpath(r)) for r in b["file"]]
+        yield pd.DataFrame(rows, columns=["file", "parent", "is_dir", "real"]).reindex(columns=["device", "inode", "mtime", "parent", "file", "is_dir", "real"])
+
+
+def crawl(spark: SparkSession, roots: list[str] | DataFrame) -> DataFrame:
+    """(device, inode, mtime, parent, file); parent is the directory that holds the root in which a file was found.
+    ``roots``: paths, or a table of any size with a column ``file``. What each level lists is written below one folder, so
+    the plan does not grow with the depth."""
+    if isinstance(roots, list):
+        roots = spark.createDataFrame([(r,) for r in dict.fromkeys(roots)], "file string")
+    width, folder = max(1, spark.sparkContext.defaultParallelism), scratch_path(spark, "listing")
+    roots.select("file").distinct().mapInPandas(_roots, LISTING).write.parquet(f"{folder}/level=0")
+    depth = 0
+    while True:
+        listed = spark.read.schema(LISTING + ", level int").parquet(folder)
+        # of each real path the first level that has it, and there one name of it
+        level = listed.filter("is_dir").groupBy("real").agg(F.min(F.struct("level", "file", "parent")).alias("m")).select("m.*").filter(F.col("level") == depth)
+        level.select("file", "parent").repartition(width, "file").mapInPandas(_listed, LISTING).write.parquet(f"{folder}/level={depth + 1}")
+        depth += 1
+        if spark.read.schema(LISTING).parquet(f"{folder}/level={depth}").filter("is_dir").isEmpty():
+            return spark.read.schema(LISTING + ", level int").parquet(folder).filter("not is_dir").select(*FILES.names).dropDuplicates(["file"])
 
 
-def directories(spark: SparkSession, lines: DataFrame) -> list[str]:
-    """Directory list of a configuration: one path on each line; few by nature, more than MAX_DIRECTORIES are refused."""
-    rows = lines.select(F.trim("value").alias("v")).filter("v <> '' and not startswith(v, '#')").limit(MAX_DIRECTORIES + 1).collect()
-    if len(rows) > MAX_DIRECTORIES:
-        raise ValueError(f"more than {MAX_DIRECTORIES} directories")
-    return [r.v for r in rows]
+def directories(lines: DataFrame) -> DataFrame:
+    """Directories of a configuration, one path on each line of ``value``, as a table for ``crawl``: any number of them."""
+    return lines.select(F.trim("value").alias("file")).filter("file <> '' and not startswith(file, '#')").distinct()

@@ -1,4 +1,5 @@
-"""Reading page sources: decompression, and the two macro packages as far as an index needs them.
+"""Reading page sources: decompression, and the two macro packages as far as an index needs them. Pages are read and
+decompressed as streams of lines, whatever their size; only the text that is kept is held.
 
 What counts is the title line, section headings, names, the one-line description and cross references; other macros give
 their arguments as text. Sections go to columns by heading (operators.index.SECTION_OF)."""
@@ -8,8 +9,10 @@ from __future__ import annotations
 import bz2
 import gzip
 import hashlib
+import io
 import lzma
 import re
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +21,6 @@ from pyspark.sql import functions as F
 from folioscan.operators.index import SECTION_OF
 from folioscan.schema import COLUMNS
 
-LIMIT_BYTES = 64 << 20
 PARSED = "file string, device bigint, inode bigint, mtime bigint, links string, error string, " + ", ".join(f"`{c}` string" for c in COLUMNS)
 # Headings whose text the second package has no column for.
 MAN_WITHOUT = {"ENVIRONMENT", "DIAGNOSTICS"}
@@ -26,23 +28,26 @@ _GLYPHS = {"hy": "-", "em": "-", "en": "-", "aq": "'", "dq": '"', "lq": '"', "rq
 _ESCAPE = re.compile(r"\\(?:(?P<keep>[- ])|(?P<slash>e)|\((?P<two>..)|\[(?P<long>[^\]]*)\]|f(?:\(..|\[[^\]]*\]|.)|\*(?:\(..|\[[^\]]*\]|.)|s[-+]?\d+|[&|^%/,:cp0~]|\"(?P<comment>.*)|(?P<other>.))")
 
 
-def decompressed(data: bytes) -> bytes:
-    """By its first bytes; plain data as it is. Raises ValueError for more than LIMIT_BYTES."""
-    if data[:2] == b"\x1f\x8b":
-        out = gzip.decompress(data)
-    elif data[:3] == b"BZh":
-        out = bz2.decompress(data)
-    elif data[:6] == b"\xfd7zXZ\x00" or data[:3] == b"\x5d\x00\x00":
-        out = lzma.decompress(data)
-    elif data[:4] == b"\x28\xb5\x2f\xfd":
+def opened(raw):
+    """A stream of the decompressed content of a binary stream, by its first bytes; plain content as it is."""
+    raw = raw if hasattr(raw, "peek") else io.BufferedReader(raw)
+    head = raw.peek(6)[:6]
+    if head[:2] == b"\x1f\x8b":
+        return gzip.GzipFile(fileobj=raw)
+    if head[:3] == b"BZh":
+        return bz2.BZ2File(raw)
+    if head == b"\xfd7zXZ\x00" or head[:3] == b"\x5d\x00\x00":
+        return lzma.LZMAFile(raw)
+    if head[:4] == b"\x28\xb5\x2f\xfd":
         import zstandard
 
-        out = zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    else:
-        out = data
-    if len(out) > LIMIT_BYTES:
-        raise ValueError(f"more than {LIMIT_BYTES} bytes")
-    return out
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True))
+    return raw
+
+
+def decompressed(data: bytes) -> bytes:
+    with opened(io.BytesIO(data)) as f:
+        return f.read()
 
 
 def unescaped(text: str) -> str:
@@ -76,8 +81,12 @@ def split_names(text: str) -> tuple[str | None, list[str], str]:
 
 def parse_page(source: str, names_only: bool = False) -> dict:
     """The columns of a page and its aliases (``links``). Without a name or description, the page is incomplete."""
-    lines = source.replace("\r\n", "\n").split("\n")
-    semantic = any(x.startswith(".Dt") for x in lines)
+    lines = source.split("\n")
+    return parse_lines(lines, any(x.startswith(".Dt") for x in lines), names_only)
+
+
+def parse_lines(lines: Iterable[str], semantic: bool, names_only: bool = False) -> dict:
+    """``semantic``: the page is of the first package; it has a line that begins with .Dt, wherever that stands."""
     parts: dict[str, list[str]] = {}
     rec: dict = dict.fromkeys(COLUMNS)
     names, about, heading = [], [], None
@@ -92,6 +101,7 @@ def parse_page(source: str, names_only: bool = False) -> dict:
                 parts.setdefault(column, []).append(unescaped(text))
 
     for line in lines:
+        line = line.rstrip("\r\n")
         if line[:1] not in (".", "'"):
             if line.strip():
                 add(line)
@@ -130,6 +140,17 @@ def parse_page(source: str, names_only: bool = False) -> dict:
     return rec | {c: _squeezed(p) for c, p in parts.items()}
 
 
+def read_page(path: str, names_only: bool = False) -> dict:
+    """A file read twice as a stream of lines: for its checksum and kind, and for its columns."""
+    digest, semantic = hashlib.md5(), False
+    with open(path, "rb") as raw, opened(raw) as f:
+        for line in f:
+            digest.update(line)
+            semantic = semantic or line.startswith(b".Dt")
+    with open(path, "rb") as raw, opened(raw) as f:
+        return parse_lines((x.decode("utf-8", "replace") for x in f), semantic, names_only) | {"md5_hash": digest.hexdigest()}
+
+
 def read_pages(files: DataFrame, names_only: bool = False) -> DataFrame:
     """Files (device, inode, mtime, file) read, checksummed and parsed on the executors; ``error`` tells what failed."""
 
@@ -139,9 +160,7 @@ def read_pages(files: DataFrame, names_only: bool = False) -> DataFrame:
             for r in b.itertuples(index=False):
                 rec = {"file": r.file, "device": r.device, "inode": r.inode, "mtime": r.mtime, "error": None}
                 try:
-                    with open(r.file, "rb") as f:
-                        data = decompressed(f.read())
-                    rec |= parse_page(data.decode("utf-8", "replace"), names_only) | {"md5_hash": hashlib.md5(data).hexdigest()}
+                    rec |= read_page(r.file, names_only)
                 except (OSError, ValueError, EOFError, lzma.LZMAError) as e:
                     rec["error"] = str(e)[:200]
                 rows.append(rec)

@@ -7,7 +7,6 @@ import pytest
 from folioscan.api import Engine, build_index
 from folioscan.operators import index as ix
 from folioscan.operators.catalog import CREATE, READ, Catalog
-from folioscan.sources import crawl as crawling
 from folioscan.sources.crawl import crawl, directories
 from folioscan.sources.roff import decompressed, parse_page, split_names
 from folioscan.streaming.ingest import ingest
@@ -166,9 +165,97 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(f"{out}/postings").filter("term = 'new'").count() == 1
 
 
-def test_long_directory_lists_are_refused(spark, monkeypatch):
-    lines = spark.createDataFrame([("/a",), ("# note",), ("/b",)], "value string")
-    assert sorted(directories(spark, lines)) == ["/a", "/b"]
-    monkeypatch.setattr(crawling, "MAX_DIRECTORIES", 1)
-    with pytest.raises(ValueError):
-        directories(spark, lines)
+def test_deep_trees_and_long_lists(spark, tmp_path):
+    deep = "/".join(f"d{i}" for i in range(70))
+    write(f"{tmp_path}/deep/{deep}/page.1", MAN)
+    os.symlink(f"{tmp_path}/deep", f"{tmp_path}/deep/d0/loop")
+    assert [r.file for r in crawl(spark, [f"{tmp_path}/deep"]).collect()] == [f"{tmp_path}/deep/{deep}/page.1"]
+    for i in range(10_001):
+        os.mkdir(f"{tmp_path}/m{i}")
+    write(f"{tmp_path}/m10000/last.1", MAN)
+    lines = spark.createDataFrame([("# note",), ("",)] + [(f" {tmp_path}/m{i} ",) for i in range(10_001)], "value string")
+    found = directories(lines)
+    assert found.count() == 10_001
+    assert [(r.file, r.parent) for r in crawl(spark, found).collect()] == [(f"{tmp_path}/m10000/last.1", str(tmp_path))]
+
+
+def test_pages_of_any_size(tmp_path):
+    from folioscan.sources.roff import read_page
+
+    line = "word " * 200_000
+    with gzip.open(f"{tmp_path}/big.1.gz", "wb", 1) as f:
+        f.write(b".TH BIG 1\r\n.SH NAME\nbig \\- a big page\n.SH EXAMPLES\n")
+        for _ in range(70):
+            f.write(line.encode() + b"\n")
+        f.write(b".SH DESCRIPTION\nthe end\n")
+    page = read_page(f"{tmp_path}/big.1.gz")
+    assert (page["name"], page["name_desc"], page["desc"]) == ("big", "a big page", "the end")
+
+
+def made(name, desc):
+    return f".TH X 1\n.SH NAME\n{name} \\- {desc}\n.SH DESCRIPTION\n{desc}\n"
+
+
+def files_below(path):
+    return sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs)
+
+
+def test_stems_and_folding(spark, tmp_path):
+    write(f"{tmp_path}/man/a.1", made("a", "printing buffers now"))
+    write(f"{tmp_path}/man/b.1", made("b", "Über die Straße"))
+    build_index(spark, f"file://{tmp_path}/index", [f"{tmp_path}/man"])
+    engine = Engine(spark, f"file://{tmp_path}/index")
+    names = lambda q, **more: [r.name for r in engine.search(q, **more).collect()]
+    assert names("buffer") == names("Buffers") == names("print") == names('"printed buffer"') == names("prin*") == ["a"]
+    assert names("Über") == ["b"] and names("über") == []
+    assert "\x02" not in engine.search("print").first().snippet and "<b>printing</b> <b>buffers</b>" in engine.search("print buffer", style="html").first().snippet
+    assert Engine(spark, f"file://{tmp_path}/index", stopwords={"printing"}).search("printing").collect() == []
+    answer = engine.ask("buffesr")
+    assert (answer.query, answer.did_you_mean, answer.count, answer.has_next) == ("buffers", "buffers", 1, False)
+    assert engine.ask("buffesr", again=False).rows == [] and engine.ask("zzzzzzzzz").did_you_mean is None and engine.count("die OR now", fold=False) == 2
+    assert engine.sql("SELECT name FROM pages WHERE name_desc LIKE :like", like="%buff%").first().name == "a"
+
+
+def test_segments(spark, tmp_path):
+    man, root = f"{tmp_path}/man", f"{tmp_path}/index"
+    for i in range(4):
+        write(f"{man}/p{i}.1", made(f"p{i}", f"common word{i} text"))
+    build_index(spark, f"file://{root}", [man])
+    before = files_below(root)
+    assert build_index(spark, f"file://{root}", [man])["examined"] == 0
+    assert files_below(root) == before  # a run without changes writes nothing
+    write(f"{man}/p0.1", made("p0", "common changed text"))
+    os.remove(f"{man}/p1.1")
+    os.rename(f"{man}/p2.1", f"{man}/moved.1")  # the same content under another path
+    os.utime(f"{man}/p3.1", (1, 1))
+    counts = build_index(spark, f"file://{root}", [man])
+    assert (counts["examined"], counts["indexed"], counts["moved"]) == (3, 2, 1)
+    assert set(before) <= set(files_below(root))  # nothing stored was rewritten
+    engine = Engine(spark, f"file://{root}")
+
+    def state():
+        ranks = {r.name: r.rank for r in engine.search("common OR text", fold=False, snippets=False).collect()}
+        return ranks, [r.name for r in engine.search("word0 OR word1", fold=False).collect()], engine.catalog.records(), sorted(r.file.removeprefix(man) for r in engine.catalog.table("meta").collect())
+
+    now = state()
+    assert set(now[0]) == {"p0", "p2", "p3"} and now[1:] == ([], 3, ["/moved.1", "/p0.1", "/p3.1"])
+    assert {r.mtime for r in engine.catalog.table("meta").filter("file like '%p3.1'").collect()} == {1}
+    fresh = f"file://{tmp_path}/fresh"
+    build_index(spark, fresh, [man])
+    assert {r.name: r.rank for r in Engine(spark, fresh).search("common OR text", fold=False, snippets=False).collect()} == now[0]
+    writer = Catalog(spark, f"file://{root}", CREATE)
+    assert writer.optimize() and len(writer.current()["segments"]) == 1 and state() == now
+    assert writer.vacuum() > 0 and state() == now and len(os.listdir(f"{root}/pages")) == 1
+    write(f"{man}/p1.1", made("p1", "common word1 text"))  # what was gone comes back
+    build_index(spark, f"file://{root}", [man])
+    assert state()[1] == ["p1"] and state()[2] == 4
+
+
+def test_two_writers_publish_once(spark, tmp_path):
+    root = f"file://{tmp_path}/index"
+    a, b = Catalog(spark, root, CREATE), Catalog(spark, root, CREATE)
+    word = lambda w: spark.createDataFrame([(w, 1)], "word string, frequency bigint")
+    turn = a._writing()
+    assert b.append({"dict": word("b")})
+    assert not a._publish(turn, [a._segment(turn, {"dict": word("a")})])
+    assert [r.word for r in a.table("dict").collect()] == ["b"] and len(os.listdir(f"{tmp_path}/index/dict")) == 1

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from folioscan.api import SuggestionCache, register_functions
 from folioscan.functions.packing import packed, unpacked
+from folioscan.functions.text import read_stopwords
 from folioscan.sources.config import index_root, page_directories
 
 
@@ -25,6 +26,18 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT stem(w) AS s, unpack(pack(w)) AS u FROM VALUES (:w) AS t(w)", args={"w": "printed"}).first().asDict() == {"s": "print", "u": "printed"}
 
 
+def test_query_words_and_ranks_in_sql(spark):
+    register_functions(spark)
+    rows = spark.sql("""SELECT phrase, place, word, stem, prefix FROM query_words('"printing buffers" OR keyb*') ORDER BY 1, 2""").collect()
+    assert list(map(tuple, rows)) == [(0, 0, "printing", "print", False), (0, 1, "buffers", "buffer", False), (1, 0, "keyb", "keyb", True)]
+    assert spark.sql("SELECT count(*) AS n FROM query_words('(')").first().n == 0
+    assert spark.sql("SELECT rank_score(0.25D, 4.0D) AS r").first().r == 0.25
+
+
+def test_stopwords_from_a_file():
+    assert read_stopwords(["The\n", "", "# note", " of "]) == {"the", "of"}
+
+
 def test_cache():
     asked = []
     cache = SuggestionCache(lambda q: asked.append(q) or (["x"] if q == "a" else []), size=2)
