@@ -1,13 +1,16 @@
 """Personal information in free text: where it stands, and text in which typed placeholders stand for it.
 
-Kinds: email, phone, id_number, address, name. Each is found by the shape it has in writing (numbers, addresses, mailbox
-names, plain or spelt out) or, for names, by the phrases that introduce a person in English, German, French and Spanish
-text. Values are kept exactly as they stand, line breaks included.
-
-Placeholders keep values linked across documents without telling them: emails, addresses and names get a keyed digest;
-phone numbers, identity numbers and dates of birth are format-preserving pseudonyms: a keyed Feistel network permutes the
-digits (and, by themselves, the letters) of a number of the same format, and valid dates among valid dates. Equal values
-give equal pseudonyms, different ones different pseudonyms, and who has the key can turn them back.
+Kinds: email, phone, id_number, address, name. Numbers, addresses and mailboxes, plain or spelt out, are found by the shape
+they have in writing; numbers of which the shape alone says too little count only if they are valid (check digits, dates,
+ranges that are issued; see ``identifiers``). Names are found by what stands around them in English, German, French and
+Spanish text: phrases that introduce a person, titles, greetings, closings, header lines, verbs of saying, a mailbox that
+follows; and by given names that many people have. A name that has been found is found wherever else it stands in its text.
+
+Placeholders keep values linked across documents without telling them: emails, addresses and names get a keyed digest of
+128 bits; phone numbers, identity numbers and dates of birth are format-preserving pseudonyms: a keyed Feistel network
+permutes the digits (and, by themselves, the letters) of a number of the same format, valid numbers among the valid ones,
+and valid dates among valid dates. Equal values give equal pseudonyms however they are written, different ones different
+pseudonyms, and who has the key can turn numbers and dates back. The prefix of a country is kept.
 
 Defined results: null texts give no values and stay null; empty texts stay empty; null ids give no values; a value that
 stands several times in a text is one row; where shapes overlap, the earlier of email, address, id_number, phone, name
@@ -16,6 +19,7 @@ holds; an empty table gives no rows. Texts are searched whole.
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -24,6 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm import identifiers
+from folioscan.llm.identifiers import SHAPES
+
 KINDS = ("email", "address", "id_number", "phone", "name")
 DATE = "date"
 
@@ -61,12 +68,15 @@ PHONE = re.compile(
     rf"|\([2-9]\d{{2}}\){_S}?\d{{7}}"
     rf"|0\d{{1,4}}/\d{{3,7}}(?:-\d{{1,5}})?"
     rf"|0\d{{2,4}}{_S}\d{{3,4}}{_S}\d{{3,4}}"
+    r"|07\d{3}[ \t]\d{6}"
+    r"|0[1-9](?:[ .]\d{2}){4}"
     r"|\d{3}\.\d{3}\.\d{4}"
     r"|1-\d{3}-\d{3}-\d{4}"
     r"|[2-9]\d{2}-[2-9]\d{2}-\d{4}"
     rf"){_N}{_EXT}"
 )
-_NOT_PHONE = re.compile(r"\d{2} \d{3} \d{3} \d{3}")
+#: Local numbers, ten digits in a row and others that are one only where a word says so.
+CALLED = re.compile(rf"(?i:\b(?:phone|tel|telephone|mobile|cell|fax|call|telefon|mobil|handy|téléphone|teléfono|móvil)\b\.?:?){_S}?(?:(?i:me|us|number|no\.?|is|at|on)\b:?{_S})?(?P<v>\d(?:[ .-]?\d){{6,13}}){_N}")
 ID_NUMBER = re.compile(
     r"(?<![\w.+/-])(?:"
     r"\d{3}-\d{2}-\d{4}"
@@ -76,6 +86,8 @@ ID_NUMBER = re.compile(
     r"|[A-Z]\d{2}[A-Z]\d{5}"
     r")(?![\w]|[-./]\d)"
 )
+#: Numbers that are one only where a word says so: nine digits and other runs of letters and digits.
+LABELLED = re.compile(rf"(?i:\b(?:ssn|social security(?: (?:number|no\.?))?|tax (?:id|number)|passport(?: (?:number|no\.?))?|national id|id number|steuernummer|ausweisnummer|passnummer|pasaporte|passeport))(?:{_S}(?i:is|number|no\.?|nr\.?))?:?{_S}?(?P<v>[A-Z]{{0,2}}\d[\dA-Z]{{6,11}})(?![\w-])")
 BORN = re.compile(rf"\b(?:born|date of birth|DOB|geboren(?: am)?|né(?:e)? le|nacid[oa] el)[:=]?{_S}?(\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}[./]\d{{2}}[./]\d{{4}})\b")
 
 # --- addresses
@@ -86,7 +98,7 @@ _TOWN = rf"{_W}"
 _TOWNS = rf"{_W}(?:[ -]{_W}){{0,2}}"
 _STREET_DE = r"(?:straße|strasse|str\.|gasse|weg|allee|platz|ring|damm|ufer)"
 ADDRESS_EN = re.compile(
-    rf"(?<![\w.-])(?:(?:Flat|Apartment|Apt\.?|Unit){_S}\d+[A-Za-z]?{_SEP})?\d{{1,5}}[a-z]?{_S}(?:{_W}{_S}){{1,3}}?{_STREET_EN}{_SEP}"
+    rf"(?<![\w.-])(?:(?:Flat|Apartment|Apt\.?|Unit){_S}\d+[A-Za-z]?{_SEP})?\d{{1,5}}[a-z]?{_S}(?:{_W}{_S}){{1,3}}?{_STREET_EN}(?:{_S}(?:N|S)?(?:E|W)?\b)?{_SEP}"
     rf"{_TOWNS}(?:,{_S}?[A-Z]{{2}}{_S}\d{{5}}|,?{_S}[A-Z]{{1,2}}\d[A-Z\d]?{_S}\d[A-Z]{{2}})(?!\w)"
 )
 ADDRESS_DE = re.compile(rf"(?<![\w-])(?:{_W}[ -]){{0,1}}?{_U}{_L}*?{_STREET_DE}{_S}\d{{1,4}}[a-z]?{_SEP}\d{{5}}{_S}{_TOWN}")
@@ -101,10 +113,10 @@ ADDRESS_ES = re.compile(
 #: Particles within names, titles before them, words that are capitalised but begin no name.
 PARTICLES = "van von der den de del della di da dos du la le ter ten zu zum af bin al".split()
 TITLES = "Dr Prof Mr Mrs Ms Herr Frau Mme Mlle Monsieur Madame Sr Sra Señor Señora Don Doña Ing Dipl".split()
-NO_NAME = "Aq Mt Ao Bx The This That These Those And Or If It In On At To From Flat Calle Avenida Plaza Please Mark Send See Tel Phone Fon Fax Re Subject Date Cc Message Upgrade Mail Built When With For Thanks Kontakt Name Added Use You My All Each Every No Not Unlike Once".split()
+NO_NAME = "Aq Mt Ao Bx The This That These Those And Or If It In On At To From Flat Calle Avenida Plaza Please Mark Send See Tel Phone Fon Fax Re Subject Date Cc Message Upgrade Mail Built When With For Thanks Kontakt Name Added Use You My All Each Every No Not Unlike Once Later Then Now Here There After Before While Since Because But So Also Today Yesterday Tomorrow Finally Meanwhile Perhaps However Although What Who Why How Where Our Your His Her Their Its".split()
 _PT = rf"(?:{'|'.join(PARTICLES)})"
 _I = rf"{_U}\."
-_P = rf"(?!(?:{'|'.join(NO_NAME)})\b)(?!{_L}+(?:-{_L}+)?-(?:by|To|ID):){_W}"
+_P = rf"(?!(?<=\n){_L}+:)(?!(?:{'|'.join(NO_NAME)})\b)(?!{_L}+(?:-{_L}+)?-(?:by|To|ID):){_W}"
 _FULL = rf"(?:{_P}|{_I})(?:{_S}{_I})*(?:{_S}(?:{_PT}{_S}){{0,2}}{_P})"
 _LAST_FIRST = rf"(?:{_PT}{_S}){{0,2}}{_P},{_S}{_P}(?![ \t]+\d)(?:{_S}{_I}(?!\w))*"
 _LONGER = rf"{_P} {_FULL}(?!{_L})(?!{_S}\d)"  # two given names, on one line
@@ -144,34 +156,97 @@ CUES = [
         ("Traducido", rf"Traducido{_S}por{_S}{_HIT}"),
         ("--", rf"^(?:[ \t>]*)--[ \t]*\r?\n[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
         ("-- ", rf"(?:^|\s)--{_S}{_TITLE}(?P<n>{_NAME})(?={_S}(?:Flat|\d|Calle|{_U}{_L}*{_STREET_DE}))"),
+        ("ame", rf"\b(?i:my{_S}name{_S}is|mein{_S}name{_S}ist|je{_S}m['’]appelle|me{_S}llamo|mi{_S}nombre{_S}es|full name:|name:|nom:|nombre:){_S}?{_HIT}"),
+        ("'m ", rf"\bI['’]m{_S}{_HIT}"),
+        ("his is", rf"\b[Tt]his{_S}is{_S}{_HIT}(?={_S}(?:from|calling|speaking|writing|here)\b)"),
+        ("Hier", rf"\bHier{_S}(?:ist|spricht){_S}{_HIT}"),
+        ("ear", rf"\b(?:Dear|dear){_S}{_HIT}(?=[ \t]*[,:!\n])"),
+        ("Hi", rf"\bHi{_S}{_HIT}(?=[ \t]*[,:!\n])"),
+        ("Hello", rf"\bHello{_S}{_HIT}(?=[ \t]*[,:!\n])"),
+        ("Hallo", rf"\bHallo{_S}{_HIT}(?=[ \t]*[,:!\n])"),
+        ("Liebe", rf"\bLieber?{_S}{_HIT}(?=[ \t]*[,:!\n])"),
+        ("Cher", rf"\bChère?{_S}{_HIT}|\bCher{_S}(?:{_TITLE})(?P<n2>{_NAME})(?=[ \t]*[,:!\n])"),
+        ("Estimad", rf"\bEstimad[oa]{_S}{_HIT}(?=[ \t]*[,:!\n])"),
+        ("uthor", rf"\b[Aa]uthors?:?{_S}(?:is{_S}|was{_S})?{_HIT}"),
+        ("Autor", rf"\bAutor(?:in)?:{_S}?{_HIT}"),
+        ("Auteur", rf"\bAuteur:{_S}?{_HIT}"),
+        ("aintainer", rf"\b[Mm]aintainer:?{_S}(?:is{_S}|was{_S})?{_HIT}"),
+        ("eported", rf"\b[Rr]eported{_S}by{_S}{_HIT}"),
+        ("eviewed", rf"\b[Rr]eviewed{_S}by{_S}{_HIT}"),
+        ("contributed", rf"\bcontributed{_S}by{_S}{_HIT}"),
+        ("ontact", rf"\b[Cc]ontact{_S}{_HIT}"),
+        ("igned", rf"\b[Ss]igned(?::|{_S}by){_S}{_HIT}"),
+        ("egards", rf"^[ \t>]*(?:\w+{_S})?(?:\w+{_S})?[Rr]egards,?[ \t]*\r?\n(?:[ \t>]*\r?\n)?[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
+        ("incerely", rf"^[ \t>]*(?:Yours{_S})?[Ss]incerely(?:{_S}yours)?,?[ \t]*\r?\n(?:[ \t>]*\r?\n)?[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
+        ("heers", rf"^[ \t>]*[Cc]heers,?[ \t]*\r?\n(?:[ \t>]*\r?\n)?[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
+        ("hanks", rf"^[ \t>]*(?:Many{_S})?[Tt]hanks,?[ \t]*\r?\n(?:[ \t>]*\r?\n)?[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
+        ("Grüße", rf"Grüße(?:n)?,?[ \t]*\r?\n(?:[ \t>]*\r?\n)?[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
+        ("Gruß", rf"Gruß,?[ \t]*\r?\n(?:[ \t>]*\r?\n)?[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
+        ("ordialement", rf"[Cc]ordialement,?[ \t]*\r?\n(?:[ \t>]*\r?\n)?[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
+        ("aludos", rf"[Ss]aludos,?[ \t]*\r?\n(?:[ \t>]*\r?\n)?[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
+        ("", rf"(?<![\w-])(?:{'|'.join(t for t in TITLES if t not in ('Ing', 'Dipl'))})\b\.?{_S}{_TITLE}(?P<n>{_LONGER}|{_FULL})"),
+        ("said", rf"(?<![\w,-]){_HIT}{_S}(?:has{_S})?said\b"),
+        ("asked", rf"(?<![\w,-]){_HIT}{_S}(?:has{_S})?asked\b"),
+        ("told", rf"(?<![\w,-]){_HIT}{_S}(?:has{_S})?told\b"),
+        ("replied", rf"(?<![\w,-]){_HIT}{_S}(?:has{_S})?replied\b"),
+        ("sagt", rf"(?<![\w,-]){_HIT}{_S}sagte?\b"),
+        ("@", rf"(?<![\w-])(?P<n>{_NAME})[\"']?[ \t]*(?=[<(]{_LOCAL}@)"),
     ]
 ]
 
+# Given names that many people have in countries of these languages, none of them also a common word.
+GIVEN = """Aaron Adrian Ahmed Alberto Alejandro Alex Alexander Alice Amanda Amelia Andrea Andreas Andrew Angela Anja Anna Anne Anthony
+    Antoine Antonio Arthur Barbara Beatriz Benjamin Bernd Birgit Brian Camille Carlos Carmen Caroline Catherine Charles Charlotte
+    Christian Christine Christopher Claire Claudia Cristina Daniel David Deborah Diego Dieter Dirk Dorothy Eduardo Edward Elena
+    Elizabeth Emily Emma Enrique Eric Fatima Felix Fernando Francisco François Frank Franz Gabriel George Georg Gerhard Giulia Hannah Hans Heike
+    Heinz Helen Henry Hugo Ingrid Isabel Isabelle Jacques James Jan Jane Janet Javier Jean Jennifer Jessica Joan Johannes John Jonathan
+    Jorge José Joseph Joshua Juan Julia Julie Karen Karin Karl Katharina Katherine Kenneth Kevin Klaus Laura Laurent Linda Lisa Louise Lucas Lucía
+    Luis Luisa Manuel Manfred Marc Margaret Maria María Marie Mario Martin Martina Mary Matthew Matthias Michael Michel Michelle Miguel Mohamed Monika
+    Nancy Nathalie Nicolas Nicole Olivia Pablo Patricia Patrick Paul Paula Pedro Peter Philippe Pierre Rachel Raúl Rebecca Richard Robert Roberto
+    Ronald Rosa Sabine Samuel Sandra Sara Sarah Sergio Sofia Sophie Stefan Stephanie Stephen Susan Susanne Thomas Ursula Walter Werner William Wolfgang""".split()
+KNOWN = re.compile(rf"(?<![\w-])(?P<n>(?:{'|'.join(sorted(GIVEN, key=len, reverse=True))})\b(?:-{_W})?(?:[ \t]{_I})*(?:[ \t](?:{_PT}[ \t]){{0,2}}{_P}){{1,2}})(?![\w-])")
+
 
 class Spans:
-    """Stretches of a text that have been taken."""
+    """Stretches of a text that have been taken, kept in order: a new one is held against its neighbours alone."""
+
+    def __init__(self, found: list[tuple[int, int, str]] | None = None):
+        self.found = sorted(found or [])
+        self.starts = [x[0] for x in self.found]
 
-    def __init__(self):
-        self.found: list[tuple[int, int, str]] = []
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect.bisect_left(self.starts, a)
+        return (i > 0 and self.found[i - 1][1] > a) or (i < len(self.found) and self.found[i][0] < b)
 
     def add(self, a: int, b: int, kind: str) -> None:
-        if all(b <= x or a >= y for x, y, _ in self.found):
-            self.found.append((a, b, kind))
+        if not self.meets(a, b):
+            i = bisect.bisect_left(self.starts, a)
+            self.starts.insert(i, a)
+            self.found.insert(i, (a, b, kind))
+
+
+#: Of a line before a mailbox so much is looked at.
+LINE_HEAD = 300
+
+
+def _is_mailbox(text: str, line: int, m: re.Match) -> bool:
+    """Told from message identifiers by the head of the line and, where there is no letter before the @, by what is before."""
+    if HEADER.match(text[line : min(line + LINE_HEAD, m.start())].lstrip(" >\t")):
+        return False
+    bare = text.startswith(">", m.end()) and text[m.start() - 1 : m.start()] == "<" and not any(c.isalpha() for c in m.group().partition("@")[0])
+    return not bare or bool(MAILBOX.match(text[max(line, m.start() - LINE_HEAD) : m.start()]))
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all values, in order."""
     spans = Spans()
     if "@" in text:
+        line = seen = 0
         for m in PLAIN.finditer(text):
-            line = text.rfind("\n", 0, m.start()) + 1
-            local = m.group().partition("@")[0]
-            before = text[line : m.start()]
-            if HEADER.match(before.lstrip(" >\t")):
-                continue
-            if before.endswith("<") and text.startswith(">", m.end()) and not any(c.isalpha() for c in local) and not MAILBOX.match(before):
-                continue
-            spans.add(m.start(), m.end(), "email")
+            line = max(line, text.rfind("\n", seen, m.start()) + 1)
+            seen = m.start()
+            if _is_mailbox(text, line, m):
+                spans.add(m.start(), m.end(), "email")
     low = text.lower()
     if "(at)" in low or "[at]" in low or "{at}" in low or "<at>" in low or "dot" in low:
         for m in SPELT.finditer(text):
@@ -183,16 +258,44 @@ def find(text: str) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(text):
                 spans.add(m.start(), m.end(), "address")
     for m in ID_NUMBER.finditer(text):
-        spans.add(m.start(), m.end(), "id_number")
+        if identifiers.issued(m.group()):
+            spans.add(m.start(), m.end(), "id_number")
+    mistyped = Spans()  # account numbers that are not valid: no part of one is a phone number
+    for m in SHAPES.finditer(text):
+        if identifiers.valid(m.group()):
+            spans.add(m.start(), m.end(), "id_number")
+        elif m.group()[:2].isalpha():
+            mistyped.add(m.start(), m.end(), "")
+    for m in LABELLED.finditer(text):
+        spans.add(*m.span("v"), "id_number")
     for m in PHONE.finditer(text):
-        spans.add(m.start(), m.end(), "phone")
+        if not mistyped.meets(m.start(), m.end()):
+            spans.add(m.start(), m.end(), "phone")
+    for m in CALLED.finditer(text):
+        spans.add(*m.span("v"), "phone")
+    names = len(spans.found)
     for word, pattern in CUES:
         if word in text:
             for m in pattern.finditer(text):
-                spans.add(*m.span("n"), "name")
-                if "n2" in pattern.groupindex and m.group("n2"):
-                    spans.add(*m.span("n2"), "name")
-    return sorted(spans.found)
+                for group in ("n", "n2"):
+                    if group in pattern.groupindex and m.group(group):
+                        spans.add(*m.span(group), "name")
+    for m in KNOWN.finditer(text):
+        spans.add(*m.span("n"), "name")
+    if len(spans.found) > names:
+        _repeated(text, spans)
+    return spans.found
+
+
+def _repeated(text: str, spans: Spans) -> None:
+    """A name found in a text is found wherever else it stands there in the same letters."""
+    for name in sorted({text[a:b] for a, b, k in spans.found if k == "name"}, key=len, reverse=True):
+        at = text.find(name)
+        while at >= 0:
+            end = at + len(name)
+            if not (at and (text[at - 1].isalnum() or text[at - 1] == "-")) and not (end < len(text) and (text[end].isalnum() or text[end] == "-")):
+                spans.add(at, end, "name")
+            at = text.find(name, end)
 
 
 #: One of these must occur in a text before an address pattern is tried.
@@ -209,6 +312,16 @@ def _possible(pattern: re.Pattern, text: str, low: str) -> bool:
 
 
 # --- pseudonyms
+#: Steps along the permutation in search of a valid number; the share of valid ones is no less than one in some hundreds.
+MOST_STEPS = 100_000
+
+
+def _set_apart(plain: str, like: str) -> str:
+    """Letters and digits in the places of those of another text."""
+    chars = iter(plain)
+    return "".join(next(chars) if c.isdigit() or "A" <= c <= "Z" else c for c in like)
+
+
 class Pseudonyms:
     ROUNDS = 10
 
@@ -251,9 +364,31 @@ class Pseudonyms:
         return "".join(out)
 
     def number(self, text: str, kind: str, back: bool = False) -> str:
-        """Same length, separators and kinds of characters; digits among digits, letters among letters."""
-        label = kind + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", text))
-        return self._within(self._within(text, "0123456789", label, back), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", label, back)
+        """Same length, separators and kinds of characters; digits among digits, letters among letters. A number that is
+        valid in its format goes to a valid one: the permutation is followed until it is among those again. The digits
+        alone decide, not how they are set apart; the country before a phone number stays."""
+        if kind == "phone":
+            fixed = re.match(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})|", text)[0]
+            plain = re.sub(r"\D", "", text[len(fixed) :])
+            return fixed + _set_apart(self._within(plain, "0123456789", f"{kind}{fixed}", back), text[len(fixed) :])
+        plain = re.sub(r"[^0-9A-Z]", "", text)
+        label = kind + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", plain))
+        one = lambda v: self._within(self._within(v, "0123456789", label, back), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", label, back)
+        form, v = identifiers.form_of(text), one(plain)
+        if form is None:  # invalid ones stay among the invalid
+            for _ in range(MOST_STEPS):
+                if identifiers.form_of(_set_apart(v, text)) is None:
+                    break
+                v = one(v)
+            return _set_apart(v, text)
+        head, tail = form.payload(plain)  # what is free in this format; the check part follows from it
+        label, free = f"{kind}{form.name}", head
+        for _ in range(MOST_STEPS):
+            free = self._within(self._within(free, "0123456789", label, back), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", label, back)
+            whole = form.complete(free, tail)
+            if whole is not None:
+                return _set_apart(whole, text)
+        return _set_apart(v, text)
 
     FIRST, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # to 2099-12-31
 
@@ -281,14 +416,13 @@ class Pseudonyms:
             elif kind == DATE:
                 shown = self.date(plain)
             else:
-                shown = hashlib.blake2b(f"{kind}|{plain.casefold()}".encode(), key=self.key, digest_size=5).hexdigest()
+                shown = hashlib.blake2b(f"{kind}|{plain.casefold()}".encode(), key=self.key, digest_size=16).hexdigest()
             self.known[kind, plain] = f"[{kind.upper()} {shown}]"
         return self.known[kind, plain]
 
     def redact(self, text: str) -> str:
         spans = find(text)
-        taken = Spans()
-        taken.found = list(spans)
+        taken = Spans(spans)
         if "b" in text or "n" in text:
             for m in BORN.finditer(text):
                 taken.add(*m.span(1), DATE)

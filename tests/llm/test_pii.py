@@ -1,7 +1,9 @@
 import itertools
+import time
 
 import pytest
 
+from folioscan.llm.identifiers import form_of
 from folioscan.llm.pii import DATE, Pseudonyms, find, personal_values, redacted
 
 KEY = b"test key"
@@ -54,6 +56,51 @@ def test_mailboxes_without_a_letter_are_told_from_message_identifiers():
     assert values("References: <1.2@mx.test>\n <2024.55@mx.test>\nsee <2024.56@mx.test>") == set()
 
 
+@pytest.mark.parametrize("text", ["000-12-3456", "666-12-3456", "212-00-3456", "212-34-0000", "DE89 3704 0044 0532 0130 01", "4111 1111 1111 1112", "12345678A", "X1234567A"])
+def test_numbers_that_are_not_valid(text):
+    assert values(f"It is {text} here.") == set()
+
+
+@pytest.mark.parametrize("text", ["212-34-5678", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "4111-1111-1111-1111", "12345678Z", "X1234567L", "2 55 08 14 168 025 38", "86095742719", "131052-308T"])
+def test_valid_numbers_go_to_valid_ones(text):
+    p = Pseudonyms(KEY)
+    assert ("id_number", text) in values(f"It is {text} here.") and form_of(text) is not None
+    new = p.number(text, "id_number")
+    assert new != text and form_of(new) is form_of(text) and len(new) == len(text) and p.number(new, "id_number", back=True) == text
+
+
+def test_invalid_numbers_stay_apart_from_valid_ones():
+    p = Pseudonyms(KEY)
+    every = [f"{a:03d}-{b:02d}-0012" for a in (0, 1, 212, 665, 666, 999) for b in range(100)]
+    new = [p.number(v, "id_number") for v in every]
+    assert len(set(new)) == len(every)
+    assert all((form_of(v) is None) == (form_of(n) is None) and p.number(n, "id_number", back=True) == v for v, n in zip(every, new))
+
+
+def test_one_number_written_in_many_ways_stays_linked():
+    p = Pseudonyms(KEY)
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    for group in (["+1 555-123-4567", "+1 555 123 4567", "+1 (555) 123-4567", "+15551234567"], ["QQ 61 31 29 C", "QQ613129C"], ["212-34-5678", "212345678"]):
+        kind = "phone" if group[0][0] == "+" else "id_number"
+        new = {digits(p.number(v, kind)) for v in group}
+        assert len(new) == 1 and new != {digits(group[0])}
+    assert p.number("+1 555-123-4567", "phone").startswith("+1 ") and p.number("+49 30 1234567", "phone").startswith("+49 ")
+    a, b = p.placeholder("name", "Jo Doe"), p.placeholder("name", "Jo Roe")
+    assert a != b and len(a.split()[1]) == 33  # 128 bits and the bracket
+
+
+def test_a_name_is_replaced_wherever_it_stands():
+    out = Pseudonyms(KEY).redact("This page was written by Jo Dorn. The patch of Jo Dorn is here; Jo Dornier is another.")
+    assert "Jo Dorn " not in out and "Jo Dornier" in out and out.count("[NAME ") == 2
+
+
+def test_many_values_in_one_line():
+    began = time.perf_counter()
+    assert len(find("x " + " ".join(f"a{i}@mail.test" for i in range(20_000)))) == 20_000
+    assert len(find(" ".join(f"Reported-by: Jo Dorn{'abcdefghij'[i % 10]}" for i in range(20_000)))) == 20_000
+    assert time.perf_counter() - began < 20
+
+
 def test_feistel_is_a_permutation():
     p = Pseudonyms(KEY)
     for base, length in ((10, 1), (10, 2), (10, 3), (26, 2)):
