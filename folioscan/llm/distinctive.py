@@ -6,8 +6,9 @@ expectation-maximisation, to its end, on the term's frequency histogram (count -
 posterior probability of the elite component scores each count. On the same histogram, ``weight`` = tf * ln(N / df).
 
 Everything is a function of (term, tf), so it is computed once for each pair on the histogram and joined back to the
-occurrences. Terms in more than ``frequent`` of all records would be hot keys of that join; there are at most (mean
-number of distinct terms of a record) / frequent of them, and they are broadcast after their number has been checked.
+occurrences. Terms in more than ``frequent`` of all records would be hot keys of that join; their scores are broadcast, up to
+``told`` rows, the most frequent first. Whatever the input, a key that is left to the shuffle then has no more than
+occurrences / ``told`` rows.
 
 Defined results: null texts count as empty; records without terms get no row, but count in N; ids that are null get no
 row, but count in N and in the histograms; repeated ids are summed as separate rows of the same record's terms would be,
@@ -33,7 +34,7 @@ PLAIN, EXTRAPOLATED, TOLERANCE, STILL, ALIKE, MOST = 50, 50, 1e-6, 1e-13, 1e-8,
 TINY = 1e-12
 LOGIT_LEAST, LOGIT_MOST = math.log(TINY), math.log(1e9)
 FLUSH = 300_000
-FREQUENT_ROWS = 1_000_000
+FREQUENT_ROWS = 500_000
 
 
 def _counted(columns: list[list[bytes | None]]):
@@ -246,7 +247,7 @@ def scores(hist: DataFrame, records: int) -> DataFrame:
     return terms.mapInArrow(fit, "term string, tf int, df bigint, elite double, weight double")
 
 
-def term_scores(docs: DataFrame, doc_id: str, fields: list[str], frequent: float = 0.001, least_df: int = 1) -> DataFrame:
+def term_scores(docs: DataFrame, doc_id: str, fields: list[str], frequent: float = 0.001, least_df: int = 1, told: int = FREQUENT_ROWS) -> DataFrame:
     """(doc_id, term, tf, df, elite, weight) for every term of every record that at least ``least_df`` records have."""
     records = docs.count()
     if not records:
@@ -255,9 +256,10 @@ def term_scores(docs: DataFrame, doc_id: str, fields: list[str], frequent: float
     occ = occurrences(docs, doc_id, fields).filter("doc_id is not null")
     bar = max(1, int(records * frequent))
     hot = scored.filter(F.col("df") > bar)
-    if hot.count() <= FREQUENT_ROWS:
-        hot = F.broadcast(hot)
-    seen = occ.join(hot, ["term", "tf"], "left")
+    if hot.count() > told:
+        bar = hot.orderBy(F.desc("df")).select("df").limit(told).agg(F.min("df").alias("b")).first().b
+        hot = scored.filter(F.col("df") > bar)
+    seen = occ.join(F.broadcast(hot), ["term", "tf"], "left")
     # what the broadcast knows is done; the rest, no term of it in more than ``bar`` records, is joined by shuffle
     known = seen.filter("df is not null")
     rest = seen.filter("df is null").select("doc_id", "term", "tf").join(scored.filter(F.col("df") <= bar), ["term", "tf"])

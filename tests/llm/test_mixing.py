@@ -83,3 +83,35 @@ def test_empty(spark):
     assert chosen.count() == 0 and report.first().tokens == 0
     chosen, report = mixture(corpus(spark), targets.filter("false"), RANKS, PIECES)
     assert chosen.count() == 0 and report.count() == 0
+
+
+def test_each_entry_has_its_least_seats():
+    assert apportion([100.0, 1.0, 0.0, 1.0], [50, 50, 50, 0], 10, least=1) == [9, 1, 0, 0]
+    assert apportion([1.0, 1.0, 1.0], [5, 5, 5], 2, least=1) == [1, 1, 1]
+
+
+@needs_tokenizer
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_shares_of_the_query(spark, folder):
+    """Every source with a weight and documents is used; shares are off by no more than a document and two blocks."""
+    if not os.path.exists(folder):
+        pytest.skip("no test tables here")
+    rows, report = QUERIES["p7_mixture"](spark, folder).collect(), QUERIES["p7_report"](spark, folder).collect()
+    total = sum(r.tokens * r.repeats for r in rows)
+    longest = {}
+    for r in rows:
+        longest[r.source] = max(longest.get(r.source, 0), r.tokens)
+    for r in report:
+        if r.target_share > 0 and r.available_tokens:
+            assert r.documents > 0
+            assert abs(r.share - r.target_share) * total <= longest[r.source] + 512, r
+            assert r.note is not None or abs(r.share - r.target_share) <= 0.1 * r.target_share
+        else:
+            assert r.tokens == 0 and r.note
+
+
+@needs_tokenizer
+def test_tolerance_allows_more(spark):
+    targets = spark.createDataFrame([("big", 1.0, 1), ("small", 1.0, 2)], "source string, weight double, max_repeat int")
+    exact, loose = (sum(r.tokens for r in mixture(corpus(spark), targets, RANKS, PIECES, tolerance=t)[1].collect()) for t in (0.0, 0.2))
+    assert 1.1 * exact < loose < 1.3 * exact

@@ -26,12 +26,11 @@ def counted(rows):
     return {k: (v, pages[k]) for k, v in total.items()}
 
 
-@pytest.mark.parametrize("cap", [1_000_000, 2])
-def test_counts(spark, cap, monkeypatch):
-    monkeypatch.setattr(termcount, "FLUSH", 3)
+@pytest.mark.parametrize("cap, mounted", [(1_000_000, None), (2, True), (2, False)])
+def test_counts(spark, cap, mounted):
     df = spark.createDataFrame([(*r, "clash", 1) for r in ROWS], SCHEMA + ", field string, total int")
-    got = term_counts(df, ["desc", "name"], cap=cap)
-    assert {(r.field, r.term): (r.total, r.pages) for r in got.collect()} == counted(ROWS) and got.count() == len(counted(ROWS))
+    got = term_counts(df, ["desc", "name"], cap=cap, flush=3, mounted=mounted).collect()
+    assert {(r.field, r.term): (r.total, r.pages) for r in got} == counted(ROWS) and len(got) == len(counted(ROWS))
 
 
 def test_marks(spark):
@@ -40,12 +39,19 @@ def test_marks(spark):
     assert got["desc", "the"] == ("common", 6) and got["desc", "cat"] == ("rare", 6) and got["desc", "dog"] == (None if 3 <= 0.5 * 6 else "common", 6)
 
 
-def test_partitions_are_split_until_they_are_small(spark):
-    df = spark.range(2000).selectExpr("xxhash64(id) AS h").unionByName(spark.range(50).selectExpr("cast(77 AS bigint) AS h"))
-    leaves = radix_leaves(df, 20)
-    hashes = [r.h & (2**64 - 1) for r in df.collect()]
-    sizes = Counter(next((b, p) for b, p in leaves if (h >> (64 - b)) == (p & (2**64 - 1) if b == 64 else p)) for h in hashes)
-    assert sum(sizes.values()) == 2050 and max(v for (b, _), v in sizes.items() if b < 64) <= 20
+def test_a_term_in_every_text(spark):
+    rows = [(i, f"the a{i} b{i % 50}", None) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    spilled = termcount.materialize(termcount.partial_counts(df, ["desc"], flush=5).selectExpr("*", "xxhash64(field, term) AS h"), "t")
+    assert spilled.filter("term = 'the'").count() > 200  # one row for each flush, all of one hash
+    levels = radix_leaves(spilled, 40)
+    assert len(levels) > 1 and levels[-1][1] == set()
+    for path, gone in levels:  # what is not split further is small, and a term that is alone in its partition is one row there
+        sizes = {r.p: r["count"] for r in spark.read.parquet(path).groupBy("p").count().collect()}
+        assert all(n <= 40 for p, n in sizes.items() if p not in gone) and all(sizes[p] > 40 for p in gone)
+    for cap, mounted in ((1000, None), (40, False)):
+        got = term_counts(df, ["desc"], cap=cap, flush=5, mounted=mounted).collect()
+        assert {(r.field, r.term): (r.total, r.pages) for r in got} == counted(rows) and len(got) == len(counted(rows))
 
 
 def test_empty_tables(spark):
@@ -54,11 +60,11 @@ def test_empty_tables(spark):
     assert term_scores(df, "doc_id", ["desc"]).count() == 0
 
 
-@pytest.mark.parametrize("frequent", [0.001, 0.9])
-def test_scores(spark, frequent):
+@pytest.mark.parametrize("frequent, told", [(0.001, 500_000), (0.9, 500_000), (0.001, 2)])
+def test_scores(spark, frequent, told):
     rows = [r for i, r in enumerate(ROWS) if i != 5] + [(None, "the cat", "dog")]
     df = spark.createDataFrame([(*r, "clash", 1.0) for r in rows], SCHEMA + ", term string, weight double")
-    got = {(r.doc_id, r.term): r for r in term_scores(df, "doc_id", ["desc", "name"], frequent=frequent).collect()}
+    got = {(r.doc_id, r.term): r for r in term_scores(df, "doc_id", ["desc", "name"], frequent=frequent, told=told).collect()}
     tf = [(i, Counter(toks(d) + toks(n))) for i, d, n in rows]
     df_ = Counter(t for _, c in tf for t in c)
     want = {(i, t): (k, df_[t]) for i, c in tf if i is not None for t, k in c.items()}
@@ -139,3 +145,22 @@ def test_small_batches_keep_all_rows():
     b = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["i", "t"])
     parts = list(small_batches([b, b.slice(0, 0)], 1, 12))
     assert [t for p in parts for t in p.column(1).to_pylist()] == texts and len(parts) > 2
+
+
+def test_elite_pages_of_planted_terms(spark, capsys):
+    """Pages about a term use it at a higher rate: how many of them the posterior finds, and how many it names wrongly. Both
+    can be no better than with the true rates and shares, which the fit does not know."""
+    rng = np.random.default_rng(4)
+    rows, about = [], {}
+    for i in range(600):
+        k = int(rng.integers(0, 6)) if i % 2 else None
+        about[i] = k
+        rows.append((i, " ".join(["common"] * int(rng.poisson(3)) + [f"t{j}" for j in range(6) for _ in range(int(rng.poisson(7.0 if j == k else 0.4)))]), None))
+    scored = term_scores(spark.createDataFrame(rows, SCHEMA), "doc_id", ["desc"]).filter("term like 't%'").collect()
+    named = {(r.doc_id, r.term) for r in scored if r.elite > 0.5}
+    known = {(r.doc_id, r.term) for r in scored if 1 / 12 * math.exp(-7.0) * 7.0**r.tf > 11 / 12 * math.exp(-0.4) * 0.4**r.tf}
+    true = {(i, f"t{k}") for i, k in about.items() if k is not None}
+    recall, precision = (lambda x: len(x & true) / len(true)), (lambda x: len(x & true) / len(x))
+    with capsys.disabled():
+        print(f" elite: recall {recall(named):.3f}, precision {precision(named):.3f}; with the true rates {recall(known):.3f}, {precision(known):.3f}")
+    assert recall(named) >= recall(known) - 0.02 and precision(named) >= precision(known) - 0.02 and recall(named) > 0.9
