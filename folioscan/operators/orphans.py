@@ -3,7 +3,9 @@
 References and the validity intervals of their targets are co-partitioned by (relation, key), sorted by time and merged
 linearly: a running sum over interval starts and ends says, at every reference, how many targets are live. Targets are
 aggregated before they are shuffled. A key that holds more than ``hot_share`` of all rows is cut into time slices, each
-of which starts from the state carried over from the slices before it, so no task ever gets a whole hot key.
+of which starts from the state carried over from the slices before it. A slice that still holds so many rows (references
+of one moment, or without a time) is cut further by rows: its references are spread over parts, each of which gets the
+slice's changes and carried state. So no task ever gets more than about ``hot_share`` of all references.
 
 Defined results: a null key refers to nothing and gives no row; a null time finds no live target and gives a row with a
 null period; repeated rows count once; intervals that end before they begin are never live; a target without a start is
@@ -18,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscan.storage import materialize
+
 MISSING, DELETED, LATE = "missing", "deleted", "late"
 
 
@@ -77,31 +81,46 @@ def _events(refs: list[Reference]) -> DataFrame:
     return _union(parts)
 
 
-def _hot_keys(rows: DataFrame, share: float, least: int) -> list[str]:
-    """Keys of at least ``share`` of all rows: by construction no more than 1 / share of them."""
-    counts = rows.groupBy("rel", "key").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.count()
+@dataclass(frozen=True)
+class Hot:
+    """Keys that are cut, at most 1 / share of them, and of their slices those that are cut by rows: (rel, key, slot, parts)."""
+
+    keys: list[str]
+    slices: list[tuple[int, str, int, int]]
+    #: all slices of the keys with references: (rel, key, slot)
+    counts: DataFrame
+
+
+def _hot(rows: DataFrame, slot: Column, share: float, least: int) -> Hot:
+    """One pass over the references counts them by key and slice; the rest works on the counts."""
+    counts = materialize(rows.groupBy("rel", "key", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")), "slices")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     bar = max(least, int(total * share) + 1)
-    return [f"{r.rel}\0{r.key}" for r in counts.filter(F.col("n") >= bar).collect()]
+    keys = [f"{r.rel}\0{r.key}" for r in counts.groupBy("rel", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= bar).collect()]
+    cut = [(r.rel, r.key, r.slot, -(-r.n // bar)) for r in counts.filter(F.col("n") > bar).collect()] if keys else []
+    return Hot(keys, cut, counts)
 
 
 def find_orphans(refs: list[Reference], hot_share: float = 1 / 256, hot_least: int = 50_000, slice_seconds: int = 86_400) -> DataFrame:
     """Columns ref_table, ref_column, row_id, t, period, status: one row for each reference without a live target."""
     children, events = _references(refs), _events(refs)
-    hot = _hot_keys(children, hot_share, hot_least)
-    is_hot = F.concat_ws("\0", F.col("rel").cast("string"), "key").isin(hot) if hot else F.lit(False)
-    cut = F.coalesce(F.floor(F.unix_micros(F.col("t").cast("timestamp")) / F.lit(slice_seconds * 1_000_000)), F.lit(-(2**62)))
+    cut = F.coalesce(F.floor(F.unix_micros(F.col("t").cast("timestamp")) / F.lit(slice_seconds * 1_000_000)), F.lit(-(2**62))).cast("long")
+    hot = _hot(children, cut, hot_share, hot_least)
+    is_hot = F.concat_ws("\0", F.col("rel").cast("string"), "key").isin(hot.keys) if hot.keys else F.lit(False)
     slot = F.when(is_hot, cut).otherwise(F.lit(0)).cast("long").alias("slot")
-    zero = F.lit(0).cast("long")
-    stream = children.select("rel", "key", "t", slot, F.lit(2).alias("kind"), "row_id", zero.alias("delta"), zero.alias("opened"), zero.alias("known")).unionByName(
-        events.select("rel", "key", "t", slot, F.lit(1).alias("kind"), F.lit(None).cast("long").alias("row_id"), "delta", "opened", F.lit(1).cast("long").alias("known"))
-    )
-    if hot:
+    zero, whole = F.lit(0).cast("long"), F.lit(0).alias("part")
+    changes = events.select("rel", "key", "t", slot, F.lit(1).alias("kind"), F.lit(None).cast("long").alias("row_id"), "delta", "opened", F.lit(1).cast("long").alias("known"))
+    asked = children.select("rel", "key", "t", slot, F.lit(2).alias("kind"), "row_id", zero.alias("delta"), zero.alias("opened"), zero.alias("known"))
+    if hot.keys:
         before = Window.partitionBy("rel", "key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+        slots = hot.counts.filter(is_hot).select("rel", "key", "slot").withColumns({"d": zero, "o": zero, "k": zero})
         carried = (
-            stream.filter(is_hot)
+            changes.filter(is_hot)
             .groupBy("rel", "key", "slot")
             .agg(F.sum("delta").alias("d"), F.sum("opened").alias("o"), F.max("known").alias("k"))
+            .unionByName(slots)
+            .groupBy("rel", "key", "slot")
+            .agg(F.sum("d").alias("d"), F.sum("o").alias("o"), F.max("k").alias("k"))
             .select(
                 "rel",
                 "key",
@@ -114,8 +133,17 @@ def find_orphans(refs: list[Reference], hot_share: float = 1 / 256, hot_least: i
                 F.max("k").over(Window.partitionBy("rel", "key")).alias("known"),
             )
         )
-        stream = stream.unionByName(carried)
-    group = Window.partitionBy("rel", "key", "slot")
+        changes = changes.unionByName(carried)
+    if hot.slices:
+        spark = children.sparkSession
+        cuts = F.broadcast(spark.createDataFrame(hot.slices, "rel int, key string, slot bigint, parts int"))  # at most 1 / share rows
+        parts = F.coalesce("parts", F.lit(1))
+        asked = asked.join(cuts, ["rel", "key", "slot"], "left").withColumn("part", F.pmod(F.xxhash64("row_id"), parts).cast("int")).drop("parts")
+        changes = changes.join(cuts, ["rel", "key", "slot"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    else:
+        asked, changes = asked.select("*", whole), changes.select("*", whole)
+    stream = asked.unionByName(changes)
+    group = Window.partitionBy("rel", "key", "slot", "part")
     upto = group.orderBy(F.col("t").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = stream.select("rel", "t", "kind", "row_id", F.sum("delta").over(upto).alias("live"), F.sum("opened").over(upto).alias("past"), F.max("known").over(group).alias("known"))
     names = F.array(*[F.struct(F.lit(r.table).alias("ref_table"), F.lit(r.column).alias("ref_column")) for r in refs])

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscan.functions.keys import id_key, md5_key, path_key
+from folioscan.operators import orphans
 from folioscan.operators.orphans import Reference, find_orphans, orphan_report
 
 
@@ -29,7 +30,7 @@ def brute(rows, targets):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [None, 0.05, 0.008])
 def test_against_brute_force(spark, hot):
     rng = random.Random(7)
     keys = ["hot"] * 4 + ["a", "b", "c", "d", None]
@@ -38,12 +39,32 @@ def test_against_brute_force(spark, hot):
     for _ in range(40):
         s = rng.choice([None, *range(30)])
         targets.append((rng.choice(["hot", "a", "b", "c", None]), s, None if s is None or rng.random() < 0.2 else s + rng.randint(-2, 5)))
-    more = {"hot_share": 0.05, "hot_least": 1, "slice_seconds": 3 * 86_400} if hot else {}
+    more = {"hot_share": hot, "hot_least": 1, "slice_seconds": 3 * 86_400} if hot else {}
     got = find_orphans(frames(spark, rows, targets), **more)
     assert {(r.row_id, r.t, r.status) for r in got.collect()} == brute(rows, targets)
     assert got.count() == len(brute(rows, targets))
 
 
+def test_one_key_at_one_moment(spark, monkeypatch):
+    """A key of which all references are of one day, or have no time, is cut by rows: no group of the merge is large."""
+    rows = [(i, "hot", 3 if i % 2 else None) for i in range(600)] + [(1000 + i, f"k{i}", 3) for i in range(100)]
+    targets = [("hot", 1, 2), ("hot", 5, None), ("k1", 1, None)]
+    seen = []
+    real = orphans.Window.partitionBy
+
+    def watched(*columns):
+        seen.append(columns)
+        return real(*columns)
+
+    monkeypatch.setattr(orphans.Window, "partitionBy", watched)
+    refs = frames(spark, rows, targets)
+    got = find_orphans(refs, hot_share=0.02, hot_least=1)
+    assert {(r.row_id, r.t, r.status) for r in got.collect()} == brute(rows, targets)
+    assert ("rel", "key", "slot", "part") in seen
+    cut = orphans._hot(orphans._references(refs), F.when(F.col("t").isNull(), 0).otherwise(1).cast("long"), 0.02, 1)
+    assert sorted(s[2:] for s in cut.slices) == [(0, 20), (1, 20)]
+
+
 def test_empty_tables(spark):
     assert find_orphans(frames(spark, [], [("a", 1, None)])).count() == 0
     found = find_orphans(frames(spark, [(1, "a", 1)], []))
