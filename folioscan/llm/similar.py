@@ -6,8 +6,10 @@ characteristic vectors. Steps:
 
 1. Each text is cut into tokens once; its shingle hashes, and parity bits of them, are written. Records with the same
    token sequence form a class; from here on only one text of each class takes part, so copies never meet in a group.
-2. Every shingle is counted exactly, by shuffle. Shingles that are in one text alone need no partner and are left behind;
-   counts of the few very frequent ones are told to all tasks, so that no task gets all occurrences of one.
+2. Every shingle is counted exactly: occurrences are sent to buckets of shingles and from there, with their counts, to
+   buckets of texts, as long runs of numbers rather than as rows. Shingles that are in one text alone need no partner and
+   are left behind. Very frequent ones are nominated by tasks, counted where they lie and told to all tasks, so that no
+   bucket gets all occurrences of one.
 3. Candidates share a shingle of both prefixes, the rarest shingles of each text (prefix filter: exact, for one order of
    all shingles). The smaller text of a pair needs the shorter prefix. The sizes are part of the join key, as classes of
    which only neighbours can match, and a shingle that more than ``block`` texts have is joined block by block on both
@@ -15,7 +17,7 @@ characteristic vectors. Steps:
 4. Pigeonring: shingles are hashed to parity bits in RING segments, more bits the larger the set. Of any ring whose
    differences add up to at most H, some segment starts a chain of consecutive segments whose cumulative differences stay
    within 1, 2, 3, ... times H / RING. Parities never show more differences than there are, so pairs without such a chain
-   are dropped safely. A short ring travels with the candidates, the whole ring is held against what is left.
+   are dropped safely, before their shingles are brought together.
 5. The full Hamming check on the whole shingle sets decides.
 
 Defined results: null texts and texts under ``least`` tokens take part in no pair; ids that are null are left out;
@@ -25,7 +27,7 @@ repeated ids count once; an empty table gives no pairs. Links have a row for eac
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import chain
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.text import TokenHashes, shingle_hashes, small_batches, tokens, utf8
+from folioscan.llm.text import TokenHashes, mix, shingle_hashes, small_batches, tokens, utf8
 from folioscan.storage import materialize
 
 RING = 4
@@ -44,11 +46,11 @@ RING = 4
 BITS_FOR_EACH = 2
 #: Up to this many copies are told to all tasks; beyond it, texts of representatives are picked by a shuffle.
 BROADCAST_COPIES = 1_000_000
-#: Shingles in more than 1 / FREQUENT of all texts (and more than a block) are counted without a shuffle of their occurrences.
-FREQUENT = 1000
-#: Frequent shingles beyond this number are joined by shuffle, their occurrences spread.
-BROADCAST_FREQUENT = 200_000
-SPREAD = 64
+#: A task nominates shingles in more than 1 / FREQUENT of its texts (and in LEAST_NOMINATED at least); the TOLD_FREQUENT with
+#: most occurrences are told to all tasks. Any other has no more occurrences than the sum of what tasks do not nominate.
+FREQUENT, LEAST_NOMINATED, TOLD_FREQUENT = 1000, 50, 200_000
+#: Shingles that a bucket holds.
+BUCKET = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -154,28 +156,171 @@ def classes(docs: DataFrame, doc_id: str, text: str, sim: Similarity) -> Classes
     return Classes(groups, members, reps.select(F.col("doc_id").alias("rep"), "n", "ring", "sh"))
 
 
-def features(reps: DataFrame, sim: Similarity, texts: int) -> DataFrame:
-    """(rep, n, ring, shared): of each text the shingles that other texts have too, as (count, token), rarest first."""
-    occ = reps.select("rep", F.explode("sh").alias("token"))
-    counts = materialize(occ.groupBy("token").agg(F.count(F.lit(1)).alias("count")).filter("count > 1"), "counts")
-    bar = max(sim.block, texts // FREQUENT)
-    frequent = counts.filter(F.col("count") > bar)
-    here = frequent.count()
-    if here == 0:
-        seen = occ.join(counts, "token")
-    elif here <= BROADCAST_FREQUENT:
-        known = occ.join(F.broadcast(frequent), "token", "left")
-        # one pass: what the broadcast knows goes on, the rest looks its count up by shuffle; keys of the former are spread
-        key = F.when(F.col("count").isNull(), F.col("token")).otherwise(F.xxhash64("rep", "token"))
-        rest = counts.filter(F.col("count") <= bar).select(F.col("token").alias("k"), F.col("count").alias("found"))
-        seen = known.withColumn("k", key).join(rest, "k", "left").withColumn("count", F.coalesce("count", F.when(F.col("k") == F.col("token"), F.col("found")))).filter("count is not null")
-    else:
-        many = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("count") > bar, SPREAD - 1).otherwise(0))))
-        hot = frequent.select("token", F.lit(True).alias("hot"))
-        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SPREAD)).cast("int")).otherwise(0)
-        seen = occ.join(hot, "token", "left").withColumn("salt", salt).join(many, ["token", "salt"])
-    shared = seen.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct(F.least(F.col("count"), F.lit(2**31 - 1)).cast("int").alias("count"), "token"))).alias("shared"))
-    return materialize(reps.select("rep", "n", "ring").join(shared, "rep").dropDuplicates(["rep"]), "features")
+RUNS = "kind int, bucket int, reps binary, counts binary, tokens binary"
+
+
+def _run(kind: int, bucket: int, reps: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> tuple:
+    return kind, bucket, reps.astype("<i8").tobytes(), counts.astype("<i4").tobytes(), tokens.view("<i8").tobytes()
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["kind", "bucket", "reps", "counts", "tokens"])
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of an array of lists without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
+
+
+def _text_bucket(reps: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(reps.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _parted(kind: int, at: np.ndarray, buckets: int, reps: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> list[tuple]:
+    """Runs for each bucket."""
+    order = np.argsort(at, kind="stable")
+    ends = np.cumsum(np.bincount(at, minlength=buckets))
+    out, begin = [], 0
+    for k, end in enumerate(ends.tolist()):
+        if end > begin:
+            own = order[begin:end]
+            out.append(_run(kind, k, reps[own], counts[own], tokens[own]))
+        begin = end
+    return out
+
+
+def frequent_shingles(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts have, sorted, and their exact counts; at most TOLD_FREQUENT."""
+
+    def nominate(batches):
+        known, n, docs = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        for b in batches:
+            values, _ = _lists(b.column(0))
+            docs += b.num_rows
+            known, inverse = np.unique(np.concatenate((known, values)), return_inverse=True)
+            n = np.bincount(inverse, np.concatenate((n, np.ones(len(values), np.int64))), len(known)).astype(np.int64)
+            if len(known) > BUCKET:  # what falls out here was in few of the texts so far
+                keep = n > docs // (2 * FREQUENT) + 1
+                known, n = known[keep], n[keep]
+        keep = n >= max(LEAST_NOMINATED, docs // FREQUENT)
+        yield pa.RecordBatch.from_arrays([pa.array(known[keep]), pa.array(n[keep])], ["token", "n"])
+
+    def count(batches):
+        tokens = shared.value
+        n = np.zeros(len(tokens), np.int64)
+        for b in batches:
+            values, _ = _lists(b.column(0))
+            at = np.minimum(np.searchsorted(tokens, values), len(tokens) - 1)
+            n += np.bincount(at[tokens[at] == values], minlength=len(tokens))
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[n > 0]), pa.array(n[n > 0])], ["token", "n"])
+
+    rows = reps.select("sh").mapInArrow(nominate, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(TOLD_FREQUENT).toArrow()
+    if not rows.num_rows:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    shared = reps.sparkSession.sparkContext.broadcast(np.sort(rows.column("token").to_numpy()))
+    exact = reps.select("sh").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    order = np.argsort(exact.column("token").to_numpy())
+    return exact.column("token").to_numpy()[order], exact.column("n").to_numpy()[order]
+
+
+def features(reps: DataFrame, sim: Similarity) -> DataFrame:
+    """(rep, n, ring, counts, sh): of each text the shingles that other texts have too, rarest first, and in how many texts
+    they are. Texts without any are left out."""
+    spark = reps.sparkSession
+    total = reps.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    buckets = max(12, math.ceil(total / BUCKET))
+    tokens, counts = frequent_shingles(reps)
+    shared = spark.sparkContext.broadcast((tokens, counts))
+
+    def known(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a shingle is among the frequent ones, and its count."""
+        t, n = shared.value
+        if not len(t):
+            return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+        at = np.minimum(np.searchsorted(t, values), len(t) - 1)
+        return t[at] == values, n[at]
+
+    def to_shingles(batches):
+        for b in batches:
+            values, lens = _lists(b.column(1))
+            owner = np.repeat(b.column(0).to_numpy(), lens)
+            rest = ~known(values)[0]
+            values, owner = values[rest], owner[rest]
+            at = ((values.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            if runs := _parted(0, at, buckets, owner, np.zeros(len(at)), values):
+                yield _batch(runs)
+
+    def to_texts(batches):
+        """Sizes and rings of the texts, and their frequent shingles."""
+        for b in batches:
+            ids, n = b.column(0).to_numpy(), b.column(2).to_numpy()
+            rings, words = _lists(b.column(3))
+            at, begins = _text_bucket(ids, buckets), np.cumsum(words) - words
+            runs = [_run(1, k, ids[own], n[own], rings[np.repeat(begins[own], words[own]) + _counting(words[own])]) for k in np.unique(at) for own in [np.flatnonzero(at == k)]]
+            values, lens = _lists(b.column(1))
+            hit, count = known(values)
+            owner = np.repeat(ids, lens)[hit]
+            yield _batch(runs + _parted(0, _text_bucket(owner, buckets), buckets, owner, count[hit], values[hit]))
+
+    def counted(batches):
+        """Of a bucket of shingles, those of several texts go to the texts with their counts."""
+        runs = [_read(r) for b in batches for r in _rows(b)]
+        owner, values = np.concatenate([r[1] for r in runs]), np.concatenate([r[3] for r in runs])
+        order = np.argsort(values, kind="stable")
+        owner, values = owner[order], values[order]
+        starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        n = np.diff(np.append(starts, len(values)))
+        count = np.repeat(n, n)
+        keep = count > 1
+        if keep.any():
+            yield _batch(_parted(0, _text_bucket(owner[keep], buckets), buckets, owner[keep], count[keep], values[keep]))
+
+    def gathered(batches):
+        """A bucket of texts: the shingles of each in order, beside its size and ring."""
+        runs = [_read(r) for b in batches for r in _rows(b)]
+        heads, own = [r for r in runs if r[0] == 1], [r for r in runs if r[0] == 0]
+        if not heads or not own:
+            return
+        ids, n, rings = (np.concatenate([r[k] for r in heads]) for k in (1, 2, 3))
+        words = ring_words(n)
+        begins = np.cumsum(words) - words
+        ids, first = np.unique(ids, return_index=True)
+        owner, count, values = (np.concatenate([r[k] for r in own]) for k in (1, 2, 3))
+        order = np.lexsort((values, count, owner))
+        owner, count, values = owner[order], count[order], values[order]
+        new = np.ones(len(owner), bool)  # repeated rows of a text bring its shingles again
+        new[1:] = (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])
+        owner, count, values = owner[new], count[new], values[new]
+        texts, lens = np.unique(owner, return_counts=True)
+        at = first[np.searchsorted(ids, texts)]
+        ends = lambda x: pa.array(np.concatenate(([0], np.cumsum(x))).astype(np.int32))
+        ring = pa.ListArray.from_arrays(ends(words[at]), pa.array(rings[np.repeat(begins[at], words[at]) + _counting(words[at])]))
+        lists = [pa.ListArray.from_arrays(ends(lens), pa.array(x)) for x in (count.astype(np.int32), values)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(n[at].astype(np.int32)), ring, *lists], ["rep", "n", "ring", "counts", "sh"])
+
+    seen = reps.select("rep", "sh").mapInArrow(to_shingles, RUNS).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_streamed(counted), RUNS)
+    runs = seen.unionByName(reps.select("rep", "sh", "n", "ring").mapInArrow(to_texts, RUNS))
+    return materialize(runs.groupBy("bucket").applyInArrow(_streamed(gathered), "rep bigint, n int, ring array<bigint>, counts array<int>, sh array<bigint>"), "features")
+
+
+def _streamed(f):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+
+    return run
+
+
+def _counting(lens: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each length."""
+    return np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+
+
+def _rows(b: pa.RecordBatch):
+    return zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("kind", "reps", "counts", "tokens")))
+
+
+def _read(row: tuple) -> tuple:
+    return row[0], np.frombuffer(row[1], "<i8"), np.frombuffer(row[2], "<i4").astype(np.int64), np.frombuffer(row[3], "<i8")
 
 
 def _folded(ring: Column, words: Column) -> Column:
@@ -214,53 +359,43 @@ def _cells(rows: DataFrame, first: bool) -> DataFrame:
     return rows.withColumn("cell", i.cast("long") * F.col("parts") + j)
 
 
-def candidates(feats: DataFrame, sim: Similarity, judged: bool = True) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that share a prefix shingle and whose sizes, and short rings if ``judged``, allow the
-    threshold. Pairs are judged as they are joined, before any shuffle."""
+def candidates(feats: DataFrame, sim: Similarity) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that share a prefix shingle and whose sizes allow the threshold."""
     t = sim.threshold
-    short = F.transform(F.sequence(F.lit(0), F.lit(RING - 1)), lambda w: F.get(_folded(F.col("ring"), F.lit(RING)), w))
-    lone = F.col("n") - F.size("shared")  # the rarest of all: they are in no other text
+    lone = F.col("n") - F.size("sh")  # the rarest of all: they are in no other text
 
     def side(share: float, s: str, neighbours: list[int]) -> DataFrame:
-        take = F.greatest(F.lit(0), sim.prefix(F.col("n"), share) - lone)
-        rows = feats.select("rep", "n", F.col("short"), F.explode(F.slice("shared", F.lit(1), take.cast("int"))).alias("x"))
-        rows = rows.select("rep", "n", *[F.get("short", F.lit(i)).alias(f"r{i}") for i in range(RING)], F.col("x.token").alias("token"), F.ceil(F.col("x.count") / sim.block).cast("int").alias("parts"))
+        take = F.greatest(F.lit(0), sim.prefix(F.col("n"), share) - lone).cast("int")
+        first = F.arrays_zip(F.slice("counts", F.lit(1), take).alias("count"), F.slice("sh", F.lit(1), take).alias("token"))
+        rows = feats.select("rep", "n", F.explode(first).alias("x")).select("rep", "n", "x.token", F.ceil(F.col("x.count") / sim.block).cast("int").alias("parts"))
         rows = rows.withColumn("class", F.explode(F.array(*[sim.size_class(F.col("n")) + k for k in neighbours])) if neighbours != [0] else sim.size_class(F.col("n")))
-        rows = _cells(rows, s == "a")
-        return rows.select("token", "class", "cell", F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", *[f"r{i}" for i in range(RING)])])
+        return _cells(rows, s == "a").select("token", "class", "cell", F.col("rep").alias(s), F.col("n").alias(f"{s}_n"))
 
-    feats = feats.withColumn("short", short)
     # the smaller text, of equal ones that with the lesser id, meets the larger in the class of the larger
     small, large = side(2 * t / (1 + t), "a", [0, 1]), side(t, "b", [0])
     ordered = F.struct("a_n", "a") < F.struct("b_n", "b")
     fits = F.col("a_n") >= F.col("b_n") * F.lit(t - 1e-9)
-    met = small.join(large, ["token", "class", "cell"]).filter(ordered & fits)
-    if judged:
-        apart = [F.bit_count(F.col(f"a_r{i}").bitwiseXOR(F.col(f"b_r{i}"))) for i in range(RING)]
-        met = met.filter(ring_holds(apart, sim.budget(F.col("a_n"), F.col("b_n"))))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return small.join(large, ["token", "class", "cell"]).filter(ordered & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _with_features(pairs: DataFrame, feats: DataFrame) -> DataFrame:
-    wanted = feats.select("rep", "n", "ring", F.transform("shared", lambda x: x["token"]).alias("sh"))
-    side = lambda s: wanted.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "ring", "sh")])
+def _beside(pairs: DataFrame, feats: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Pairs with columns of both texts."""
+    side = lambda s: feats.select(F.col("rep").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns])
     return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
 def similar_classes(found: Classes, sim: Similarity, report: Callable[[str, DataFrame], None] | None = None) -> DataFrame:
     """(a, b): pairs of class representatives at or above the threshold. ``report`` is told what each step leaves."""
-    feats = features(found.reps, sim, found.groups.count())
-    pairs = materialize(candidates(feats, sim), "candidates")
-    both = _with_features(pairs, feats)
+    feats = features(found.reps, sim)
+    pairs = candidates(feats, sim)
     budget = sim.budget(F.col("a_n"), F.col("b_n"))
-    ringed = both.filter(_whole_ring_holds(F.col("a_ring"), F.col("b_ring"), budget))
+    ringed = materialize(_beside(pairs, feats, ("n", "ring")).filter(_whole_ring_holds(F.col("a_ring"), F.col("b_ring"), budget)).select("a", "b", "a_n", "b_n"), "candidates")
     # the full Hamming check: shingles in one text alone are in the sizes, and in no common part
     common = F.size(F.array_intersect("a_sh", "b_sh"))
-    out = ringed.filter(F.col("a_n") + F.col("b_n") - 2 * common <= budget).select("a", "b")
+    out = _beside(ringed, feats, ("sh",)).filter(F.col("a_n") + F.col("b_n") - 2 * common <= budget).select("a", "b")
     if report:
-        report("sizes", candidates(feats, sim, judged=False))
-        report("short ring", pairs)
-        report("whole ring", ringed)
+        report("prefixes and sizes", pairs)
+        report("ring", ringed)
         report("similar", out)
     return out
 

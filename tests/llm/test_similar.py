@@ -94,9 +94,14 @@ def test_shingle_in_every_text(spark, monkeypatch):
     want = brute(rows, sim)
     assert len(want) >= 40
     assert set(map(tuple, similar_pairs(df, "doc_id", "d", sim).collect())) == want
-    monkeypatch.setattr(similar, "BROADCAST_FREQUENT", 1)
     monkeypatch.setattr(similar, "BROADCAST_COPIES", 0)
-    assert set(map(tuple, similar_pairs(df, "doc_id", "d", sim).collect())) == want
+    assert set(map(tuple, similar_pairs(df.withColumn("d", F.concat("d", F.lit("."))), "doc_id", "d", sim).collect())) == want
+
+
+def test_frequent_shingles_are_counted_exactly(spark):
+    rows = [(i, [7, i + 1000, *([8] if i % 3 == 0 else [])]) for i in range(900)]
+    tokens, counts = similar.frequent_shingles(spark.createDataFrame(rows, "rep bigint, sh array<bigint>").repartition(3))
+    assert (tokens.tolist(), counts.tolist()) == ([7, 8], [900, 300])
 
 
 @pytest.mark.parametrize("length", [100, 500, 2000])
@@ -118,8 +123,8 @@ def test_pruning_by_steps(spark, length, capsys):
     df = spark.createDataFrame(rows, "doc_id bigint, d string")
     got = set(map(tuple, similar_classes(classes(df, "doc_id", "d", sim), sim, lambda step, rows: left.update({step: rows.count()})).collect()))
     assert got == brute(rows, sim) and left["similar"] == len(got) >= 10
-    assert left["sizes"] >= left["short ring"] >= left["whole ring"] >= left["similar"]
-    assert left["whole ring"] - left["similar"] <= (left["sizes"] - left["similar"]) / 2  # the ring prunes at every length
+    assert left["prefixes and sizes"] >= left["ring"] >= left["similar"]
+    assert left["ring"] - left["similar"] <= (left["prefixes and sizes"] - left["similar"]) / 2  # the ring prunes at every length
     with capsys.disabled():
         print(f" {length} words: {left}")
 
