@@ -48,21 +48,26 @@ def known_word(dictionary: DataFrame, candidates: DataFrame, by: str = "query")
 
 def spell(spark, dictionary: DataFrame, words: list[str]) -> DataFrame:
     """(query, word): the word itself if it is known, else the best one edit away, else, in the order in which first edits
-    are generated, the best that a second edit gives; null if there is none."""
-    asked = spark.createDataFrame([(w,) for w in sorted(set(words))], "query string").withColumn("low", ascii_lower(F.col("query")))
-    exact = known_word(dictionary, F.broadcast(asked.select("query", F.col("low").alias("word"))))
-    once = asked.join(exact, "query", "left_anti").select("query", F.posexplode(edits1(F.col("low"))).alias("i", "word"))
-    first = known_word(dictionary, _small(once.select("query", "word"), words))
-    left = asked.join(exact, "query", "left_anti").join(first, "query", "left_anti").select("query", F.posexplode(edits1(F.col("low"))).alias("i", "near"))
-    twice = left.select("query", "i", F.explode(edits1(F.col("near"))).alias("word"))
-    second = (
-        dictionary.join(_small(twice.groupBy("query", "word").agg(F.min("i").alias("i")), words, True), "word")
-        .groupBy("query")
-        .agg(F.min(F.struct("i", (-F.col("frequency")).alias("f"), "word")).alias("m"))
-        .select("query", F.col("m.word").alias("word"))
-    )
-    found = exact.unionByName(first).unionByName(second)
-    return asked.select("query").join(found, "query", "left")
+    are generated, the best that a second edit gives; null if there is none.
+
+    The dictionary is read once for the words and their neighbours, and a second time only if words are left over; the
+    driver sees one row for each word asked for."""
+    schema, asked = "query string, word string", sorted(set(words))
+    best = {}
+    for twice in (False, True):
+        left = [w for w in asked if w not in best]
+        if not left:
+            break
+        rows = spark.createDataFrame([(w,) for w in left], "query string").withColumn("low", ascii_lower(F.col("query")))
+        if twice:
+            first = rows.select("query", F.posexplode(edits1(F.col("low"))).alias("i", "near"))
+            near = first.select("query", "i", F.explode(edits1(F.col("near"))).alias("word"))
+        else:
+            near = rows.select("query", F.explode(F.concat(F.array(F.struct(F.lit(0).alias("i"), F.col("low").alias("word"))), F.transform(edits1(F.col("low")), lambda x: F.struct(F.lit(1).alias("i"), x.alias("word"))))).alias("c")).select("query", "c.*")
+        near = near.groupBy("query", "word").agg(F.min("i").alias("i"))
+        found = dictionary.join(_small(near, left, twice), "word").groupBy("query").agg(F.min(F.struct("i", (-F.col("frequency")).alias("f"), "word")).alias("m"))
+        best |= {r.query: r.word for r in found.select("query", F.col("m.word").alias("word")).collect()}
+    return spark.createDataFrame([(w, best.get(w)) for w in asked], schema)
 
 
 def suggest(spark, dictionary: DataFrame, query: str, limit: int = 10) -> DataFrame:

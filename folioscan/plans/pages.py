@@ -14,8 +14,10 @@ from folioscan.operators import spelling
 from folioscan.operators.query import parse
 from folioscan.operators.search import SearchRequest, lookup, search, snippets
 from folioscan.schema import COLUMNS, DICTIONARY_COLUMNS, WEIGHTS
-from folioscan.sources.roff import parse_sources
-from folioscan.storage import materialize, table
+from folioscan.api import register_functions
+from folioscan.sources.crawl import crawl
+from folioscan.sources.roff import parse_sources, read_pages
+from folioscan.storage import materialize, scratch_path, table
 
 WORDS = ["bufer", "dveice", "tabel", "descriptor", "argumnt", "buffre", "hadnel", "deskriptorr", "secton", "zzqqxy"]
 NEAR_WORDS = ["bffr", "dscrptor", "argmunet", "hndel", "bufferring"]
@@ -249,7 +251,10 @@ def upsert_changed(spark, folder):
 
 
 def stale_meta(spark, folder):
-    return ix.stale_meta(_before(spark, folder), _crawl(spark, folder))
+    """Files that the last month of crawls has not seen."""
+    cache = table(spark, folder, "file_cache")
+    last = cache.agg(F.max("seen_at").alias("t")).first().t
+    return ix.stale_meta(_before(spark, folder), cache.filter(F.col("seen_at") > F.lit(last) - F.expr("INTERVAL 30 DAYS")))
 
 
 def stale_links(spark, folder):
@@ -286,6 +291,77 @@ def parse_pages(spark, folder):
     return parse_sources(rows, "doc_id", "source").select("doc_id", "section", "name", "name_desc", *PARTS)
 
 
+def _page_name():
+    return F.coalesce(F.nullif(F.regexp_replace("name", r"[^A-Za-z0-9_.]+", ""), F.lit("")), F.lit("page"))
+
+
+def _flat(c: str):
+    return F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"[ \t\n\r\f\x0B]+", " "))
+
+
+def _safe(c: str):
+    return F.regexp_replace(F.replace(_flat(c), F.lit("\\"), F.lit("\\e")), r"^([.'])", r"\\&$1")
+
+
+def parse_semantic(spark, folder):
+    """Names, aliases, machines and cross references of pages written in the first macro package."""
+    alias = F.concat(F.lit("a"), F.col("doc_id").cast("string"))
+    source = F.concat(
+        F.lit(".\\\" made\n.Dd May 1, 2024\n.Dt PAGE "), F.col("section"), F.lit(" "), F.upper(F.coalesce(F.nullif(F.regexp_replace("machine", r"[^A-Za-z0-9]+", ""), F.lit("")), F.lit("all"))),
+        F.lit("\n.Os\n.Sh NAME\n.Nm "), _page_name(), F.lit(" ,\n.Nm "), alias, F.lit("\n.Nd "), _safe("name_desc"),
+        F.lit("\n.Sh SYNOPSIS\n.Nm\n.Sh DESCRIPTION\nThe\n.Nm\nof \\fBpage\\fR needs\n.Xr socket 2 .\n.Ss More\n"), _safe("desc"), F.lit("\n.Sh EXIT STATUS\n"), _safe("exit_status"),
+    )
+    rows = _pages(spark, folder).select("doc_id", source.alias("source"))
+    return parse_sources(rows, "doc_id", "source").select("doc_id", "section", "machine", "name", "links", "name_desc", "desc", "exit_status")
+
+
+MAN_PARTS = {"lib": "LIBRARY", "return_vals": "RETURN VALUE", "env": "ENVIRONMENT", "files": "FILES", "diagnostics": "DIAGNOSTICS", "errors": "ERRORS"}
+
+
+def parse_plain(spark, folder):
+    """The same for the second macro package, which has no columns for environment and diagnostics."""
+    alias = F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit(", b"), F.col("doc_id").cast("string"))
+    body = F.concat(*[F.concat(F.lit(f'\n.SH "{h}"\n'), _safe(c)) for c, h in MAN_PARTS.items()])
+    source = F.concat(F.lit(".TH PAGE "), F.col("section"), F.lit("L\n.SH NAME\n"), _page_name(), F.lit(", "), alias, F.lit(" \\- "), _safe("name_desc"), F.lit("\n.SH DESCRIPTION\n.B The page\n"), _safe("desc"), body, F.lit("\n.SH COPYRIGHT\nnone"))
+    rows = _pages(spark, folder).select("doc_id", source.alias("source"))
+    return parse_sources(rows, "doc_id", "source").select("doc_id", "section", "name", "links", "name_desc", "desc", "lib", "return_vals", "env", "files", "errors")
+
+
+def read_files(spark, folder):
+    """Every page written to a compressed file, crawled, read and parsed again."""
+    root = scratch_path(spark, "man").removeprefix("file://")
+    source = F.concat(F.lit(".Dt PAGE "), F.col("section"), F.lit("\n.Sh NAME\n.Nm "), _page_name(), F.lit("\n.Nd page "), F.col("doc_id").cast("string"), F.lit("\n.Sh DESCRIPTION\n"), _safe("desc"))
+
+    def write(batches):
+        import gzip
+        import os
+
+        for b in batches:
+            for i, t in zip(b["doc_id"], b["source"]):
+                os.makedirs(f"{root}/man{i % 7}", exist_ok=True)
+                with gzip.open(f"{root}/man{i % 7}/p{i}.gz", "wb", 1) as f:
+                    f.write(t.encode())
+            yield b[["doc_id"]]
+
+    _pages(spark, folder).select("doc_id", source.alias("source")).mapInPandas(write, "doc_id bigint").write.format("noop").mode("overwrite").save()
+    files = crawl(spark, [root])
+    read = read_pages(files)
+    return read.select(F.regexp_extract("file", r"([^/]*)$", 1).alias("file"), "section", "name", "name_desc", "desc", F.col("md5_hash").isNotNull().alias("summed"), "error")
+
+
+def sql_pages(spark, folder):
+    """A statement with parameters over the pages of one section."""
+    return spark.sql("SELECT doc_id, name FROM {pages} WHERE section = :section AND name_desc LIKE :like", args={"section": "4", "like": "%e%"}, pages=_pages(spark, folder))
+
+
+def query_words(spark, folder):
+    """The phrases of a query by the table function, with the page frequency of each stem."""
+    register_functions(spark)
+    stems = porter.stemmed(postings(_pages(spark, folder), ["desc"])).select("term", "doc_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    words = spark.sql("SELECT phrase, place, word, stem FROM query_words('buffers OR \"printed tables\" NOT keyboards')")
+    return words.join(stems, words.stem == stems.term, "left").select("phrase", "place", "word", "stem", F.coalesce("df", F.lit(0).cast("long")).alias("df"))
+
+
 def run_counters(spark, folder):
     return ix.run_counters(_crawl(spark, folder), _before(spark, folder), _after(spark, folder))
 
@@ -297,7 +373,7 @@ QUERIES = {n: _search(n) for n in SEARCHES} | {
         dict_build, dict_insert_ignore, edits1, known_word, spell_d1, spell_d2, suggest, json_suggest, query_correction, stopword_filter,
         boolean_rewrite, url_param, html_escape, pager_overstrike, highlight, complete_prefix, porter_rows, rank_stemmed, content_md5, crawl_files,
         md5_dedupe, inode_dedupe, diff_new, touch_update, upsert_changed, stale_meta, stale_links, stale_pages, complete_pages, links_explode,
-        section_route, run_counters, parse_pages,
+        section_route, run_counters, parse_pages, parse_semantic, parse_plain, read_files, sql_pages, query_words,
     ]
 }
 
@@ -326,12 +402,12 @@ def _run(i: int, *terms: str) -> str:
     return f"SELECT {i} AS leaf, a.doc_id, a.col, any_value(a.n) AS n, count(*) AS tf FROM x a{joins} WHERE a.term = '{terms[0]}' GROUP BY a.doc_id, a.col"
 
 
-def _rank(leaves: list[str], where: str, scored: list[int] | None = None, extra: str = "true", limit: str = "LIMIT 10", more: str = "") -> str:
+def _rank(leaves: list[str], where: str, scored: list[int] | None = None, extra: str = "true", limit: str = "LIMIT 10", more: str = "", x: str | None = None) -> str:
     """The rank formula in SQL: statistics before the filters, one idf for the query."""
     use = ", ".join(map(str, scored if scored is not None else range(len(leaves))))
     weights = ", ".join(f"({COLUMNS.index(c)}, {w})" for c, w in WEIGHTS.items())
     has = ", ".join(f"bool_or(leaf = {i}) AS has{i}" for i in range(len(leaves)))
-    return f"""WITH {_x()}{more}, h AS ({' UNION ALL '.join(leaves)}), w(col, weight) AS (VALUES {weights}),
+    return f"""WITH {x or _x()}{more}, h AS ({' UNION ALL '.join(leaves)}), w(col, weight) AS (VALUES {weights}),
  st AS (SELECT leaf, col, sum(tf)::DOUBLE AS g, count(*) AS df FROM h GROUP BY leaf, col),
  idf AS (SELECT coalesce(sum(ln((SELECT count(*) FROM mandb_rec) / df) * weight), 0) AS v FROM st JOIN w USING (col) WHERE leaf IN ({use})),
  sc AS (SELECT doc_id, {has}, sum(CASE WHEN leaf IN ({use}) THEN tf * coalesce(weight, 0) / (g * n) ELSE 0 END) AS tf FROM h JOIN st USING (leaf, col) LEFT JOIN w USING (col) GROUP BY doc_id),
@@ -380,7 +456,69 @@ _ESCAPE = "replace(replace(replace(replace(replace(replace('<' || chr(2) || \"de
 
 _FLAT = r"nullif(trim(regexp_replace({0}, '[ \t\n\r\f\x0B]+', ' ', 'g')), '')"
 
+
+def _stem_sql(source: str) -> str:
+    """CTEs that end in stems(term, stem) for the terms of a table: the rules of the paper as conditions on text in which a
+    y that is a vowel is written Y."""
+    v, c = "[aeiouY]", "[^aeiouY]"
+    has, more, vowel = (lambda x: f"regexp_matches({x}, '{v}{c}')"), (lambda x: f"regexp_matches({x}, '{v}{c}.*{v}{c}')"), (lambda x: f"regexp_matches({x}, '{v}')")
+    short = lambda x: f"regexp_matches({x}, '{c}{v}[^aeiouYwxy]$')"
+    cut = lambda x, n: f"{x}[:len({x}) - {n}]"
+
+    def swap(rules: str) -> str:
+        pairs = sorted((r.split(":") for r in rules.split()), key=lambda p: -len(p[0]))
+        return "CASE " + " ".join(f"WHEN ends_with(w, '{a}') THEN CASE WHEN {has(cut('w', len(a)))} THEN {cut('w', len(a))} || '{b}' ELSE w END" for a, b in pairs) + " ELSE w END"
+
+    four = " ".join(
+        f"WHEN ends_with(w, '{a}') THEN CASE WHEN {more(cut('w', len(a)))}{'' if a != 'ion' else f' AND regexp_matches({cut(chr(119), 3)}, {chr(39)}[st]${chr(39)})'} THEN {cut('w', len(a))} ELSE w END"
+        for a in sorted(porter.STEP4.split(), key=len, reverse=True)
+    )
+    steps = [
+        f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {cut('w', 2)} WHEN ends_with(w, 's') AND NOT ends_with(w, 'ss') THEN {cut('w', 1)} ELSE w END AS w, '' AS e",
+        f"CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {has(cut('w', 3))} THEN {cut('w', 1)} ELSE w END WHEN ends_with(w, 'ed') AND {vowel(cut('w', 2))} THEN {cut('w', 2)} WHEN ends_with(w, 'ing') AND {vowel(cut('w', 3))} THEN {cut('w', 3)} ELSE w END AS w, "
+        f"CASE WHEN ends_with(w, 'eed') THEN '' WHEN (ends_with(w, 'ed') AND {vowel(cut('w', 2))}) OR (ends_with(w, 'ing') AND {vowel(cut('w', 3))}) THEN 'x' ELSE '' END AS e",
+        f"CASE WHEN e = '' THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e' WHEN len(w) > 1 AND w[-1] = w[-2] AND regexp_matches(w, '[^aeiouYlsz]$') THEN {cut('w', 1)} WHEN {has('w')} AND NOT {more('w')} AND {short('w')} THEN w || 'e' ELSE w END AS w, '' AS e",
+        f"CASE WHEN regexp_matches(w, '[yY]$') AND {vowel(cut('w', 1))} THEN {cut('w', 1)} || 'i' ELSE w END AS w, '' AS e",
+        f"{swap(porter.STEP2)} AS w, '' AS e",
+        f"{swap(porter.STEP3)} AS w, '' AS e",
+        f"CASE {four} ELSE w END AS w, '' AS e",
+        f"CASE WHEN ends_with(w, 'e') AND ({more(cut('w', 1))} OR ({has(cut('w', 1))} AND NOT {short(cut('w', 1))})) THEN {cut('w', 1)} ELSE w END AS w, '' AS e",
+        f"CASE WHEN ends_with(w, 'll') AND {more('w')} THEN {cut('w', 1)} ELSE w END AS w, '' AS e",
+    ]
+    marked = "regexp_replace(regexp_replace(term, '([b-df-hj-np-tv-xz])y', '\\1Y', 'g'), 'yy', 'yY', 'g')"
+    out = f"p0 AS (SELECT term, {marked} AS w, '' AS e FROM (SELECT DISTINCT term FROM {source}) WHERE regexp_matches(term, '^[a-z]{{3,}}$'))"
+    for i, step in enumerate(steps):
+        out += f",\n p{i + 1} AS (SELECT term, {step} FROM p{i})"
+    return out + f",\n stems AS (SELECT term, lower(w) AS stem FROM p{len(steps)} UNION ALL SELECT DISTINCT term, term FROM {source} WHERE NOT regexp_matches(term, '^[a-z]{{3,}}$'))"
+
+
+_XS = f"{_x().replace('x AS (SELECT', 'x0 AS (SELECT')}, {_stem_sql('x0')}, x AS (SELECT doc_id, col, n, stem AS term, pos FROM x0 JOIN stems USING (term))"
+_PAGE_NAME = "coalesce(nullif(regexp_replace(name, '[^A-Za-z0-9_.]+', '', 'g'), ''), 'page')"
+_FLAT_TEXT = r"trim(regexp_replace(coalesce({0}, ''), '[ \t\n\r\f\x0B]+', ' ', 'g'))"
+
+
+def _joined(*parts: str) -> str:
+    return f"nullif(trim(regexp_replace(concat_ws(' ', {', '.join(parts)}), ' +', ' ', 'g')), '')"
+
+
+def _html_escape(x: str) -> str:
+    for _ in range(2):
+        x = f"regexp_replace({x}, '([^\\\\])&($|[^a])', '\\1&amp;\\2', 'g')"
+    return f"replace(replace(replace({x}, '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
 ORACLE = {
+    "porter_rows": f"WITH {_x(DICTIONARY_COLUMNS)}, {_stem_sql('x')} SELECT term, stem FROM stems",
+    "rank_stemmed": _rank([_t(0, "print"), _t(1, "buffer")], "has0 AND has1", x=_XS),
+    "query_words": f"""WITH {_x(['desc']).replace('x AS (SELECT', 'x0 AS (SELECT')}, {_stem_sql('x0')}, d AS (SELECT stem, count(DISTINCT doc_id) AS df FROM x0 JOIN stems USING (term) GROUP BY stem)
+SELECT phrase, place, word, q.stem, coalesce(df, 0)::BIGINT AS df FROM (VALUES (0, 0, 'buffers', 'buffer'), (1, 0, 'printed', 'print'), (1, 1, 'tables', 'tabl'), (2, 0, 'keyboards', 'keyboard')) q(phrase, place, word, stem) LEFT JOIN d USING (stem)""",
+    "sql_pages": "SELECT doc_id, name FROM mandb_rec WHERE section = '4' AND name_desc LIKE '%e%'",
+    "parse_semantic": f"""SELECT doc_id, section, lower(coalesce(nullif(regexp_replace(machine, '[^A-Za-z0-9]+', '', 'g'), ''), 'all')) AS machine, {_PAGE_NAME} AS name, 'a' || doc_id AS links, {_FLAT.format('name_desc')} AS name_desc,
+ {_joined("'The ' || " + _PAGE_NAME + " || ' a' || doc_id || ' of page needs socket(2) More'", _FLAT_TEXT.format('"desc"'))} AS "desc", {_FLAT.format('exit_status')} AS exit_status FROM mandb_rec""",
+    "parse_plain": f"""SELECT doc_id, section, {_PAGE_NAME} AS name, 'a' || doc_id || ' b' || doc_id AS links, {_FLAT.format('name_desc')} AS name_desc,
+ {_joined("'The page'", *[_FLAT_TEXT.format(x) for x in ('"desc"', 'env', 'diagnostics')])} AS "desc", {', '.join(f'{_FLAT.format(c)} AS {c}' for c in ('lib', 'return_vals', 'files', 'errors'))}, NULL::VARCHAR AS env FROM mandb_rec""",
+    "read_files": f"""SELECT 'p' || doc_id || '.gz' AS file, section, {_PAGE_NAME} AS name, 'page ' || doc_id AS name_desc, {_FLAT.format('"desc"')} AS "desc", true AS summed, NULL::VARCHAR AS error FROM mandb_rec""",
+    "result_html": f"""SELECT '<div class="result"><a href="/man/' || replace(url_encode(coalesce(name, '')), '%20', '+') || '.html">' || {_html_escape("coalesce(name, '')")} || '(' || section || ')</a> ' || {_html_escape("coalesce(name_desc, '')")} || '<p></p></div>' AS html FROM ({_AND})""",
     "parse_pages": f"SELECT doc_id, section, {_FLAT.format('name')} AS name, {_FLAT.format('name_desc')} AS name_desc, " + ", ".join(f'{_FLAT.format(chr(34) + c + chr(34))} AS "{c}"' for c in PARTS) + " FROM mandb_rec",
     "tokenize_counts": f"WITH {_x()} SELECT col, count(*)::BIGINT AS tokens, count(DISTINCT term)::BIGINT AS distinct_tokens FROM x GROUP BY col",
     "doc_length": f"WITH {_x()} SELECT doc_id, col, count(*)::BIGINT AS n FROM x GROUP BY doc_id, col",
@@ -433,7 +571,7 @@ SELECT word, coalesce(old.frequency, dict.frequency)::BIGINT AS frequency FROM d
  a.inode IS NOT NULL AND (a.device IS DISTINCT FROM b.device OR a.inode IS DISTINCT FROM b.inode OR a.mtime IS DISTINCT FROM b.mtime) AS changed FROM before b LEFT JOIN after a USING (file, md5_hash)""",
     "upsert_changed": f"""{_STATES}, changed AS (SELECT * FROM after a WHERE NOT EXISTS (SELECT 1 FROM before b WHERE b.file = a.file AND b.md5_hash = a.md5_hash))
 SELECT * FROM changed UNION ALL SELECT * FROM before WHERE file NOT IN (SELECT file FROM changed)""",
-    "stale_meta": f"{_STATES} SELECT device, inode, mtime, file, md5_hash, id FROM before WHERE file NOT IN (SELECT file FROM crawl)",
+    "stale_meta": f"{_STATES} SELECT device, inode, mtime, file, md5_hash, id FROM before WHERE file NOT IN (SELECT file FROM file_cache WHERE seen_at > (SELECT max(seen_at) FROM file_cache) - INTERVAL 30 DAYS)",
     "stale_links": f"{_STATES} SELECT DISTINCT link_id FROM mandb_links l WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.md5_hash = {_MD5.format('l.md5_hash')})",
     "stale_pages": f"{_STATES} SELECT doc_id FROM mandb_rec p WHERE NOT EXISTS (SELECT 1 FROM after a WHERE a.id = p.doc_id)",
     "complete_pages": "SELECT doc_id FROM mandb_rec WHERE name IS NOT NULL AND name_desc IS NOT NULL AND md5_hash IS NOT NULL",
