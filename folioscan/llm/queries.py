@@ -116,7 +116,27 @@ _COUNTS = f"""x AS (SELECT 'desc' AS field, doc_id, unnest({_TOK.format('"desc"'
 _WORDS = r"regexp_extract_all(lower(regexp_replace(text, '\\f(?s:.)', '', 'g')), '[a-z0-9]+')"
 _GRAMS = f"(SELECT {{0}}, unnest(list_distinct(list_transform(range(1, greatest(len(k) - 10, 1)), lambda i: array_to_string(k[i:i + 11], ' ')))) AS g FROM (SELECT {{0}}, {_WORDS} AS k FROM {{1}} WHERE text IS NOT NULL))"
 
+def _pairs(texts: str) -> str:
+    """CTEs that end in p(a, b): pairs of the rows (doc_id, k) of a table whose shingles resemble each other."""
+    return f"""s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2])) AS g FROM {texts}),
+ x AS (SELECT doc_id, len(g) AS n, unnest(g) AS h FROM s),
+ q AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+ p AS (SELECT a, b FROM q WHERE 10 * c >= 7 * (na + nb - c))"""
+
+
+_CLASSES = f"""t AS (SELECT doc_id, {_TOK.format('"desc"')} AS k FROM mandb_rec WHERE "desc" IS NOT NULL),
+ long AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY k) AS rep, count(*) OVER (PARTITION BY k) AS copies FROM t WHERE len(k) >= 20),
+ reps AS (SELECT doc_id, k FROM long WHERE doc_id = rep)"""
+_PLACES = f"(SELECT DISTINCT {{0}}, i, array_to_string(k[i:i + 11], ' ') AS g FROM (SELECT {{0}}, k, unnest(range(1, greatest(len(k) - 10, 1))) AS i FROM (SELECT {{0}}, {_WORDS} AS k FROM {{1}} WHERE text IS NOT NULL)))"
+
 ORACLE = {
+    "p2_links": f"""WITH {_CLASSES}, {_pairs('reps')}, n AS (SELECT rep, count(*) AS links FROM (SELECT a AS rep FROM p UNION ALL SELECT b FROM p) GROUP BY rep)
+SELECT m.doc_id, coalesce(rep, m.doc_id) AS class_id, coalesce(copies, 1)::BIGINT AS copies, coalesce(links, 0)::BIGINT AS links FROM mandb_rec m LEFT JOIN long USING (doc_id) LEFT JOIN n USING (rep)""",
+    "p2_classes": f"WITH {_CLASSES}, {_pairs('reps')} SELECT a AS class_a, b AS class_b FROM p",
+    "p6_items": f"""WITH hits AS (SELECT doc_id, item_id, d.i AS pos, d.i - b.i AS apart FROM {_PLACES.format('doc_id', 'documents')} d JOIN {_PLACES.format('item_id', 'benchmark')} b USING (g)),
+ islands AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id, apart ORDER BY pos) AS island FROM hits),
+ runs AS (SELECT doc_id, item_id, count(*) + 11 AS words FROM islands GROUP BY doc_id, item_id, apart, island)
+SELECT item_id, count(DISTINCT doc_id)::BIGINT AS documents, max(words)::INTEGER AS longest FROM runs GROUP BY item_id""",
     "p6_found": f"""SELECT DISTINCT doc_id, item_id FROM {_GRAMS.format('doc_id', 'documents')} JOIN {_GRAMS.format('item_id', 'benchmark')} USING (g)""",
     "p2_found": f"""WITH t AS (SELECT doc_id, {_TOK.format('"desc"')} AS k FROM mandb_rec WHERE "desc" IS NOT NULL),
  s AS (SELECT doc_id, list_distinct(list_transform(range(1, len(k) - 1), lambda i: k[i] || ' ' || k[i + 1] || ' ' || k[i + 2])) AS g FROM t WHERE len(k) >= 20),
