@@ -507,7 +507,23 @@ def _html_escape(x: str) -> str:
     return f"replace(replace(replace({x}, '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 
 
+def _snippets(words: str) -> str:
+    fields = " UNION ALL ".join(f'SELECT doc_id, {i} AS col, "{c}" AS raw FROM mandb_rec' for i, c in enumerate(COLUMNS))
+    piece = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+[^0-9A-Za-z\x{80}-\x{10FFFF}]*"
+    return f"""f AS ({fields}), g AS (SELECT *, {_TOK.format('raw')} AS t FROM f WHERE raw IS NOT NULL),
+ h AS (SELECT *, list_filter(range(0, len(t)), lambda i: t[i + 1] IN ({words})) AS hits FROM g WHERE len(t) > 0),
+ w AS (SELECT doc_id, col, raw, t, unnest(CASE WHEN len(hits) > 0 THEN list_transform(hits, lambda i: greatest(0, least(i, len(t) - 40))) ELSE [0::BIGINT] END) AS b FROM h),
+ sc AS (SELECT *, len(list_distinct(list_filter(t[b + 1:b + 40], lambda x: x IN ({words})))) AS k FROM w),
+ best AS (SELECT *, regexp_extract_all(raw, '{piece}') AS p FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, col, b) = 1)),
+ snip AS (SELECT doc_id, CASE WHEN b > 0 THEN '...' ELSE '' END || rtrim(array_to_string(list_transform(range(b + 1, least(b + 40, len(t)) + 1), lambda i: CASE WHEN t[i] IN ({words}) THEN '<' || p[i][:len(t[i])] || '>' || p[i][len(t[i]) + 1:] ELSE p[i] END), ''), ' ')
+  || CASE WHEN b + 40 < len(t) THEN '...' ELSE '' END AS snippet FROM best)"""
+
+
+_MARKED = "'buffer', 'descriptor'"
+
 ORACLE = {
+    "snippet_all": f"WITH {_snippets(_MARKED)} SELECT doc_id, snippet FROM snip",
+    "snippet_rows": f"WITH {_snippets(_MARKED)} SELECT doc_id, snippet FROM snip WHERE doc_id IN (SELECT doc_id FROM ({_AND}))",
     "porter_rows": f"WITH {_x(DICTIONARY_COLUMNS)}, {_stem_sql('x')} SELECT term, stem FROM stems",
     "rank_stemmed": _rank([_t(0, "print"), _t(1, "buffer")], "has0 AND has1", x=_XS),
     "query_words": f"""WITH {_x(['desc']).replace('x AS (SELECT', 'x0 AS (SELECT')}, {_stem_sql('x0')}, d AS (SELECT stem, count(DISTINCT doc_id) AS df FROM x0 JOIN stems USING (term) GROUP BY stem)

@@ -1,8 +1,9 @@
 """New pages as a stream of files: each batch is deduplicated by content and appended with its postings.
 
 A batch writes to folders named by its number and replaces what an earlier attempt left there, so a batch that is run
-again after a failure changes nothing twice. Pages of known content are left out by an anti-join with what earlier batches
-wrote; no state grows with the stream."""
+again after a failure changes nothing twice. Pages of known content are left out by an anti-join with the checksums that
+earlier batches wrote. There is no streaming state, but each batch reads that one column of all stored pages: it is meant
+for few large batches (``files_per_batch``), not for a trickle."""
 
 from __future__ import annotations
 
