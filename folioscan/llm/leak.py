@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from folioscan.storage import materialize
 
 BLOCK_BYTES = 16 << 20
 CHUNK = 1 << 20
+HITS = 1 << 20
 K = 6
 FONT = re.compile(rb"\\f(?:[\x00-\x7f]|[\xc0-\xff][\x80-\xbf]*)")
 SCHEMA = "doc_id bigint, item_id bigint, words int"
@@ -102,13 +104,26 @@ class Items:
         order = np.argsort(value, kind="stable")
         self.at, self.value = at[order], value[order]
 
-    def hits(self, h: np.ndarray, text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions (in the texts, in the items) at which fingerprints agree."""
+    def hits(self, h: np.ndarray, text: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (in the texts, in the items) at which fingerprints agree, about HITS at a time, however often one is
+        repeated on both sides."""
         at, value = fingerprints(h, text, window)
         lo, hi = np.searchsorted(self.value, value, "left"), np.searchsorted(self.value, value, "right")
-        n = hi - lo
-        first = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-        return np.repeat(at, n), self.at[first + np.arange(n.sum())]
+        met = hi > lo
+        at, lo, hi = at[met], lo[met], hi[met]
+        ends, begin = np.cumsum(hi - lo), 0
+        while begin < len(at):
+            stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HITS, "right")))
+            n = hi[begin:stop] - lo[begin:stop]
+            first = np.repeat(lo[begin:stop] - (np.cumsum(n) - n), n)
+            i, j = np.repeat(at[begin:stop], n), self.at[first + np.arange(n.sum())]
+            # k-grams that follow each other without a word between are of one run: the first stands for all
+            order = np.lexsort((i, i - j))
+            i, j = i[order], j[order]
+            new = np.ones(len(i), bool)
+            new[1:] = (i[1:] - j[1:] != i[:-1] - j[:-1]) | (i[1:] - i[:-1] > K) | (text[i[1:]] != text[i[:-1]]) | (self.text[j[1:]] != self.text[j[:-1]])
+            yield i[new], j[new]
+            begin = stop
 
     def extend(self, h, text, i, j) -> np.ndarray:
         """Length in words of the whole shared run around each hit."""
@@ -126,6 +141,14 @@ class Items:
         return length
 
 
+def _longest(pairs: np.ndarray) -> np.ndarray:
+    """Of (text, item, words) the most words of each text and item."""
+    pairs = pairs[:, np.lexsort((-pairs[2], pairs[1], pairs[0]))]
+    new = np.ones(pairs.shape[1], bool)
+    new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
+    return pairs[:, new]
+
+
 def _chunks(ids: list, texts: list):
     part, size = [], 0
     for i, t in zip(ids, texts):
@@ -150,18 +173,14 @@ def _scan(docs: DataFrame, shared, span: int) -> DataFrame:
                 h, text = words([t for _, t in part], powers)
                 if len(h) < span:
                     continue
-                i, j = items.hits(h, text, window)
-                if not len(i):
+                best = np.empty((3, 0), np.int64)
+                for i, j in items.hits(h, text, window):
+                    run = items.extend(h, text, i, j)
+                    keep = run >= span
+                    best = _longest(np.concatenate((best, np.stack((text[i[keep]], items.text[j[keep]], run[keep]))), axis=1))
+                if not best.shape[1]:
                     continue
-                run = items.extend(h, text, i, j)
-                keep = run >= span
-                pairs = np.stack((text[i[keep]], items.text[j[keep]], run[keep]))
-                order = np.lexsort((-pairs[2], pairs[1], pairs[0]))
-                pairs = pairs[:, order]
-                new = np.ones(pairs.shape[1], bool)
-                new[1:] = (pairs[:2, 1:] != pairs[:2, :-1]).any(axis=0)
-                pairs = pairs[:, new]
-                ids = np.array([d for d, _ in part], np.int64)
+                pairs, ids = best, np.array([d for d, _ in part], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[0]]), pa.array(items.ids[pairs[1]]), pa.array(pairs[2].astype(np.int32))], ["doc_id", "item_id", "words"])
 
     return docs.mapInArrow(scan, SCHEMA)

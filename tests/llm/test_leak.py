@@ -55,3 +55,12 @@ def test_very_long_text_and_empty_tables(spark):
     assert [tuple(r) for r in leaks(docs, "doc_id", "text", items, "item_id", "text").collect()] == [(1, 5, 12)]
     assert leaks(docs.filter("false"), "doc_id", "text", items, "item_id", "text").count() == 0
     assert leaks(docs, "doc_id", "text", items.filter("false"), "item_id", "text").count() == 0
+
+
+def test_repeated_words_on_both_sides(spark):
+    """Fingerprints that stand everywhere on both sides are met a bounded number at a time."""
+    same = "buffer " * 3000
+    docs = spark.createDataFrame([(1, same), (2, "x " + same[:7 * 11])], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "buffer " * 900), (2, "buffer " * 12)], "item_id bigint, text string")
+    got = sorted(map(tuple, leaks(docs, "doc_id", "text", items, "item_id", "text").collect()))
+    assert [r[:2] for r in got] == [(1, 1), (1, 2)] and {r[1]: r[2] for r in got} == {1: 900, 2: 12}
