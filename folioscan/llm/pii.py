@@ -23,6 +23,7 @@ import bisect
 import datetime
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,7 +77,8 @@ PHONE = re.compile(
     rf"){_N}{_EXT}"
 )
 #: Local numbers, ten digits in a row and others that are one only where a word says so.
-CALLED = re.compile(rf"(?i:\b(?:phone|tel|telephone|mobile|cell|fax|call|telefon|mobil|handy|téléphone|teléfono|móvil)\b\.?:?){_S}?(?:(?i:me|us|number|no\.?|is|at|on)\b:?{_S})?(?P<v>\d(?:[ .-]?\d){{6,13}}){_N}")
+_CALLS = "phone telephone tel mobile cell fax call telefon mobil handy téléphone teléfono móvil".split()
+CALLED = re.compile(rf"(?:{'|'.join(f(w) for w in _CALLS for f in (str.lower, str.capitalize, str.upper))})\b\.?:?{_S}?(?:(?i:me|us|number|no\.?|is|at|on)\b:?{_S})?(?P<v>\d(?:[ .-]?\d){{6,13}}){_N}")
 ID_NUMBER = re.compile(
     r"(?<![\w.+/-])(?:"
     r"\d{3}-\d{2}-\d{4}"
@@ -87,6 +89,7 @@ ID_NUMBER = re.compile(
     r")(?![\w]|[-./]\d)"
 )
 #: Numbers that are one only where a word says so: nine digits and other runs of letters and digits.
+_LABELS = ("ssn", "social security", "tax id", "tax number", "passport", "national id", "id number", "steuernummer", "ausweisnummer", "passnummer", "pasaporte", "passeport")
 LABELLED = re.compile(rf"(?i:\b(?:ssn|social security(?: (?:number|no\.?))?|tax (?:id|number)|passport(?: (?:number|no\.?))?|national id|id number|steuernummer|ausweisnummer|passnummer|pasaporte|passeport))(?:{_S}(?i:is|number|no\.?|nr\.?))?:?{_S}?(?P<v>[A-Z]{{0,2}}\d[\dA-Z]{{6,11}})(?![\w-])")
 BORN = re.compile(rf"\b(?:born|date of birth|DOB|geboren(?: am)?|né(?:e)? le|nacid[oa] el)[:=]?{_S}?(\d{{4}}-\d{{2}}-\d{{2}}|\d{{2}}[./]\d{{2}}[./]\d{{4}})\b")
 
@@ -156,7 +159,13 @@ CUES = [
         ("Traducido", rf"Traducido{_S}por{_S}{_HIT}"),
         ("--", rf"^(?:[ \t>]*)--[ \t]*\r?\n[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
         ("-- ", rf"(?:^|\s)--{_S}{_TITLE}(?P<n>{_NAME})(?={_S}(?:Flat|\d|Calle|{_U}{_L}*{_STREET_DE}))"),
-        ("ame", rf"\b(?i:my{_S}name{_S}is|mein{_S}name{_S}ist|je{_S}m['’]appelle|me{_S}llamo|mi{_S}nombre{_S}es|full name:|name:|nom:|nombre:){_S}?{_HIT}"),
+        ("name", rf"\b[Mm]y{_S}name{_S}is{_S}{_HIT}"),
+        ("Name", rf"\b[Mm]ein{_S}Name{_S}ist{_S}{_HIT}"),
+        ("appelle", rf"\b[Jj]e{_S}m['’]appelle{_S}{_HIT}"),
+        ("llamo", rf"\b[Mm]e{_S}llamo{_S}{_HIT}"),
+        ("ombre", rf"\b[Mm]i{_S}nombre{_S}es{_S}{_HIT}"),
+        ("ame:", rf"\b(?:name|Name|NAME):{_S}?{_HIT}"),
+        ("om", rf"\b(?:Nom|Nombre):{_S}?{_HIT}"),
         ("'m ", rf"\bI['’]m{_S}{_HIT}"),
         ("his is", rf"\b[Tt]his{_S}is{_S}{_HIT}(?={_S}(?:from|calling|speaking|writing|here)\b)"),
         ("Hier", rf"\bHier{_S}(?:ist|spricht){_S}{_HIT}"),
@@ -184,15 +193,14 @@ CUES = [
         ("Gruß", rf"Gruß,?[ \t]*\r?\n(?:[ \t>]*\r?\n)?[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
         ("ordialement", rf"[Cc]ordialement,?[ \t]*\r?\n(?:[ \t>]*\r?\n)?[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
         ("aludos", rf"[Ss]aludos,?[ \t]*\r?\n(?:[ \t>]*\r?\n)?[ \t>]*{_TITLE}(?P<n>{_NAME})[ \t]*\r?$"),
-        ("", rf"(?<![\w-])(?:{'|'.join(t for t in TITLES if t not in ('Ing', 'Dipl'))})\b\.?{_S}{_TITLE}(?P<n>{_LONGER}|{_FULL})"),
-        ("said", rf"(?<![\w,-]){_HIT}{_S}(?:has{_S})?said\b"),
-        ("asked", rf"(?<![\w,-]){_HIT}{_S}(?:has{_S})?asked\b"),
-        ("told", rf"(?<![\w,-]){_HIT}{_S}(?:has{_S})?told\b"),
-        ("replied", rf"(?<![\w,-]){_HIT}{_S}(?:has{_S})?replied\b"),
-        ("sagt", rf"(?<![\w,-]){_HIT}{_S}sagte?\b"),
-        ("@", rf"(?<![\w-])(?P<n>{_NAME})[\"']?[ \t]*(?=[<(]{_LOCAL}@)"),
     ]
 ]
+TITLED = re.compile(rf"(?:{'|'.join(t for t in TITLES if t not in ('Ing', 'Dipl'))})\b\.?{_S}{_TITLE}(?P<n>{_LONGER}|{_FULL})")
+#: What follows a person: found first, the name is then looked for in the LOOK_BACK characters before it.
+LOOK_BACK = 160
+FOLLOWING = [(word, re.compile(rf"(?<![\w,-]){_HIT}{_S}{pattern}")) for word, pattern in (("said", r"(?:has{0})?said\b".format(_S)), ("asked", r"(?:has{0})?asked\b".format(_S)), ("told", r"(?:has{0})?told\b".format(_S)), ("replied", r"(?:has{0})?replied\b".format(_S)), ("sagt", r"sagte?\b"))]
+MAILED = re.compile(rf"(?<![\w-])(?P<n>{_NAME})[\"']?[ \t]*(?=[<(]{_LOCAL}@)")
+OPENED = re.compile(rf"[<(]{_LOCAL}@")
 
 # Given names that many people have in countries of these languages, none of them also a common word.
 GIVEN = """Aaron Adrian Ahmed Alberto Alejandro Alex Alexander Alice Amanda Amelia Andrea Andreas Andrew Angela Anja Anna Anne Anthony
@@ -204,7 +212,9 @@ GIVEN = """Aaron Adrian Ahmed Alberto Alejandro Alex Alexander Alice Amanda Amel
     Luis Luisa Manuel Manfred Marc Margaret Maria María Marie Mario Martin Martina Mary Matthew Matthias Michael Michel Michelle Miguel Mohamed Monika
     Nancy Nathalie Nicolas Nicole Olivia Pablo Patricia Patrick Paul Paula Pedro Peter Philippe Pierre Rachel Raúl Rebecca Richard Robert Roberto
     Ronald Rosa Sabine Samuel Sandra Sara Sarah Sergio Sofia Sophie Stefan Stephanie Stephen Susan Susanne Thomas Ursula Walter Werner William Wolfgang""".split()
-KNOWN = re.compile(rf"(?<![\w-])(?P<n>(?:{'|'.join(sorted(GIVEN, key=len, reverse=True))})\b(?:-{_W})?(?:[ \t]{_I})*(?:[ \t](?:{_PT}[ \t]){{0,2}}{_P}){{1,2}})(?![\w-])")
+GIVEN_SET = frozenset(GIVEN)
+CAPITAL = re.compile(rf"[{''.join(sorted({g[0] for g in GIVEN}))}]{_L}+")
+KNOWN = re.compile(rf"(?P<n>{_L}+(?:-{_W})?(?:[ \t]{_I})*(?:[ \t](?:{_PT}[ \t]){{0,2}}{_P}){{1,2}})(?![\w-])")
 
 
 class Spans:
@@ -266,25 +276,51 @@ def find(text: str) -> list[tuple[int, int, str]]:
             spans.add(m.start(), m.end(), "id_number")
         elif m.group()[:2].isalpha():
             mistyped.add(m.start(), m.end(), "")
-    for m in LABELLED.finditer(text):
-        spans.add(*m.span("v"), "id_number")
+    if any(w in low for w in _LABELS):
+        for m in LABELLED.finditer(text):
+            spans.add(*m.span("v"), "id_number")
     for m in PHONE.finditer(text):
         if not mistyped.meets(m.start(), m.end()):
             spans.add(m.start(), m.end(), "phone")
     for m in CALLED.finditer(text):
-        spans.add(*m.span("v"), "phone")
-    names = len(spans.found)
+        if _clear(text, m.start()):
+            spans.add(*m.span("v"), "phone")
+    for a, b in _names(text):
+        spans.add(a, b, "name")
+    _repeated(text, spans)
+    return spans.found
+
+
+def _clear(text: str, at: int) -> bool:
+    """Whether no word goes on before this place."""
+    return not at or not (text[at - 1].isalnum() or text[at - 1] in "_-")
+
+
+def _names(text: str) -> Iterator[tuple[int, int]]:
+    """Where names of people stand, as what is around them tells; some more than once."""
     for word, pattern in CUES:
         if word in text:
             for m in pattern.finditer(text):
                 for group in ("n", "n2"):
                     if group in pattern.groupindex and m.group(group):
-                        spans.add(*m.span(group), "name")
-    for m in KNOWN.finditer(text):
-        spans.add(*m.span("n"), "name")
-    if len(spans.found) > names:
-        _repeated(text, spans)
-    return spans.found
+                        yield m.span(group)
+    for m in TITLED.finditer(text):
+        if _clear(text, m.start()):
+            yield m.span("n")
+    for word, pattern in FOLLOWING:
+        at = text.find(word)
+        while at >= 0:
+            if m := pattern.search(text, max(0, at - LOOK_BACK), at + len(word) + 2):
+                yield m.span("n")
+            at = text.find(word, at + 1)
+    if "@" in text:
+        for k in OPENED.finditer(text):
+            if m := MAILED.search(text, max(0, k.start() - LOOK_BACK), k.end()):
+                if m.end() == k.start():
+                    yield m.span("n")
+    for k in CAPITAL.finditer(text):
+        if k.group() in GIVEN_SET and _clear(text, k.start()) and (m := KNOWN.match(text, k.start())):
+            yield m.span("n")
 
 
 def _repeated(text: str, spans: Spans) -> None:
