@@ -99,6 +99,13 @@ def listing(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(target)) if not n.startswith("."))
 
 
+def mounted(spark: SparkSession, path: str) -> str | None:
+    """The path as the operating system of the executors knows it; None on a file system that is not mounted."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    scheme = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme()
+    return target.toUri().getPath() if scheme == "file" else None
+
+
 def size_of(spark: SparkSession, path: str) -> int:
     """Bytes below a folder."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
