@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.text import tokens, utf8
 from folioscan.storage import listing, materialize, scratch_path
+from folioscan.storage import mounted as mounted_path
 
 STEP = 4
 FLUSH = 200_000
@@ -136,19 +137,17 @@ def _aggregate_batches(memory: str):
 
 
 def term_counts(docs: DataFrame, fields: list[str], cap: int = 1_000_000, memory: str = "256MB", flush: int = FLUSH, mounted: bool | None = None) -> DataFrame:
-    """(field, term, total, pages) of every distinct term of each field. ``mounted``: whether all executors see the shared
-    folder as a folder of their file system; told by its address if None."""
+    """(field, term, total, pages) of every distinct term of each field. ``mounted``: False if executors do not see the shared
+    folder as one of their own file system though its address says so."""
     spark = docs.sparkSession
     spilled = materialize(partial_counts(docs, fields, flush).withColumn("h", F.xxhash64("field", "term")), "terms")
     levels = radix_leaves(spilled, cap)
     if not levels:
         return spark.createDataFrame([], SCHEMA)
-    if mounted is None:
-        mounted = levels[0][0].startswith(("file:/", "/"))
-    if mounted:
-        leaves = [(f"{path}/{n}".removeprefix("file://"),) for path, gone in levels for n in listing(spark, path) if n.startswith("p=") and int(n[2:]) not in gone]
+    if mounted is not False and mounted_path(spark, levels[0][0]):
+        leaves = [(f"{mounted_path(spark, path)}/{n}",) for path, gone in levels for n in listing(spark, path) if n.startswith("p=") and int(n[2:]) not in gone]
         paths = materialize(spark.createDataFrame(leaves, "path string"), "leaves")  # a table, so that the plan does not grow with them
-        spill = scratch_path(spark, "duckdb").removeprefix("file://")
+        spill = mounted_path(spark, scratch_path(spark, "duckdb"))
         return paths.repartition(max(1, min(len(leaves), MOST_TASKS)), "path").mapInArrow(_aggregate_files(spill, memory), SCHEMA)
     out = None
     for path, gone in levels:
