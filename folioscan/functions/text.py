@@ -49,13 +49,15 @@ def tokens(c: Column) -> Column:
 def postings(pages: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(doc_id, col, pos, term, n): every token of every searchable column with its place; n is the column's length.
 
-    Only the columns asked for are read. No shuffle."""
+    Only the columns asked for are read. No shuffle. The length is taken before the tokens are laid out, so that no row
+    carries the column's tokens along."""
     wanted = [c for c in COLUMNS if c in (columns or COLUMNS)]
     fields = F.array(*[F.struct(F.lit(COLUMNS.index(c)).alias("col"), tokens(F.col(c)).alias("toks")) for c in wanted])
     return (
         pages.select("doc_id", F.explode(fields).alias("f"))
         .filter("f.toks is not null")
-        .select("doc_id", "f.col", F.size("f.toks").alias("n"), F.posexplode("f.toks").alias("pos", "term"))
+        .select("doc_id", "f.col", F.size("f.toks").alias("n"), "f.toks")
+        .select("doc_id", "col", "n", F.posexplode("toks").alias("pos", "term"))
         .select("doc_id", "col", "pos", "term", "n")
     )
 

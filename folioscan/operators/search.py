@@ -128,17 +128,25 @@ def ranks(postings: DataFrame, records: int, q: Query, stored: bool) -> DataFram
     return found.filter(_condition(q, q.tree)).select("doc_id", rank.alias("rank"))
 
 
-def scanned(pages: DataFrame, q: Query) -> DataFrame:
+def scanned(pages: DataFrame, q: Query, stems: bool = False) -> DataFrame:
     """Postings of the pages that can have a phrase of the query, where no stored postings are at hand. Pages without
-    the letters of its words are dropped before they are cut into tokens."""
+    the letters of its words are dropped before they are cut into tokens. ``stems``: the words of the query are stems,
+    and so are the terms; only words that begin as one of them can be are stemmed."""
     text = F.concat_ws("\n", *COLUMNS)
+    letters = porter.beginning if stems else str
     can = F.lit(False)
     for p in q.phrases:
         every = F.lit(True)
         for t in p.terms:
-            every = every & F.rlike(text, F.lit(f"(?i){t}"))  # (?i) folds ASCII alone; terms hold no signs
+            every = every & F.rlike(text, F.lit(f"(?i){letters(t)}"))  # (?i) folds ASCII alone; terms hold no signs
         can = can | every
-    return postings_of(pages.filter(can))
+    words = postings_of(pages.filter(can))
+    if not stems:
+        return words
+    begins = F.lit(False)
+    for x in sorted({letters(t) for p in q.phrases for t in p.terms}):
+        begins = begins | F.col("term").startswith(x)
+    return porter.stemmed(words.filter(begins))
 
 
 def search(pages: DataFrame, request: SearchRequest, postings: DataFrame | None = None, records: int | None = None) -> DataFrame:
@@ -151,10 +159,8 @@ def search(pages: DataFrame, request: SearchRequest, postings: DataFrame | None
         return pages.select(*columns, F.lit(0.0).alias("rank")).filter("false")
     if request.stems:
         q = q.words(porter.stem)
-    if postings is None and request.stems:
-        postings = porter.stemmed(postings_of(pages))
     stored = postings is not None
-    found = ranks(postings if stored else scanned(pages, q), pages.count() if records is None else records, q, stored)
+    found = ranks(postings if stored else scanned(pages, q, request.stems), pages.count() if records is None else records, q, stored)
     best = lambda df: df.orderBy(F.desc("rank"), "doc_id").offset(max(0, request.offset)).limit(request.limit)
     kept, limited = pages.select(*columns), request.limit is not None and request.limit >= 0
     filtered = bool(request.sections) or request.machine is not None

@@ -42,6 +42,15 @@ def test_stem_is_no_longer(word):
     assert len(porter.stem(word)) <= len(word)
 
 
+ENDINGS = ["", "s", "ed", "ing", "y", *(r.split(":")[0] for r in f"{porter.STEP2} {porter.STEP3} {porter.STEP4}".split())]
+
+
+@given(st.text(alphabet="abceilnstvyz", max_size=6), st.lists(st.sampled_from(ENDINGS), max_size=3))
+def test_words_begin_as_their_stems(word, ends):
+    word += "".join(ends)
+    assert word.startswith(porter.beginning(porter.stem(word)))
+
+
 def test_parse():
     assert parse("a b OR c NOT d").tree == ("or", ("and", ("p", 0), ("p", 1)), ("not", ("p", 2), ("p", 3)))
     q = parse('name:"Foo bar" NEAR/2 x*')
